@@ -1,4 +1,4 @@
 """All named queries. Importing this package registers them."""
 
-from loomgraph.catalog import flow_queries, graph_queries  # noqa: F401
+from loomgraph.catalog import evidence_queries, flow_queries, graph_queries  # noqa: F401
 from loomgraph.catalog.registry import ORACLE, QUERIES  # noqa: F401

@@ -2,15 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from loomgraph.catalog.graph_queries import atom_text
 from loomgraph.catalog.registry import query
+from loomgraph.catalog.shared import flow, graph
 from loomgraph.operators import flow as fl
-from loomgraph.operators.flow import Flow
-from loomgraph.operators.graph import Graph
-
-
-def flow(t):
-    return Flow(Graph(t))
 
 
 def joined(*names):
@@ -22,7 +16,7 @@ select subject, kind, count(distinct from_id) as n_from, count(distinct to_id) a
   select subject, kind, from_id, to_id, count(*) over (partition by subject, kind, from_id) as c from v_edge) group by all""")
 def index(t):
     """Size of the lookups by kind and source: two-step counts instead of gathered lists."""
-    e = Graph(t).edges
+    e = graph(t).edges
     out = e.groupBy("subject", "kind", "from_id").agg(F.count(F.lit(1)).alias("c")).groupBy("subject", "kind").agg(
         F.count(F.lit(1)).alias("n_from"), F.max("c").alias("max_out"))
     into = e.select("subject", "kind", "to_id").distinct().groupBy("subject", "kind").agg(F.count("to_id").alias("n_to"))
@@ -136,13 +130,11 @@ def stats(t):
 select subject, sha256(array_to_string(list_transform([0, 1, 2, 3], lambda i: cast(list_sum(list_transform(digests, lambda d: cast(('0x' || d[1 + 12 * i:12 + 12 * i]) as bigint))) as varchar)), '-')) as graph_hash
 from (select subject, list(sha256(edge_id || '|' || kind || '|' || from_id || '|' || coalesce(to_id, '-') || '|' || coalesce(target_text, '-'))) as digests from v_edge group by subject)""")
 def fingerprint(t):
-    return fl.graph_fingerprint(Graph(t).edges)
+    return fl.graph_fingerprint(graph(t).edges)
 
 
 @query("W15_statically_enabled", "subject:s kind:s n:i", """
 select e.subject, e.kind, count(*) as n from v_trigger e left join v_atom_list a on a.edge_id = e.edge_id where not coalesce(a.impossible, false) group by all""")
 def enabled(t):
-    return fl.statically_enabled(Graph(t).trigger_edges).groupBy("subject", "kind").agg(F.count(F.lit(1)).alias("n"))
-
+    return fl.statically_enabled(graph(t).trigger_edges).groupBy("subject", "kind").agg(F.count(F.lit(1)).alias("n"))
 
-__all__ = ["flow", "joined", "atom_text"]

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from loomgraph.catalog.registry import query
+from loomgraph.catalog.shared import graph
 from loomgraph.functions import fixed
 from loomgraph.functions.scalar import path_matches, segments
 from loomgraph.operators import graph as gr
 from loomgraph.operators import resolve
-from loomgraph.operators.graph import Graph
 from loomgraph.sources.views import union_all
 
 EDGE = "subject:s edge_id:s kind:s from_id:s to_id:s"
@@ -25,31 +25,31 @@ def edges_of(name, piece, *kinds):
 
     @query(name, EDGE, f"select * from v_edge where kind in ({listed})")
     def run(t):
-        return getattr(Graph(t), piece)
+        return getattr(graph(t), piece)
     return run
 
 
 @query("G1_nodes", "subject:s node_id:s kind:s label:s", "select * from v_node")
 def nodes(t):
-    return Graph(t).nodes
+    return graph(t).nodes
 
 
 @query("G2_external_nodes", "subject:s node_id:s url:s", "select subject, node_id, label as url from v_node where kind = 'External'")
 def externals(t):
-    return Graph(t).externals
+    return graph(t).externals
 
 
 @query("G3_entry_routes", "subject:s route_id:s", """
 select * from v_entry""")
 def entry(t):
-    return Graph(t).entry_routes
+    return graph(t).entry_routes
 
 
 @query("G4_edge_guard", "subject:s kind:s from_id:s to_id:s", """
 select x.subject, 'COMPONENT_COMPOSES_COMPONENT' as kind, x.comp_id as from_id, c.comp_id as to_id
 from v_use x join v_component c on c.subject = x.subject and x.used_ref = c.selector""")
 def guard(t):
-    g = Graph(t)
+    g = graph(t)
     paths = t.components.select("subject", "selector", F.regexp_replace("comp_id", r"[^/]*$", "").alias("folder"))
     made = t.uses.where("used_ref like 'app-%'").join(paths.select("subject", "folder").distinct(), "subject")
     number = F.regexp_extract("used_ref", r"^app-[a-z](\d+)", 1)
@@ -62,8 +62,8 @@ def guard(t):
 select subject, from_id, to_id, count(*) as n, max(edge_id) as last_id from v_edge
 where kind in ('COMPONENT_CALLS_SERVICE', 'WIDGET_TRIGGERS_HANDLER') group by all having count(*) > 1""")
 def parallel(t):
-    g = Graph(t)
-    return (union_all([g.calls_service, g.triggers]).where("kind in ('COMPONENT_CALLS_SERVICE', 'WIDGET_TRIGGERS_HANDLER')")
+    g = graph(t)
+    return (g.of_kind("COMPONENT_CALLS_SERVICE", "WIDGET_TRIGGERS_HANDLER")
             .groupBy("subject", "from_id", "to_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("edge_id").alias("last_id")).where("n > 1"))
 
 
@@ -75,26 +75,30 @@ edges_of("G11_component_composes_component", "composes", "COMPONENT_COMPOSES_COM
 edges_of("G12_module_provides_service", "provides", "MODULE_PROVIDES_SERVICE")
 edges_of("G13_module_imports_exports", "module_links", "MODULE_IMPORTS_MODULE", "MODULE_EXPORTS_MODULE")
 edges_of("G14_route_redirects", "redirect_edges", "ROUTE_REDIRECTS_TO_ROUTE")
-edges_of("G17_widget_navigates_external", "navigates_external", "WIDGET_NAVIGATES_EXTERNAL")
+
+
+@query("G17_widget_navigates_external", EDGE, "select * from v_edge where kind = 'WIDGET_NAVIGATES_EXTERNAL'")
+def external_links(t):
+    return graph(t).of_kind("WIDGET_NAVIGATES_EXTERNAL")
 
 
 @query("G10_widget_containment", EDGE, "select * from v_edge where kind in ('COMPONENT_CONTAINS_WIDGET', 'WIDGET_CONTAINS_WIDGET')")
 def containment(t):
-    g = Graph(t)
+    g = graph(t)
     return g.contains_widget.unionByName(g.widget_contains)
 
 
 @query("G11_composition_context", "subject:s from_id:s to_id:s inside_ng_if:s inside_ng_for:s inside_template:i",
        "select subject, from_id, to_id, inside_ng_if, inside_ng_for, case when seq > 1152921504606846975 then null else inside_template end as inside_template from v_compose")
 def context(t):
-    return Graph(t).composes
+    return graph(t).composes
 
 
 @query("G15_widget_navigates_route", "subject:s edge_id:s to_id:s target_text:s params:s guards:s roles:s", """
 select subject, edge_id, to_id, target_text, array_to_string(params, ',') as params, array_to_string(guards, ',') as guards, array_to_string(roles, ',') as roles
 from v_edge where kind = 'WIDGET_NAVIGATES_ROUTE'""")
 def navigates(t):
-    return Graph(t).navigates_route.select(
+    return graph(t).of_kind("WIDGET_NAVIGATES_ROUTE").select(
         "subject", "edge_id", "to_id", "target_text", *[F.array_join(c, ",").alias(c) for c in ("params", "guards", "roles")])
 
 
@@ -102,7 +106,7 @@ def navigates(t):
 select l.subject, coalesce(v.stage, 0) as stage, count(distinct (l.comp_id, l.value)) as n_texts, count(*) as n_links
 from v_link l left join v_resolved v on v.subject = l.subject and v.comp_id = l.comp_id and v.value = l.value group by all""")
 def stages(t):
-    links = Graph(t).links.withColumn("stage", F.coalesce("stage", F.lit(0)))
+    links = graph(t).links.withColumn("stage", F.coalesce("stage", F.lit(0)))
     per_text = links.groupBy("subject", "stage", "comp_id", "value").agg(F.count(F.lit(1)).alias("c"))
     return per_text.groupBy("subject", "stage").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("c").alias("n_links"))
 
@@ -123,7 +127,7 @@ stage_query("G16d_interpolated_path", 4)
 
 @query("G16e_programmatic_path", "subject:s value:s stage:i target_route_id:s", "select * from v_nav_resolved")
 def programmatic(t):
-    nav = Graph(t).contexts.where("shape = 'Navigate'").withColumn("value", F.col("target"))
+    nav = graph(t).contexts.where("shape = 'Navigate'").withColumn("value", F.col("target"))
     return resolve.resolve_programmatic(nav, t.routes)
 
 
@@ -140,20 +144,19 @@ def matches(t):
 @query("G18_handler_and_form_edges", "subject:s edge_id:s kind:s event:s effect_group:s", """
 select * from v_edge where kind in ('WIDGET_TRIGGERS_HANDLER', 'WIDGET_SUBMITS_FORM')""")
 def triggers(t):
-    return Graph(t).triggers
+    return graph(t).of_kind("WIDGET_TRIGGERS_HANDLER", "WIDGET_SUBMITS_FORM")
 
 
 @query("G19_component_effects", "subject:s edge_id:s kind:s to_id:s effect_group:s call_ordinal:i target_text:s", """
 select * from v_edge where kind in ('COMPONENT_CALLS_SERVICE', 'COMPONENT_NAVIGATES_ROUTE')""")
 def effects(t):
-    g = Graph(t)
-    return union_all([g.calls_service, g.component_navigates])
+    return graph(t).effect_edges
 
 
 @query("G20_gate_propagation", "subject:s widget_id:s gates:s", """
 select w.subject, w.widget_id, string_agg(distinct g.gate, ',' order by g.gate) as gates from v_widget w join v_gate g on g.subject = w.subject and g.comp_id = w.comp_id group by all""")
 def gates(t):
-    g = Graph(t)
+    g = graph(t)
     # distinct gate names of one component come from its composition sites, a short list
     per_component = g.gates.groupBy("subject", "comp_id").agg(F.array_join(F.array_sort(F.collect_set("gate")), ",").alias("gates"))
     return t.widgets.select("subject", "comp_id", "widget_id").join(per_component, ["subject", "comp_id"])
@@ -166,26 +169,26 @@ from (select subject, count(*) as n_nodes from v_node group by all) n join (
     sum(coalesce(a.n_atoms, 0)) as n_atoms, count(a.n_atoms) as n_edges_with_atoms, count(*) filter (e.has_target and e.target_route_id is null) as n_unresolved
   from v_edge e left join v_atom_list a on a.edge_id = e.edge_id group by all) e using (subject)""")
 def stats(t):
-    g = Graph(t)
+    g = graph(t)
     return gr.graph_stats(g.nodes, g.edges)
 
 
 @query("G21_kind_histogram", "subject:s kind:s n:i", "select subject, kind, count(*) as n from v_edge group by all")
 def histogram(t):
-    return gr.kind_histogram(Graph(t).edges)
+    return gr.kind_histogram(graph(t).edges)
 
 
 @query("G22_canonical_order", "subject:s kind:s from_id:s edge_id:s", """
 select * from v_edge where kind in ('ROUTE_HAS_CHILD', 'ROUTE_REDIRECTS_TO_ROUTE', 'COMPONENT_COMPOSES_COMPONENT') order by subject, from_id, kind, coalesce(to_id, ''), edge_id""")
 def ordered(t):
-    g = Graph(t)
+    g = graph(t)
     return gr.canonical_order(union_all([g.has_child, g.redirect_edges, g.composes]))
 
 
 @query("G23_navigation_surface", "subject:s route_id:s params:s guards:s roles:s", """
 select subject, route_id, array_to_string(params, ',') as params, array_to_string(list_sort(guards), ',') as guards, array_to_string(list_sort(roles), ',') as roles from v_route""")
 def surface(t):
-    return Graph(t).surfaces.select("subject", F.col("target_route_id").alias("route_id"),
+    return graph(t).surfaces.select("subject", F.col("target_route_id").alias("route_id"),
                                     *[F.array_join(c, ",").alias(c) for c in ("params", "guards", "roles")])
 
 
@@ -193,7 +196,7 @@ def surface(t):
 select e.edge_id, coalesce(a.n_atoms, 0) as n, coalesce(regexp_replace(a.atoms, '\\(,*\\)', '()', 'g'), '') as atoms
 from v_edge e left join v_atom_list a on a.edge_id = e.edge_id where e.kind in ('WIDGET_TRIGGERS_HANDLER', 'WIDGET_SUBMITS_FORM')""")
 def atoms(t):
-    return Graph(t).triggers.select("edge_id", F.size("atoms").alias("n"), atom_text().alias("atoms"))
+    return graph(t).of_kind("WIDGET_TRIGGERS_HANDLER", "WIDGET_SUBMITS_FORM").select("edge_id", F.size("atoms").alias("n"), atom_text().alias("atoms"))
 
 
 @query("G25_violations", "subject:s rule:s n:i", """
@@ -201,15 +204,15 @@ select subject, 'missing_target' as rule, count(*) as n from v_binding where nam
 union all select subject, 'duplicate_node', count(*) from v_component group by all""")
 def violations(t):
     """A damaged graph: outer nodes are left out and components are listed twice."""
-    g = Graph(t)
+    g = graph(t)
     damaged = union_all([g.nodes.where("kind <> 'External'"), g.nodes.where("kind = 'Component'")])
-    return gr.violations(damaged, union_all([g.navigates_external, g.has_child, g.redirect_edges])).groupBy("subject", "rule").agg(
+    return gr.violations(damaged, g.of_kind("WIDGET_NAVIGATES_EXTERNAL", "ROUTE_HAS_CHILD", "ROUTE_REDIRECTS_TO_ROUTE")).groupBy("subject", "rule").agg(
         F.count(F.lit(1)).alias("n"))
 
 
 @query("G25_sound_graph", "subject:s n_edges:i n_violations:i", "select subject, count(*) as n_edges, 0 as n_violations from v_edge group by all")
 def sound(t):
-    g = Graph(t)
+    g = graph(t)
     bad = gr.violations(g.nodes, g.edges).groupBy("subject").agg(F.count(F.lit(1)).alias("n_violations"))
     return g.edges.groupBy("subject").agg(F.count(F.lit(1)).alias("n_edges")).join(bad, "subject", "left").na.fill(0)
 
@@ -219,8 +222,8 @@ select subject, 'handler_without_group' as rule, count(*) as n from v_edge where
 union all select subject, 'call_without_ordinal', count(*) from v_edge where kind = 'COMPONENT_CALLS_SERVICE' and call_ordinal = 0 group by all""")
 def effect_rules(t):
     """Groups of click edges and first ordinals are removed to see them reported."""
-    g = Graph(t)
-    e = union_all([g.triggers, g.calls_service, g.component_navigates])
+    g = graph(t)
+    e = g.of_kind("WIDGET_TRIGGERS_HANDLER", "WIDGET_SUBMITS_FORM", "COMPONENT_CALLS_SERVICE", "COMPONENT_NAVIGATES_ROUTE")
     damaged = e.withColumn("effect_group", F.when(F.coalesce(F.col("event"), F.lit("")) == "click", None).otherwise(F.col("effect_group"))
                            ).withColumn("call_ordinal", F.when(F.col("call_ordinal") != 0, F.col("call_ordinal")))
     return gr.effect_violations(damaged).groupBy("subject", "rule").agg(F.count(F.lit(1)).alias("n"))

@@ -40,7 +40,7 @@ select subject, app, n, g, module_id, full_path, path, parent_path, redirect_to,
   list_filter([guard_1, guard_2], lambda x: x is not null) as guards, list_filter([role], lambda x: x is not null) as roles,
   list_sort(list_distinct(list_transform(list_filter(string_split(full_path, '/'), lambda x: starts_with(x, ':')), lambda x: x[2:]))) as params
 from (select *, 'app' || app as subject, {fx.MODULE_ID} as module_id, {fx.PARENT_PATH} as parent_path, {cols(fx.ROUTE)}
-  from v_nation left join (select app, n, {fx.COMPONENT['comp_id']} as comp from (select app, n, min(k) as k from v_supp where k % 2 = 0 group by app, n)) using (app, n))"""
+  from v_nation left join (select app, n, {fx.COMPONENT['comp_id']} as comp from (select app, n, min(k) as k from v_supp where k % 2 = 0 and r > 1 group by app, n)) using (app, n))"""
 VIEWS["v_module"] = (f"select distinct 'app' || app as subject, app, g, {fx.MODULE_ID} as module_id, {fx.MODULE_NAME} as name from v_nation")
 VIEWS["v_declaration"] = (
     "select m.subject, m.module_id, c.class_name from v_module m join v_component c using (app, g) "
@@ -93,6 +93,21 @@ select conv_id || '' as test_id, 'c' || (conv_id % 7) as subject, turn as pos, r
   timestamp '2024-01-01 00:00:00' + (conv_id % 1000 + turn * 2) * interval 1 minute as ts_start,
   timestamp '2024-01-01 00:00:00' + (conv_id % 1000 + turn * 2 + turn % 3) * interval 1 minute as ts_end from conversations"""
 
+VIEWS["v_request"] = """
+select test_id, pos as req, ts_start + (length(text) % 4) * interval 1 minute as ts, case length(text) % 3 when 0 then 'GET' when 1 then 'POST' else 'PUT' end as method,
+  200 + 100 * (length(text) % 4) + length(text) % 2 as status from v_step"""
+VIEWS["v_log"] = """
+select test_id, subject, step_id as failed_step_id, case length(text) % 5 when 0 then 'interaction-failed' when 1 then 'locator-not-found' when 2 then 'timeout'
+  when 3 then 'assertion-failed' else 'unknown' end as failure_kind from v_step where pos = cast(test_id as bigint) % 4"""
+VIEWS["v_test"] = """
+select *, case when user_id % 9 = 0 then 'PRUNED' when user_id % 4 = 0 then 'FEASIBLE' else 'CONDITIONAL' end as verdict,
+  user_id % 9 <> 0 and user_id % 7 <> 0 as has_plan, user_id % 9 <> 0 and user_id % 7 <> 0 and user_id % 5 <> 0 as has_code, user_id % 20 = 3 as skipped
+from (select test_id, user_id, subject, min(k) as k, min(ts) as first_ts from v_attempt group by all)"""
+VIEWS["v_fold"] = """
+select test_id, subject, user_id, count(*) as attempts, sum(duration_ms) as duration_ms, arg_max(outcome, attempt) as outcome from (
+  select *, min(case when outcome in ('PASS', 'FAIL_APP_NOT_READY') then attempt end) over (partition by test_id) as stop from v_attempt)
+where stop is null or attempt <= stop group by all"""
+
 # ---- navigation ----------------------------------------------------------------------------
 
 _strip = """regexp_replace({0}, '^[''"]|[''"]$', '', 'g')"""

@@ -3,53 +3,59 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 BLOCK = 1 << 20
 MAX_ROUNDS = 200
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share, as the session names it in `spark.checkpoint.dir`.
 
-    Only a local session without such a folder falls back to a temporary one.
+    Only a local session without that setting falls back to a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as a written table in the shared folder.
+
+    A table is computed once, survives lost executors, keeps column pruning and pushed
+    filters for its readers, and tells the planner its size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ordinal(df: DataFrame, keys: list[str], seq: str, out: str, ties: list[str] = (), block: int = BLOCK) -> DataFrame:
     """Zero-based rank of a row among the rows of its key, by the integer column `seq`, then `ties`.
 
-    A key is split into blocks of `seq`, ranks run inside a block, and the sizes of
-    the earlier blocks are added. No task holds more than one block of one key, so a
-    key with most of the rows still spreads over the cluster; the row counts per block
-    are pre-aggregated before they are summed.
+    A key is split into blocks of `seq`, ranks run inside a block, and the sizes of the
+    earlier blocks are added. No task holds more than one block of one key, so a key with
+    most of the rows still spreads over the cluster. Block sizes are pre-aggregated, and
+    only keys with several blocks are joined back, on the partitioning the ranks already
+    have. Key columns must not be NULL.
     """
     blocked = df.withColumn("__b", F.floor(F.col(seq) / F.lit(block)))
     part = keys + ["__b"]
     sizes = blocked.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn(
-        "__before",
-        F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0))).drop("__n")
+    earlier = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.withColumn("__before", F.sum("__n").over(earlier)).where("__before is not null").drop("__n")
     ranked = blocked.withColumn("__r", F.row_number().over(W.partitionBy(*part).orderBy(seq, *ties)))
-    cond = None
-    b = before.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(part)], "__before")
-    for i, c in enumerate(part):
-        eq = ranked[c].eqNullSafe(b[f"__k{i}"])
-        cond = eq if cond is None else cond & eq
-    return (ranked.join(b, cond)
-            .withColumn(out, (F.col("__before") + F.col("__r") - 1).cast("long"))
-            .drop("__b", "__r", "__before", *[f"__k{i}" for i in range(len(part))]))
+    return (ranked.join(before, part, "left")
+            .withColumn(out, (F.coalesce("__before", F.lit(0)) + F.col("__r") - 1).cast("long"))
+            .drop("__b", "__r", "__before"))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str], cols: list[str]) -> DataFrame:
@@ -77,3 +83,15 @@ def reach(seeds: DataFrame, edges: DataFrame, key: list[str], src: str, dst: str
             return seen
         seen = seen.unionByName(frontier)  # every part is already written, nothing is recomputed
     raise RuntimeError(f"closure not finished after {max_rounds} rounds")
+
+
+def span_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, stop: str, width: int) -> DataFrame:
+    """Points inside spans of the same key, both ends included, by integer position.
+
+    Spans are listed under every bin of `width` they touch and points under one bin, so
+    the join stays an equi join and a key with very many rows spreads over its bins.
+    """
+    binned = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))))
+    placed = points.withColumn("__bin", F.floor(F.col(at) / width))
+    return (placed.join(binned, keys + ["__bin"])
+            .where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(stop))).drop("__bin"))

@@ -149,16 +149,20 @@ class Flow:
         return own.withColumn("in_shell", F.lit(False)).unionByName(
             self.shell.join(all_routes, "subject").withColumn("in_shell", F.lit(True)))
 
+    @cached_property
+    def effect_edges(self) -> DataFrame:
+        return cut_lineage(self.g.effect_edges)
+
     @cached_property
     def effects(self) -> DataFrame:
         """What a handler does: calls in order, then the smallest navigation, one row per handler.
 
         A handler keeps at most twenty calls, so the array stays small.
         """
-        calls = self.g.calls_service.groupBy("subject", "effect_group").agg(
+        calls = self.effect_edges.where("kind = 'COMPONENT_CALLS_SERVICE'").groupBy("subject", "effect_group").agg(
             F.array_sort(F.collect_list(F.struct(F.coalesce("call_ordinal", F.lit(0)).alias("o"), "edge_id", "kind", "refs"))).alias("c"),
             F.bool_or(F.col("to_id").rlike("(?i)router|navigation")).alias("calls_router"))
-        nav = self.g.component_navigates.groupBy("subject", "effect_group").agg(
+        nav = self.effect_edges.where("kind = 'COMPONENT_NAVIGATES_ROUTE'").groupBy("subject", "effect_group").agg(
             F.min_by(F.struct("edge_id", "kind", "target_route_id", "params", "guards", "roles", "refs"), "edge_id").alias("nav"))
         return calls.join(nav, ["subject", "effect_group"], "full_outer").select(
             "subject", "effect_group", F.coalesce("calls_router", F.lit(False)).alias("calls_router"),
@@ -169,7 +173,7 @@ class Flow:
     def triggers(self) -> DataFrame:
         """Trigger edges with their component."""
         owner = self.g.contains_widget.select("subject", F.col("to_id").alias("from_id"), F.col("from_id").alias("comp_id"))
-        return self.g.trigger_edges.join(owner, ["subject", "from_id"])
+        return cut_lineage(self.g.trigger_edges.join(owner, ["subject", "from_id"]))
 
     @cached_property
     def workflows(self) -> DataFrame:
@@ -218,7 +222,7 @@ class Flow:
             unresolved.alias("unresolved"), "atoms", *[merged(c).alias(c) for c in MERGED],
             F.col("nav").isNotNull().alias("has_nav"), (F.size(F.coalesce("calls", _empty(STEPS))) > 0).alias("has_calls"),
             F.coalesce("calls_router", F.lit(False)).alias("calls_router"))
-        return classify(shaped)
+        return cut_lineage(classify(shaped))  # the end of a phase: intents, checks and views start here
 
     @cached_property
     def start_routes(self) -> DataFrame:

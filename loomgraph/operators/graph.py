@@ -49,8 +49,9 @@ def with_ids(edges: DataFrame, unique: bool) -> DataFrame:
     """
     if unique:
         return edges.withColumn("edge_id", edge_id(F.lit(0)))
-    keyed = ordinal(edges, ["subject", "from_id", "kind", "to_id"], "seq", "__idx", ["effect_group", "target_text"])
-    return keyed.withColumn("edge_id", edge_id(F.col("__idx"))).drop("__idx")
+    keyed = edges.withColumn("__to", F.coalesce("to_id", F.lit("__null__")))
+    keyed = ordinal(keyed, ["subject", "from_id", "kind", "__to"], "seq", "__idx", ["effect_group", "target_text"])
+    return keyed.withColumn("edge_id", edge_id(F.col("__idx"))).drop("__idx", "__to")
 
 
 def edge_guard(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -160,10 +161,10 @@ class Graph:
     # ---- structural edges --------------------------------------------------------
 
     @cached_property
-    def declares_component(self) -> DataFrame:
+    def _declares_component(self) -> DataFrame:
         index = last_by_name(self.t.components, F.col("class_name"), "comp_id")
         named = self.t.declarations.join(index.withColumnRenamed("name", "class_name"), ["subject", "class_name"])
-        return with_ids(edge(named, "MODULE_DECLARES_COMPONENT", "module_id", "comp_id", "seq", refs=ref("module_id")), False)
+        return edge(named, "MODULE_DECLARES_COMPONENT", "module_id", "comp_id", "seq", refs=ref("module_id"))
 
     @cached_property
     def declares_route(self) -> DataFrame:
@@ -197,7 +198,7 @@ class Graph:
         return with_ids(edge(inner, "WIDGET_CONTAINS_WIDGET", "parent_id", "widget_id", "p", refs=ref("comp_id")), True)
 
     @cached_property
-    def composes(self) -> DataFrame:
+    def _composes(self) -> DataFrame:
         """Template composition by selector, else class name, then dialogs opened by handlers."""
         c = self.t.components
         by_selector = last_by_name(c, F.lower("selector"), "comp_id").withColumnRenamed("comp_id", "by_selector")
@@ -212,7 +213,7 @@ class Graph:
         opened = (self.contexts.where("shape = 'DialogOpen'").join(exact, ["subject", "target"]).where("to <> comp_id"))
         late = F.lit(1 << 60) + F.col("place")  # dialogs come after the template edges
         dialog = edge(opened, "COMPONENT_COMPOSES_COMPONENT", "comp_id", "to", late, refs=ref("file"))
-        return with_ids(static.unionByName(dialog), False)
+        return static.unionByName(dialog)
 
     @cached_property
     def root_module(self) -> DataFrame:
@@ -221,14 +222,14 @@ class Graph:
                 .agg(F.count(F.lit(1)).alias("c"), F.min("module_id").alias("module_id")).where("c = 1").drop("c"))
 
     @cached_property
-    def provides(self) -> DataFrame:
+    def _provides(self) -> DataFrame:
         named = self.t.providers.join(
             first_by_name(self.t.services, F.col("name"), "svc_id").withColumnRenamed("name", "provider"), ["subject", "provider"])
         by_name = named.select("subject", "module_id", "svc_id")
         rooted = (self.t.services.where("provided_in = 'root'").select("subject", "svc_id")
                   .join(by_name, ["subject", "svc_id"], "left_anti").join(self.root_module, "subject"))
         both = by_name.unionByName(rooted.select("subject", "module_id", "svc_id"))
-        return with_ids(edge(both, "MODULE_PROVIDES_SERVICE", "module_id", "svc_id", F.lit(0), refs=ref("module_id")), False)
+        return edge(both, "MODULE_PROVIDES_SERVICE", "module_id", "svc_id", F.lit(0), refs=ref("module_id"))
 
     @cached_property
     def module_links(self) -> DataFrame:
@@ -265,73 +266,95 @@ class Graph:
         return inner.join(resolve_links(inner, self.t.routes), ["subject", "comp_id", "value"], "left")
 
     @cached_property
-    def navigates_route(self) -> DataFrame:
+    def _navigates_route(self) -> DataFrame:
         d = self.links.join(self.surfaces, ["subject", "target_route_id"], "left").join(self._ui, ["subject", "widget_id"])
-        return with_ids(edge(
+        return edge(
             d, "WIDGET_NAVIGATES_ROUTE", "widget_id", "target_route_id", "seq", has_target=F.lit(True),
             target_route_id=F.col("target_route_id"), refs=ref("file", F.col("seq"), F.col("seq") + 1),
-            target_text=F.when(F.col("target_route_id").isNull(), F.col("value")), atoms=widget_atoms(), **self._surface()), False)
+            target_text=F.when(F.col("target_route_id").isNull(), F.col("value")), atoms=widget_atoms(), **self._surface())
 
     @cached_property
-    def navigates_external(self) -> DataFrame:
+    def _navigates_external(self) -> DataFrame:
         d = self.t.bindings.where((F.lower("name") == "href") & is_external("value")).join(self._ui, ["subject", "widget_id"])
-        return with_ids(edge(
+        return edge(
             d, "WIDGET_NAVIGATES_EXTERNAL", "widget_id", external_id("value"), "seq", event=F.lit("click"),
-            refs=ref("file", F.col("seq"), F.col("seq") + 1), atoms=widget_atoms()), False)
+            refs=ref("file", F.col("seq"), F.col("seq") + 1), atoms=widget_atoms())
 
     @cached_property
-    def triggers(self) -> DataFrame:
+    def _triggers(self) -> DataFrame:
         """Handler and form edges; handlers that only log make none."""
         ev = self.t.events.join(diagnostic_handlers(self.t.calls), ["subject", "comp_id", "handler"], "left_anti")
         d = ev.join(self._ui, ["subject", "widget_id"])
         submit = (F.col("event_type") == "submit") & (F.col("kind") == "Form")
-        return with_ids(edge(
+        return edge(
             d, F.when(submit, "WIDGET_SUBMITS_FORM").otherwise("WIDGET_TRIGGERS_HANDLER"), "widget_id", "comp_id", "seq",
             event=F.col("event_type"), handler=F.col("handler"), effect_group=F.concat_ws("::", "comp_id", "handler"),
-            refs=ref("file", F.col("seq"), F.col("seq") + 1), atoms=widget_atoms(submit)), False)
+            refs=ref("file", F.col("seq"), F.col("seq") + 1), atoms=widget_atoms(submit))
 
     @cached_property
     def contexts(self) -> DataFrame:
         return cut_lineage(call_contexts(self.t.calls))  # read by three kinds of edges
 
     @cached_property
-    def calls_service(self) -> DataFrame:
+    def _calls_service(self) -> DataFrame:
         names = self.t.services.select("subject", "name", "svc_id")
         index = names.withColumn("target", F.col("name"))
         lowered = names.withColumn("target", F.concat(F.lower(F.left("name", F.lit(1))), F.substring("name", 2, 1000)))
         index = index.unionByName(lowered).groupBy("subject", "target").agg(F.min("svc_id").alias("svc_id"))
         d = self.contexts.where("shape = 'ServiceCall'").join(index, ["subject", "target"])
-        return with_ids(self._effect(edge, d, "COMPONENT_CALLS_SERVICE", "svc_id", call_ordinal=F.col("call_ordinal")), False)
+        return self._effect(d, "COMPONENT_CALLS_SERVICE", "svc_id", call_ordinal=F.col("call_ordinal"))
 
     @cached_property
-    def component_navigates(self) -> DataFrame:
+    def _component_navigates(self) -> DataFrame:
         nav = self.contexts.where("shape = 'Navigate'").withColumn("value", F.col("target"))
         d = (nav.join(resolve_programmatic(nav, self.t.routes), ["subject", "value"], "left")
              .join(self.surfaces, ["subject", "target_route_id"], "left"))
-        return with_ids(self._effect(
-            edge, d, "COMPONENT_NAVIGATES_ROUTE", "target_route_id", has_target=F.lit(True),
+        return self._effect(
+            d, "COMPONENT_NAVIGATES_ROUTE", "target_route_id", has_target=F.lit(True),
             target_route_id=F.col("target_route_id"),
-            target_text=F.when(F.col("target_route_id").isNull(), F.col("value")), **self._surface()), False)
+            target_text=F.when(F.col("target_route_id").isNull(), F.col("value")), **self._surface())
 
     @staticmethod
-    def _effect(make, d, kind, to, **extra):
+    def _effect(d, kind, to, **extra):
         group = F.concat_ws("::", "comp_id", "handler")
-        return make(d, kind, "comp_id", to, "place", effect_group=group, handler=F.col("handler"),
+        return edge(d, kind, "comp_id", to, "place", effect_group=group, handler=F.col("handler"),
                     refs=ref("file", F.col("ord"), F.col("ord") + 1), **extra)
 
     # ---- the whole ------------------------------------------------------------------
 
+    # ids are given to several kinds in one pass, since the kind is part of the key
+
     @cached_property
-    def edges(self) -> DataFrame:
-        """All edges. Every branch has its kind as a literal, so a filter on kind drops the other branches."""
-        return union_all([
-            self.declares_component, self.declares_route, self.has_child, self.activates, self.contains_widget,
-            self.widget_contains, self.composes, self.provides, self.module_links, self.redirect_edges,
-            self.navigates_route, self.navigates_external, self.triggers, self.calls_service, self.component_navigates])
+    def declares_component(self) -> DataFrame:
+        return with_ids(self._declares_component, False)
+
+    @cached_property
+    def composes(self) -> DataFrame:
+        return with_ids(self._composes, False)
+
+    @cached_property
+    def provides(self) -> DataFrame:
+        return with_ids(self._provides, False)
 
     @cached_property
     def trigger_edges(self) -> DataFrame:
-        return union_all([self.navigates_route, self.navigates_external, self.triggers])
+        return with_ids(union_all([self._navigates_route, self._navigates_external, self._triggers]), False)
+
+    @cached_property
+    def effect_edges(self) -> DataFrame:
+        return with_ids(union_all([self._calls_service, self._component_navigates]), False)
+
+    def of_kind(self, *kinds: str) -> DataFrame:
+        return self.edges.where(F.col("kind").isin(*kinds))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """All edges. Every branch has its kind as a literal, so a filter on kind drops the other branches."""
+        several = with_ids(union_all([
+            self._declares_component, self._composes, self._provides, self._navigates_route, self._navigates_external,
+            self._triggers, self._calls_service, self._component_navigates]), False)
+        return union_all([self.declares_route, self.has_child, self.activates, self.contains_widget,
+                          self.widget_contains, self.module_links, self.redirect_edges, several])
 
     @cached_property
     def gates(self) -> DataFrame:
@@ -399,9 +422,3 @@ def out_of_order(edges: DataFrame) -> DataFrame:
     a = edges.select("subject", "pos", key.alias("k"), "edge_id")
     b = edges.select("subject", (F.col("pos") + 1).alias("pos"), key.alias("prev"))
     return a.join(b, ["subject", "pos"]).where("prev > k").select("subject", "edge_id")
-
-
-def stored_edges(edges: DataFrame) -> DataFrame:
-    """Freeze a graph other steps read many times."""
-    return cut_lineage(edges)
-

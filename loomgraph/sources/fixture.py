@@ -21,8 +21,8 @@ COMPONENT = {
 
 # selector or class name used by a component template, by place
 USES = [
-    ("1", "2 * r <= 20", "'app-s' || (app * 20 + 2 * r - 1) || case when (app * 20 + 2 * r - 1) % 5 = 4 then '-dialog' else '' end"),
-    ("2", "2 * r + 1 <= 20", "'APP-S' || (app * 20 + 2 * r) || case when (app * 20 + 2 * r) % 5 = 4 then '-dialog' else '' end"),
+    ("1", "r > 1 and 2 * r <= 20", "'app-s' || (app * 20 + 2 * r - 1) || case when (app * 20 + 2 * r - 1) % 5 = 4 then '-dialog' else '' end"),
+    ("2", "r > 1 and 2 * r + 1 <= 20", "'APP-S' || (app * 20 + 2 * r) || case when (app * 20 + 2 * r) % 5 = 4 then '-dialog' else '' end"),
     ("3", "r % 7 = 0", "'S' || (app * 20 + cast(r / 7 as bigint)) || 'Component'"),
     ("4", "r % 9 = 0", "'app-s' || k || case when k % 5 = 4 then '-dialog' else '' end"),
     ("5", "r % 4 = 0", "'app-x' || k"),

@@ -55,7 +55,7 @@ class Tables:
 
     @cached_property
     def routes(self) -> DataFrame:
-        active = (self.suppliers.where("k % 2 = 0").groupBy("app", "n").agg(F.min("k").alias("k"))
+        active = (self.suppliers.where("k % 2 = 0 and r > 1").groupBy("app", "n").agg(F.min("k").alias("k"))
                   .selectExpr("app", "n", "k", f"{fx.COMPONENT['comp_id']} as comp"))
         return (
             self._nations.join(active, ["app", "n"], "left")
@@ -216,6 +216,35 @@ class Tables:
             "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(conv_id % 1000 + turn * 2 as int)) as ts_start",
             "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(conv_id % 1000 + turn * 2 + turn % 3 as int)) as ts_end")
 
+    @cached_property
+    def requests(self) -> DataFrame:
+        """Network evidence of test logs: one request per turn, not always inside its step."""
+        return self.steps.selectExpr(
+            "test_id", "pos as req", "ts_start + make_interval(0, 0, 0, 0, 0, cast(length(text) % 4 as int)) as ts",
+            "case length(text) % 3 when 0 then 'GET' when 1 then 'POST' else 'PUT' end as method",
+            "cast(200 + 100 * (length(text) % 4) + length(text) % 2 as bigint) as status")
+
+    @cached_property
+    def logs(self) -> DataFrame:
+        """Test logs of conversations: every test fails at one of its first turns."""
+        return self.steps.where("pos = cast(test_id as bigint) % 4").selectExpr(
+            "test_id", "subject", "step_id as failed_step_id",
+            "case length(text) % 5 when 0 then 'interaction-failed' when 1 then 'locator-not-found' when 2 then 'timeout' "
+            "when 3 then 'assertion-failed' else 'unknown' end as failure_kind")
+
+    @cached_property
+    def tests(self) -> DataFrame:
+        """Tests seen in the events, with what earlier stages know about them."""
+        return (self.attempts.groupBy("test_id", "user_id", "subject").agg(F.min("k").alias("k"), F.min("ts").alias("first_ts"))
+                .selectExpr(
+                    "test_id", "user_id", "subject", "k", "date_trunc('day', first_ts) as run_start",
+                    "case when user_id % 9 = 0 then 'PRUNED' when user_id % 4 = 0 then 'FEASIBLE' else 'CONDITIONAL' end as verdict",
+                    "user_id % 9 <> 0 and user_id % 7 <> 0 as has_plan", "user_id % 9 <> 0 and user_id % 7 <> 0 and user_id % 5 <> 0 as has_code",
+                    "user_id % 20 = 3 as skipped",
+                    # the log a test left behind
+                    "k % 11 <> 0 as log_exists", "date_trunc('day', first_ts) - make_interval(0, 0, 0, 0, 0, 0, case when k % 13 = 0 then 6 else 4 end) as log_time",
+                    "case when k % 17 = 0 then null when k % 7 = 0 then 'FAIL' else 'PASS' end as log_outcome", "k % 5 as log_steps", "k % 17 = 0 as log_broken"))
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -15,7 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def main(sf, prefixes):
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+             .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     folder = f"/root/testdata/sf{sf}"
