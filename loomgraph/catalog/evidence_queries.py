@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from loomgraph.catalog.registry import query
-from loomgraph.functions.scalar import percent1
 from loomgraph.operators import evidence as ev
 
 HAS = "contains(x, '{}')"
@@ -177,9 +176,7 @@ def failure_families(t):
 @query("E14_families_by_count", "family:s n:i share:d", f"""
 select family, n, round(100.0 * n / (select count(*) from ({FAMILY})), 1) as share from (select family, count(*) as n from ({FAMILY}) group by all) order by n desc, family""")
 def by_count(t):
-    f = families(t).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    total = f.agg(F.sum("n").alias("all_n"))
-    return f.crossJoin(F.broadcast(total)).select("family", "n", percent1("n", "all_n").alias("share")).orderBy(F.desc("n"), "family")
+    return ev.family_shares(families(t)).orderBy(F.desc("n"), "family")
 
 
 @query("E14_per_test_table", "subject:s test_id:s outcome:s attempts:i duration_ms:i failure_kind:s error:s", f"""
@@ -237,7 +234,7 @@ def residual(t):
 
 @query("E16_family_catalogue", "family:s subject:s n:i total:i rank:i", f"""
 select family, subject, n, total, dense_rank() over (order by total desc, family) as rank from (
-  select family, subject, count(*) as n, sum(count(*)) over (partition by family) as total from ({RESIDUAL}) group by all)""")
+  select *, sum(n) over (partition by family) as total from (select family, subject, count(*) as n from ({RESIDUAL}) group by all))""")
 def catalogue(t):
     return ev.family_catalogue(residuals(t))
 

@@ -380,3 +380,164 @@ union select e.subject, r.target_route_id from v_entry e join v_redirect r on r.
 VIEWS["v_gate"] = """
 select subject, inside_ng_if as gate, to_id as comp_id from v_compose where inside_ng_if is not null
 union select g.subject, g.gate, c.to_id from v_gate g join v_cc c on c.subject = g.subject and c.from_id = g.comp_id"""
+
+# ---- intents -------------------------------------------------------------------------------------
+
+VIEWS["v_route_guard"] = "select distinct a.subject, a.route_id, unnest(r.guards) as guard from v_above a join v_route r on r.subject = a.subject and r.route_id = a.above"
+VIEWS["v_comp_guard"] = "select distinct a.subject, a.comp_id, g.guard from v_active a join v_route_guard g on g.subject = a.subject and g.route_id = a.start_route"
+VIEWS["v_comp_gate"] = "select subject, comp_id, list(distinct gate order by gate) as gates from v_gate group by all"
+CSS = "'\\b(hide|hidden|d-none|visually-hidden|sr-only)\\b', 'i'"
+VIEWS["v_wfact"] = f"""
+select w.*, case when f.kind = 'Form' then w.parent_id end as form_around, coalesce(regexp_matches(w.a_class, {CSS}), false) as css_hidden,
+  case when w.visible_expr is not null and not list_contains(coalesce(g.gates, []), w.visible_expr) then list_append(coalesce(g.gates, []), w.visible_expr) else coalesce(g.gates, []) end as gates,
+  l.value as router_link
+from v_widget w left join v_widget f on f.widget_id = w.parent_id left join v_comp_gate g on g.subject = w.subject and g.comp_id = w.comp_id
+left join (select subject, widget_id, arg_min(value, (seq, value)) as value from v_link group by all) l on l.widget_id = w.widget_id"""
+VIEWS["v_field"] = f"""
+select c.subject, c.parent_id as form_id, c.widget_id as field_id, c.tag_name, c.kind, c.form_control_name, c.a_name as name_attr,
+  case when c.form_control_name is null and c.a_name is null then c.a_id end as id_attr, c.a_type as input_type, coalesce(c.required_literal, 0) = 1 as required,
+  c.min_length, c.max_length, c.min_value, c.max_value, c.pattern, case when regexp_matches(c.ng_model, '[|]\\s*date\\s*:') then regexp_extract(c.ng_model, '''([^'']+)''', 1) end as date_format,
+  case when c.kind = 'Select' then o.v end as first_option, coalesce(c.form_control_name, c.a_name, case when c.form_control_name is null and c.a_name is null then c.a_id end, c.widget_id) as key
+from v_widget c join v_widget f on f.widget_id = c.parent_id and f.kind = 'Form'
+left join (select parent_id, arg_min(a_value, widget_id) as v from v_widget where kind = 'Option' and coalesce(a_value, '') <> '' group by all) o on o.parent_id = c.widget_id
+where c.kind not in ('Form', 'Button', 'Option') and coalesce(c.visible_literal, 1) <> 0 and not coalesce(regexp_matches(c.a_class, {CSS}), false)
+  and coalesce(c.a_type, '') <> 'hidden' and coalesce(c.a_readonly, 'no') not in ('', 'true', 'readonly')"""
+VIEWS["v_ext"] = "select subject, node_id, label as url from v_node where kind = 'External'"
+VIEWS["v_intent"] = """
+select w.*, x.selector, x.tag_name, x.kind as widget_kind, x.form_around, x.gates, x.css_hidden, x.router_link, x.visible_expr, x.inside_ng_for, x.is_template, x.a_type, x.a_target, x.p,
+  r.full_path as terminal_path, e.url as external_url, f.full_path as first_path, len(f.params) as first_params,
+  case when w.trigger_kind in ('WIDGET_NAVIGATES_ROUTE', 'WIDGET_NAVIGATES_EXTERNAL') then 'click' when w.trigger_kind = 'WIDGET_SUBMITS_FORM' then coalesce(w.event, 'submit') else w.event end as trigger_event,
+  list_sort(list_distinct(list_concat(w.guards, coalesce(g.names, [])))) as guard_names, len(w.params) > 0 or coalesce(len(f.params), 0) > 0 as requires_params
+from v_workflow w join v_wfact x on x.widget_id = w.widget_id left join v_route r on r.subject = w.subject and r.route_id = w.terminal_id
+left join v_ext e on e.subject = w.subject and e.node_id = w.terminal_id left join v_route f on f.subject = w.subject and f.route_id = w.first_route
+left join (select subject, comp_id, list(guard) as names from v_comp_guard group by all) g on g.subject = w.subject and g.comp_id = w.comp_id
+where w.verdict <> 'PRUNED'"""
+
+# ---- plans -----------------------------------------------------------------------------------------
+
+VIEWS["v_login"] = f"select subject, {fx.LOGIN_ROUTE} as login_route from v_module where g = 2 and {fx.LOGIN_ROUTE} is not null"
+VIEWS["v_skip"] = f"select subject, edge_id as workflow_id from v_trigger where {fx.SKIP_WHERE}"
+VIEWS["v_form_override"] = """
+select distinct subject, widget_id || '::WIDGET_SUBMITS_FORM::' || comp_id || '::0' as workflow_id, unnest(['email', 'city', 'fc4']) as key, 'given' as value
+from v_event where event_type = 'submit' and kind = 'Form' and seq % 5 = 2"""
+VIEWS["v_within"] = """
+select distinct subject, from_id, to_id, 1 as d from v_cc union select w.subject, w.from_id, c.to_id, w.d + 1 from v_within w join v_cc c on c.subject = w.subject and c.from_id = w.to_id where w.d < 4"""
+VIEWS["v_renders"] = """
+select subject, from_id as route_id, to_id as comp_id from v_edge where kind = 'ROUTE_ACTIVATES_COMPONENT'
+union select e.subject, e.from_id, w.to_id from v_edge e join v_within w on w.subject = e.subject and w.from_id = e.to_id where e.kind = 'ROUTE_ACTIVATES_COMPONENT'"""
+VIEWS["v_choice"] = """
+select a.subject, a.comp_id, n.needs_auth, r.route_id as start_id, r.full_path as start_path, r.params as start_params, list_sort(r.guards) as start_guards
+from v_active a join v_route r on r.subject = a.subject and r.route_id = a.start_route, (values (true), (false)) n(needs_auth)
+qualify row_number() over (partition by a.subject, a.comp_id, n.needs_auth order by
+  case when exists (select 1 from v_renders v where v.subject = a.subject and v.route_id = a.start_route and v.comp_id = a.comp_id) then 0 else 1 end,
+  case when contains(r.full_path, '**') then 1 else 0 end,
+  case when (len(list_filter(r.guards, lambda g: not contains(lower(g), 'noauth'))) > 0) = n.needs_auth then 0 else 1 end, len(r.params), length(r.full_path), r.full_path) = 1"""
+VIEWS["v_acct"] = """
+select c.subject, c.start_guards, arg_min(a.username, a.pos) as username from (select distinct subject, start_guards from v_choice) c
+join v_account a on a.subject = c.subject where len(list_filter(c.start_guards, lambda g: not contains(lower(g), 'noauth'))) > 0
+  and list_has_all(a.guards, list_filter(c.start_guards, lambda g: not contains(lower(g), 'noauth'))) group by all"""
+VIEWS["v_assigned"] = """
+select i.*, c.start_id, c.start_path, c.start_params, c.start_guards, a.username, l.login_route from v_intent i
+left join v_choice c on c.subject = i.subject and c.comp_id = i.comp_id and c.needs_auth = (len(i.guard_names) > 0)
+left join v_acct a on a.subject = c.subject and a.start_guards = c.start_guards left join v_login l on l.subject = i.subject
+where not exists (select 1 from v_skip s where s.subject = i.subject and s.workflow_id = i.workflow_id)"""
+VIEWS["v_pair"] = "select distinct subject, start_path, terminal_path from v_assigned"
+VIEWS["v_bound"] = """
+select p.subject, p.start_path, p.terminal_path, p.param, coalesce(
+  (select min(value) from v_param_value v where v.subject = p.subject and v.template = p.terminal_path and v.param = p.param),
+  (select min(value) from v_param_value v where v.subject = p.subject and v.template = p.start_path and v.param = p.param),
+  (select min(value) from v_param_value v where v.subject = p.subject and v.template is null and v.param = p.param), '<' || p.param || '>') as value
+from (select *, unnest(list_distinct(list_concat(regexp_extract_all(start_path, ':([a-zA-Z_][a-zA-Z0-9_]*)', 1), regexp_extract_all(coalesce(terminal_path, ''), ':([a-zA-Z_][a-zA-Z0-9_]*)', 1)))) as param from v_pair) p"""
+
+
+def fnv(x):
+    return (f"list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({x}, ''), lambda c: unicode(c)::bigint)), "
+            "lambda h, c: (xor(h, c) * 16777619) & 4294967295)")
+
+
+def sub(path, vid="v_id", vtab="v_tab"):
+    return f"regexp_replace(regexp_replace({path}, ':id', coalesce({vid}, ':id')), ':tab', coalesce({vtab}, ':tab'))"
+
+
+GENERIC = ("list_bool_and(list_transform(list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> ''), lambda x: x in (" + strings(fixed.GENERIC_CLASSES)
+           + ") or " + " or ".join(f"starts_with(x, '{p}')" for p in fixed.GENERIC_CLASS_PREFIXES) + "))")
+IDENT = "'^[a-zA-Z_$][a-zA-Z0-9_$.]*$'"
+
+
+def classes(x):
+    return f"array_to_string(list_transform(string_split_regex({x}, '\\s+'), lambda c: '.' || c), '')"
+
+
+VIEWS["v_plan_base"] = """
+select a.*, b.v_id, b.v_tab from v_assigned a left join (select subject, start_path, terminal_path, max(value) filter (param = 'id') as v_id, max(value) filter (param = 'tab') as v_tab
+  from v_bound group by all) b on b.subject = a.subject and b.start_path = a.start_path and b.terminal_path is not distinct from a.terminal_path"""
+_name = " ".join("when " + " or ".join(f"contains(low, '{w}')" for w in words) + f" then '{v}'" for words, v in fixed.NAME_VALUES)
+_name += " " + " ".join(f"when low = '{k}' then '{v}'" for k, v in fixed.EXACT_NAME_VALUES.items())
+_types = " ".join(f"when '{k}' then '{v}'" for k, v in fixed.TYPE_VALUES.items())
+VIEWS["v_form_value"] = f"""
+select *, case when given is not null then given when start_path = login_route and form_control_name = 'username' then first_user when start_path = login_route and form_control_name = 'password' then first_pw
+  when input_type = 'email' then 'test-' || sfx || '@example.com' when input_type = 'number' then case when min_value is not null then min_value || '' when max_value is not null then least(1, max_value) || '' else '1' end
+  when input_type in ({strings(fixed.TYPE_VALUES)}) then case input_type {_types} end when kind = 'Checkbox' then 'true'
+  when tag_name = 'select' then coalesce(first_option, 'option-1') when tag_name = 'textarea' then base when date_format is not null then '2024-01-01'
+  when pattern = '^[0-9]*$' then repeat('1', n) when pattern = '^[a-zA-Z0-9]+$' then rpad('Test1', n, '0') when pattern = '^[A-Za-z ]+$' then rpad('Test', n, 'x')
+  when pattern = '^https?://' then 'https://example.com'
+  when min_length > 0 and length(base) < min_length then rpad(base, cast(min_length as int), 'x') when max_length is not null then left(base, max_length) when min_length > 0 then base
+  {_name} else base end as value
+from (select *, 'test-' || key || '-' || sfx as base, cast(least(coalesce(max_length, min_length, 10), 20) as int) as n, lower(key) as low from (
+  select a.subject, a.workflow_id, a.start_path, a.login_route, a.is_template, a.selector, f.* exclude (subject), o.value as given, u.username as first_user, u.password as first_pw,
+    left(lower(to_hex({fnv('a.workflow_id')})), 4) as sfx
+  from v_assigned a join v_field f on f.subject = a.subject and f.form_id = a.widget_id left join v_form_override o on o.subject = a.subject and o.workflow_id = a.workflow_id and o.key = f.key
+  left join (select subject, arg_min(username, pos) as username, arg_min(password, pos) as password from v_account group by all) u on u.subject = a.subject
+  where a.trigger_kind = 'WIDGET_SUBMITS_FORM'))"""
+VIEWS["v_locator"] = f"""
+select subject, workflow_id, split_part(loc, chr(1), 1) as strategy, split_part(loc, chr(1), 2) as value from (select i.subject, i.workflow_id,
+  case when coalesce(w.a_data_testid, '') <> '' then 'data-testid' || chr(1) || w.a_data_testid when coalesce(w.a_id, '') <> '' then 'id' || chr(1) || w.a_id
+  when coalesce(w.form_control_name, '') <> '' then 'formcontrolname' || chr(1) || w.form_control_name when coalesce(w.a_name, '') <> '' then 'name' || chr(1) || w.a_name
+  when coalesce(w.a_aria_label, '') <> '' and not regexp_matches(trim(w.a_aria_label), {IDENT}) then 'aria-label' || chr(1) || w.a_aria_label
+  when coalesce(w.a_placeholder, '') <> '' then 'placeholder' || chr(1) || w.a_placeholder
+  when coalesce(i.router_link, '') <> '' and w.tag_name = 'a' and not contains(i.router_link, '{{{{') and not starts_with(ltrim(i.router_link), '[') and not regexp_matches(trim({strip('i.router_link')}), {IDENT})
+    then 'routerlink' || chr(1) || {strip('i.router_link')}
+  when coalesce(w.a_type, '') <> '' then 'custom' || chr(1) || w.tag_name || '[type="' || w.a_type || '"]'
+  when coalesce(w.a_class, '') <> '' and not coalesce({GENERIC.format('w.a_class')}, true) then 'custom' || chr(1) || {classes('w.a_class')}
+  when w.tag_name = 'a' and coalesce(trim(w.text), '') <> '' and length(trim(w.text)) <= 40 and not regexp_matches(trim(w.text), {IDENT}) then 'linktext' || chr(1) || trim(w.text)
+  when w.inside_ng_for is not null and w.tag_name = w.ng_for_item_tag and w.ng_for_ordinal = 0 then 'custom' || chr(1) || w.tag_name || ':nth-of-type(1)'
+  when w.inside_ng_for is not null and w.tag_name <> w.ng_for_item_tag then 'custom' || chr(1) || w.ng_for_item_tag || ':nth-of-type(1) ' || w.tag_name || ':nth-of-type(' || (w.ng_for_ordinal + 1) || ')'
+  else 'tag-position' || chr(1) || w.tag_name || ':' || (w.p + 1) end as loc
+from v_intent i join v_widget w on w.widget_id = i.widget_id)"""
+VIEWS["v_rendered_on"] = "select e.subject, e.to_id as opener, arg_min(r.full_path, e.from_id) as opener_path from v_edge e join v_route r on r.subject = e.subject and r.route_id = e.from_id where e.kind = 'ROUTE_ACTIVATES_COMPONENT' group by all"
+VIEWS["v_deferred"] = "select subject, to_id as comp_id, bool_or(coalesce(inside_template, 0) = 1 or inside_ng_for is not null) as deferred, min(from_id) as opener from v_edge where kind = 'COMPONENT_COMPOSES_COMPONENT' group by all"
+VIEWS["v_acting"] = "select distinct w.* from v_widget w join v_edge e on e.kind = 'WIDGET_TRIGGERS_HANDLER' and e.from_id = w.widget_id where w.kind = 'Button' and w.is_template = 0"
+VIEWS["v_opener"] = f"""
+select c.subject, c.comp_id, n.opener_selector as name_selector, n.opener_widget as name_widget, n.opener_path as name_path, n.subject is not null as by_name,
+  b.at as by_button, f.parent_selector as flag_selector, f.opener_text as flag_text, f.opener_path as flag_path
+from v_component c
+left join (select d.subject, d.comp_id, s.selector as opener_selector, q.opener_widget, r.opener_path from v_deferred d join v_component x on x.comp_id = d.comp_id and regexp_matches(x.selector, 'dialog|modal', 'i')
+  join v_component s on s.comp_id = d.opener left join v_rendered_on r on r.opener = d.opener left join (
+    select w.comp_id as opener, arg_min(case when coalesce(w.a_data_testid, '') <> '' then '[data-testid="' || w.a_data_testid || '"]' when coalesce(w.a_id, '') <> '' then '#' || w.a_id
+      when coalesce(w.a_class, '') <> '' and not coalesce({GENERIC.format('w.a_class')}, true) then {classes('w.a_class')} else w.tag_name || ':' || (w.p + 1) end, w.widget_id) as opener_widget
+    from v_widget w join v_edge e on e.from_id = w.widget_id and e.kind = 'WIDGET_TRIGGERS_HANDLER' join v_effect g on g.subject = e.subject and g.effect_group = e.effect_group and g.n_calls > 0 and g.nav_id is null
+    group by all) q on q.opener = d.opener where not d.deferred) n on n.comp_id = c.comp_id
+left join (select a.comp_id, 'button:' || (select count(*) from v_widget w where w.comp_id = a.comp_id and w.kind = 'Button' and w.is_template = 0 and w.widget_id <= a.widget_id) as at
+  from (select comp_id, min(widget_id) as widget_id from v_acting group by all having count(*) = 1) a
+  where not exists (select 1 from v_deferred d where d.comp_id = a.comp_id and d.deferred)) b on b.comp_id = c.comp_id
+left join (select e.to_id as comp_id, arg_min(s.selector, e.from_id) as parent_selector, arg_min(x.opener_text, e.from_id) as opener_text, arg_min(coalesce(r.opener_path, ''), e.from_id) as opener_path
+  from v_edge e join v_component s on s.comp_id = e.from_id join (select comp_id, arg_max(text, widget_id) as opener_text from v_acting where inside_ng_for is null and coalesce(text, '') <> '' group by all) x on x.comp_id = e.from_id
+  left join v_rendered_on r on r.opener = e.from_id where e.kind = 'COMPONENT_COMPOSES_COMPONENT' and regexp_matches(e.inside_ng_if, '^[a-zA-Z_$][a-zA-Z0-9_$]*$') group by all) f on f.comp_id = c.comp_id"""
+VIEWS["v_plan"] = f"""
+select *, case when crash then 'assert-no-crash' when trigger_kind = 'WIDGET_NAVIGATES_EXTERNAL' then case when external_url is not null then 'assert-url-matches' else 'assert-no-crash' end
+  when terminal_path is not null then case when has_nav and trigger_kind in ('WIDGET_TRIGGERS_HANDLER', 'WIDGET_SUBMITS_FORM') and start_path <> expected_path then 'assert-url-matches-or-unchanged' else 'assert-url-matches' end
+  else 'assert-no-crash' end as post_type
+from (select *, coalesce(trigger_kind = 'WIDGET_SUBMITS_FORM' and start_path = login_route and terminal_path = start_path, false) or coalesce(trigger_kind = 'WIDGET_SUBMITS_FORM' and terminal_path = login_route and start_path <> login_route, false)
+  or (trigger_kind = 'WIDGET_SUBMITS_FORM' and n_dialogs > 0) or coalesce(contains(terminal_path, '**'), false) or (trigger_kind = 'WIDGET_NAVIGATES_EXTERNAL' and coalesce(a_target, '') = '_blank')
+  or (trigger_kind = 'WIDGET_TRIGGERS_HANDLER' and coalesce(router_link, '') <> '') or css_hidden or (trigger_kind = 'WIDGET_TRIGGERS_HANDLER' and not has_nav) as crash,
+  case when trigger_kind = 'WIDGET_SUBMITS_FORM' then {sub('terminal_path', "case when list_contains(all_params, 'id') then v_id end", "case when list_contains(all_params, 'tab') then v_tab end")} else {sub('terminal_path')} end as expected_path,
+  (case when coalesce(visible_expr, '') <> '' then 1 else 0 end) as waits, username is not null and login_route is not null as has_auth
+from (select a.*, coalesce(p.names, []) as all_params, (case when by_name then 1 else 0 end) + (case when a.is_template = 1 and o.by_button is not null then 1 else 0 end) + (case when flag_ok then 1 else 0 end) as n_dialogs,
+  case when by_name then a.selector when a.is_template = 1 and o.by_button is not null then 'ngb-modal-window' when flag_ok then a.selector end as dialog_selector,
+  case when by_name and name_widget is not null then name_widget when a.is_template = 1 and o.by_button is not null then o.by_button when flag_ok then 'text:' || flag_text end as dialog_opener,
+  coalesce({sub("case when flag_ok and flag_path <> '' then flag_path when by_name then name_path end")}, {sub('a.start_path')}) as start_url,
+  case when a.trigger_kind = 'WIDGET_SUBMITS_FORM' then coalesce(n.c, 0) else 0 end as n_fields
+from v_plan_base a left join (select *, comp_id as oc from v_opener) o on o.oc = a.comp_id
+left join (select form_id, count(*) as c from v_field group by all) n on n.form_id = a.widget_id
+left join (select x.comp_id as pc, list_distinct(flatten(list(regexp_extract_all(r.full_path, ':([a-zA-Z_][a-zA-Z0-9_]*)', 1)))) as names from v_active x join v_route r on r.subject = x.subject and r.route_id = x.start_route group by all) p on p.pc = a.comp_id,
+lateral (select not coalesce(by_name, false) and not (a.is_template = 1 and o.by_button is not null) and flag_selector is not null as flag_ok) z))"""

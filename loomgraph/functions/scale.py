@@ -73,11 +73,10 @@ def reach(seeds: DataFrame, edges: DataFrame, key: list[str], src: str, dst: str
     are removed by an anti join, so cycles end. The subject is always the first key.
     """
     subject = key[0]
-    step = cut_lineage(edges.select(subject, F.col(src).alias("__src"), F.col(dst).alias("__dst")).distinct())
+    step = cut_lineage(edges.select(subject, F.col(src).alias(node), F.col(dst).alias("__dst")).distinct())
     frontier = seen = cut_lineage(seeds.select(*key, node).distinct())
     for _ in range(max_rounds):
-        found = (frontier.join(step, [frontier[subject] == step[subject], frontier[node] == step["__src"]])
-                 .select(*[frontier[k] for k in key], F.col("__dst").alias(node)).distinct())
+        found = frontier.join(step, [subject, node]).select(*key, F.col("__dst").alias(node)).distinct()
         frontier = cut_lineage(found.join(seen, key + [node], "left_anti"))
         if frontier.isEmpty():
             return seen

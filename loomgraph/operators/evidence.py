@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from loomgraph.functions.scalar import any_contains, ratio
+from loomgraph.functions.scalar import any_contains, percent1, ratio
 from loomgraph.functions.scale import span_join
 from loomgraph.sources.views import union_all
 
@@ -234,13 +234,20 @@ def confidence(has_log: Column, has_requests: Column) -> Column:
     return F.when(has_log & has_requests, "HIGH").when(has_log, "MEDIUM").otherwise("LOW")
 
 
+def family_shares(rows: DataFrame) -> DataFrame:
+    """Count and share of every family (E14). The window runs over the counted rows, one per family."""
+    n = rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", percent1("n", F.sum("n").over(W.partitionBy(F.lit(0)))))
+
+
 def family_catalogue(rows: DataFrame) -> DataFrame:
-    """Count per family and application, with the rank of the family overall (E16). Families are a fixed short list."""
+    """Count per family and application, with the rank of the family overall.
+
+    The rank is a window over the totals, one row per family of a fixed short list.
+    """
     per = rows.groupBy("subject", "family").agg(F.count(F.lit(1)).alias("n"))
     total = per.groupBy("family").agg(F.sum("n").alias("total"))
-    ahead = total.select(F.col("total").alias("t2"), F.col("family").alias("f2"))
-    rank = (total.join(F.broadcast(ahead), (F.col("t2") > F.col("total")) | ((F.col("t2") == F.col("total")) & (F.col("f2") < F.col("family"))), "left")
-            .groupBy("family", "total").agg((F.count("f2") + 1).alias("rank")))
+    rank = total.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("total"), "family")))
     return per.join(F.broadcast(rank), "family")
 
 

@@ -138,3 +138,23 @@ SNIPPET = ("case l_partkey % 8 "
            "when 5 then '<select name=\"s' || l_partkey || '\"><option value=\"v' || l_partkey || '\">V</option></select>' "
            "when 6 then '<input type=\"checkbox\" [hidden]=\"' || case when l_partkey % 3 = 0 then 'true' when l_partkey % 3 = 1 then 'false' else 'x.closed' end || '\" class=\"hide big\"><!-- <a> -->' "
            "else '<ng-template><mat-checkbox (ngModelChange)=\"m()\" title=\"1 > 0\">x</mat-checkbox></ng-template>' end")
+
+
+# ---- manifests -------------------------------------------------------------------------------
+
+LOGIN_ROUTE = "case when app % 3 <> 2 then '/r2' end"
+SKIP_WHERE = "seq % 97 = 0"
+FORM_OVERRIDE_WHERE = "l_partkey % 6 = 1"
+
+# one manifest text per customer; the case arms break one rule each
+MANIFEST = (
+    "'{\"subjectName\":' || case c_custkey % 11 when 1 then '\"\"' when 2 then '7' else '\"app' || c_custkey || '\"' end "
+    "|| case when c_custkey % 13 = 3 then '' else ',\"baseUrl\":\"http://h' || c_custkey || '\"' end "
+    "|| ',\"accounts\":' || case when c_custkey % 17 = 4 then '{}' else '[{\"username\":\"' || case when c_custkey % 5 = 0 then '' else c_name end || '\",\"password\":' || case when c_custkey % 7 = 1 then '1' else '\"p\"' end "
+    "|| ',\"roles\":' || case when c_custkey % 19 = 5 then '\"admin\"' else '[\"admin\"]' end || ',\"guardSatisfies\":[\"' || case when c_custkey % 2 = 0 then 'AuthGuard' else 'RoleGuard' end || '\"]}]' end "
+    "|| case when c_custkey % 23 = 6 then '' else ',\"routeParamValues\":{\"id\":\"' || c_custkey || '\"}' end "
+    "|| case when c_custkey % 29 = 7 then ',\"skipWorkflows\":\"all\"' else ',\"skipWorkflows\":[]' end "
+    "|| case when c_custkey % 3 = 0 then ',\"executionConfig\":{\"readinessTimeoutMs\":' || (c_custkey % 4 - 1) || ',\"seedCommand\":' || case when c_custkey % 31 = 9 then '5' else '\"seed\"' end || '}' else '' end "
+    "|| case when c_custkey % 4 = 1 then ',\"seedRequirements\":{\"authGuards\":[\"AuthGuard\"],\"negativeGuards\":[],\"routeParams\":[\"id\",\"tab\"],\"hasFormWorkflows\":' || case when c_custkey % 8 = 5 then '1' else 'true' end || ',\"seedStatus\":\"' || case c_custkey % 12 when 1 then 'later' when 5 then 'needs-command' else 'none' end || '\"}' else '' end "
+    "|| case when c_custkey % 6 = 2 then ',\"authSetup\":{\"loginRoute\":\"/login\",\"usernameField\":\"u\",\"passwordField\":\"' || case when c_custkey % 9 = 5 then '' else 'p' end || '\",\"submitButton\":\"b\"' || case when c_custkey % 10 = 8 then '' else ',\"authSuccessSelector\":\"s\"' end || '}' else '' end "
+    "|| case when c_custkey % 41 = 11 then '' else '}' end")

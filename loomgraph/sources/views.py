@@ -189,6 +189,21 @@ class Tables:
             "subject", "cast(null as string) as template", "'id' as param", "'1' as value")
         return from_routes.unionByName(apps)
 
+    @cached_property
+    def logins(self) -> DataFrame:
+        """Applications with a login page."""
+        return (self.modules.where("g = 2").selectExpr("subject", f"{fx.LOGIN_ROUTE} as login_route").where("login_route is not null"))
+
+    @cached_property
+    def form_overrides(self) -> DataFrame:
+        """Values the manifest gives to a field of one workflow: (widget, event place) names the workflow."""
+        return self.events.where("event_type = 'submit' and kind = 'Form' and seq % 5 = 2").selectExpr(
+            "subject", "widget_id || '::WIDGET_SUBMITS_FORM::' || comp_id || '::0' as workflow_id", "explode(array('email', 'city', 'fc4')) as key", "'given' as value").distinct()
+
+    @cached_property
+    def manifest_texts(self) -> DataFrame:
+        return self("customer").selectExpr("c_custkey as manifest_id", f"{fx.MANIFEST} as text")
+
     # ---- evidence -------------------------------------------------------------------
 
     @cached_property
