@@ -541,3 +541,70 @@ from v_plan_base a left join (select *, comp_id as oc from v_opener) o on o.oc =
 left join (select form_id, count(*) as c from v_field group by all) n on n.form_id = a.widget_id
 left join (select x.comp_id as pc, list_distinct(flatten(list(regexp_extract_all(r.full_path, ':([a-zA-Z_][a-zA-Z0-9_]*)', 1)))) as names from v_active x join v_route r on r.subject = x.subject and r.route_id = x.start_route group by all) p on p.pc = a.comp_id,
 lateral (select not coalesce(by_name, false) and not (a.is_template = 1 and o.by_button is not null) and flag_selector is not null as flag_ok) z))"""
+
+
+# ---- markup ------------------------------------------------------------------------------------------
+
+TOKEN_SQL = ("(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|"
+             "<[a-z/!][^>\"'']*(?:\"[^\"]*\"[^>\"'']*|''[^'']*''[^>\"'']*)*>|[^<]+|<")
+ATTR_SQL = "([^\\s=>\"''/]+)(?:\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>\"'']+))?"
+_void = strings(fixed.VOID_ELEMENTS)
+_html = strings(fixed.HTML_ELEMENTS)
+
+
+def _case(c, table):
+    return f"case {c} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + " end"
+
+
+def markup_views(x: str, src: str) -> None:
+    VIEWS[f"v_{x}tok"] = f"""
+select *, start + length(tok) as stop, length(html[1:start]) - length(replace(html[1:start], chr(10), '')) + 1 as line, length(regexp_extract(html[1:start], '[^\\n]*$')) + 1 as col,
+  case when starts_with(tok, '<!') or regexp_matches(tok, '^<(script|style)\\b', 'i') then 'raw' when nm = '' then 'text' when starts_with(tok, '</') then 'close'
+    when tok like '%/>' or nm in ({_void}) then 'single' else 'open' end as token
+from (select page_id, html, i - 1 as pos, toks[i] as tok, coalesce(cast(list_sum(list_transform(toks[1:i - 1], lambda q: length(q))) as bigint), 0) as start, lower(regexp_extract(toks[i], '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) as nm
+  from (select page_id, html, toks, unnest(range(1, len(toks) + 1)) as i from (select page_id, html, regexp_extract_all(html, '{TOKEN_SQL}') as toks from {src})))"""
+    VIEWS[f"v_{x}tag"] = f"select * exclude (html), nm as name from v_{x}tok where token in ('open', 'single')"
+    VIEWS[f"v_{x}attr"] = f"""
+select page_id, pos, name, start, stop, i, case when raw[1:1] = '(' then 'event' when raw[1:1] = '[' then 'boundAttr' when raw[1:1] = '*' then 'structural' else 'attr' end as binding,
+  lower(regexp_replace(regexp_replace(raw, '^[\\[(*]+', ''), '[\\])]+$', '')) as attr, regexp_replace(v, '^["'']|["'']$', '', 'g') as value
+from (select page_id, pos, name, start, stop, i, ns[i] as raw, vs[i] as v from (select *, unnest(range(1, len(ns) + 1)) as i from (
+  select page_id, pos, name, start, stop, regexp_extract_all(b, '{ATTR_SQL}', 1) as ns, regexp_extract_all(b, '{ATTR_SQL}', 2) as vs
+  from (select *, regexp_replace(regexp_replace(tok, '^<[a-zA-Z][^\\s/>]*', ''), '/?>$', '') as b from v_{x}tag))))"""
+    VIEWS[f"v_{x}wid"] = f"""
+select *, page_id || '|' || line || ':' || col || '|' || kind || '|' || idx as widget_id from (
+select *, row_number() over (partition by page_id, kind order by pos) - 1 as idx from (
+select t.*, case when t.name = 'input' and lower(ty) in ({strings(fixed.INPUT_WIDGET_KIND)}) then {_case('lower(ty)', fixed.INPUT_WIDGET_KIND)}
+  when t.name in ({strings(fixed.TAG_WIDGET_KIND)}) then {_case('t.name', fixed.TAG_WIDGET_KIND)} when has_button then 'Button' when has_menu then 'MenuItem' when has_nav then 'Link'
+  when has_event and t.name in ({_html}) then 'Unknown' end as kind
+from v_{x}tag t left join (select page_id, pos, arg_min(value, i) filter (attr = 'type' and binding in ('attr', 'boundAttr')) as ty,
+  bool_or(attr in ({strings(fixed.BUTTON_DIRECTIVES)}) and binding in ('attr', 'boundAttr')) as has_button, bool_or(attr = 'mat-menu-item') as has_menu,
+  bool_or(attr in ('routerlink', 'href') and binding in ('attr', 'boundAttr')) as has_nav, bool_or(binding = 'event') as has_event from v_{x}attr group by all) a using (page_id, pos))
+where kind is not null)"""
+    VIEWS[f"v_{x}region"] = f"""
+select o.page_id, o.pos, o.nm as name, o.start, min(c.pos) as close_pos, min(c.stop) as region_stop from (select *, sum(case token when 'open' then 1 when 'close' then -1 else 0 end) over (partition by page_id, nm order by pos) as r from v_{x}tok where nm <> '') o
+join (select *, sum(case token when 'open' then 1 when 'close' then -1 else 0 end) over (partition by page_id, nm order by pos) as r from v_{x}tok where nm <> '') c
+  on c.page_id = o.page_id and c.nm = o.nm and c.token = 'close' and c.pos > o.pos and c.r = o.r - 1 where o.token = 'open' group by all"""
+
+
+markup_views("p", "pages")
+markup_views("t", "v_template")
+VIEWS["v_tpred"] = """
+select a.page_id, a.pos as pred_pos, case when binding = 'structural' and attr = 'ngif' then 'ngIf' when binding = 'structural' and attr = 'ngswitchcase' then 'ngSwitchCase' when binding = 'structural' then 'customDirective' when attr in ('hidden', 'disabled') then attr else 'permissionDirective' end as predicate,
+  case when binding = 'boundAttr' and attr = 'disabled' then 'enabled' else 'visible' end as rules,
+  a.value as expr, a.start as from_at, case when binding = 'structural' then coalesce(r.region_stop, a.stop) else a.stop end as to_at
+from v_tattr a left join v_tregion r on r.page_id = a.page_id and r.pos = a.pos
+where (binding = 'structural' and attr not in ('ngfor', 'ngforof')) or (binding = 'boundAttr' and attr in ('hidden', 'disabled', 'showfor'))"""
+VIEWS["v_tattach"] = "select w.page_id, w.widget_id, p.* exclude (page_id) from v_twid w join v_tpred p on p.page_id = w.page_id and w.start between p.from_at and p.to_at"
+VIEWS["v_page_place"] = f"""
+select *, split_part(host, '.', -1) as subject, split_part(path, '/', 2) as seg1, split_part(path, '/', 3) as seg2 from (select page_id, html, url, {fx.PAGE_HOST} as host, {fx.PAGE_PATH} as path from pages)"""
+VIEWS["v_page_record"] = """
+select distinct subject, 'root' as id, null as parent, '' as segment, null as redirect from v_page_place where seg1 <> '' union all select distinct subject, 'any', 'root', '**', null from v_page_place where seg1 <> ''
+union all select subject, 'home', 'root', 'home', min(seg1) || '/' from v_page_place where seg1 <> '' group by all union all select distinct subject, seg1, 'root', seg1, null from v_page_place where seg1 <> ''
+union all select distinct subject, seg1 || '-id', seg1, ':id', null from v_page_place where seg1 <> ''"""
+VIEWS["v_page_flat"] = """
+select subject, id, cast(null as varchar) as parent, case when segment = '' then '/' else '/' || segment end as full_path, '/' as base, segment, redirect from v_page_record where parent is null
+union all select r.subject, r.id, f.id, case when f.full_path = '/' then '' else f.full_path end || '/' || r.segment, f.full_path, r.segment, r.redirect from v_page_flat f join v_page_record r on r.subject = f.subject and r.parent = f.id"""
+VIEWS["v_page_candidate"] = """
+select subject, page_id, '/' || seg1 as full_path, '/' || seg1 || '@' || host as id, seg2 as child, case when page_id % 7 = 0 then 'RedirectRoute' else 'ComponentRoute' end as route_type,
+  case when page_id % 7 = 0 then '/' || (page_id % 3) end as redirect, case when page_id % 7 = 0 then null when url like 'https:%' then seg1 when page_id % 5 = 0 then '__unresolved__' || seg1 else '__unknown__' end as comp_id,
+  list_filter([case when url like '%?%' then 'QueryGuard' end, case when url like '%#%' then 'HashGuard' end], lambda g: g is not null) as guards from v_page_place where seg1 <> ''"""

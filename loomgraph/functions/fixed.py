@@ -75,6 +75,15 @@ EXPRESSION_KEYWORDS = [
     "let", "const", "var", "if", "else", "return", "of", "as",
 ]
 
+# fixed values: bound attributes that rule visibility or enabledness
+VISIBILITY_ATTRIBUTES = [
+    "hidden", "appShowFor", "showFor", "appHideFor", "hideFor", "appIfPermission", "ifPermission",
+]
+ENABLEMENT_ATTRIBUTES = [
+    "disabled", "ng-disabled", "appHasPermission", "hasPermission", "appDisabledIf",
+    "disabledIf", "featureFlag", "appFeatureFlag",
+]
+
 # fixed values: event name -> user event
 EVENT_TYPES = {
     "click": "click", "input": "input", "change": "change", "submit": "submit",

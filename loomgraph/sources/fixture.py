@@ -135,7 +135,7 @@ SNIPPET = ("case l_partkey % 8 "
            "when 2 then '<a routerLink=\"/r' || (l_orderkey % 5) || '/n' || (l_orderkey % 25) || '\" id=\"l' || l_partkey || '\">Item ' || l_partkey || '</a>' "
            "when 3 then '<div *ngIf=\"isOpen' || (l_partkey % 5) || '\"><span (click)=\"pick(' || l_partkey || ')\">Pick</span><app-s' || l_suppkey || '></app-s' || l_suppkey || '></div>' "
            "when 4 then '<ul *ngFor=\"let x of xs' || (l_partkey % 3) || '\"><li><button (click)=\"this.del(x)\">Del</button><button class=\"btn\">Two</button></li></ul>' "
-           "when 5 then '<select name=\"s' || l_partkey || '\"><option value=\"v' || l_partkey || '\">V</option></select>' "
+           "when 5 then '<select name=\"s' || l_partkey || '\" [showFor]=\"role' || (l_partkey % 3) || '\"><option value=\"v' || l_partkey || '\">V</option></select>' "
            "when 6 then '<input type=\"checkbox\" [hidden]=\"' || case when l_partkey % 3 = 0 then 'true' when l_partkey % 3 = 1 then 'false' else 'x.closed' end || '\" class=\"hide big\"><!-- <a> -->' "
            "else '<ng-template><mat-checkbox (ngModelChange)=\"m()\" title=\"1 > 0\">x</mat-checkbox></ng-template>' end")
 
@@ -158,3 +158,12 @@ MANIFEST = (
     "|| case when c_custkey % 4 = 1 then ',\"seedRequirements\":{\"authGuards\":[\"AuthGuard\"],\"negativeGuards\":[],\"routeParams\":[\"id\",\"tab\"],\"hasFormWorkflows\":' || case when c_custkey % 8 = 5 then '1' else 'true' end || ',\"seedStatus\":\"' || case c_custkey % 12 when 1 then 'later' when 5 then 'needs-command' else 'none' end || '\"}' else '' end "
     "|| case when c_custkey % 6 = 2 then ',\"authSetup\":{\"loginRoute\":\"/login\",\"usernameField\":\"u\",\"passwordField\":\"' || case when c_custkey % 9 = 5 then '' else 'p' end || '\",\"submitButton\":\"b\"' || case when c_custkey % 10 = 8 then '' else ',\"authSuccessSelector\":\"s\"' end || '}' else '' end "
     "|| case when c_custkey % 41 = 11 then '' else '}' end")
+
+# ---- pages -----------------------------------------------------------------------------------
+
+PAGE_HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
+PAGE_PATH = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '[?#].*$', ''), '/$', ''), '[.]html$', '')"
+
+# guard bodies: passages of documents with code words put in by document number
+GUARD_CODE = ("case doc_id % 8 when 0 then 'this.authService.isLoggedIn()' when 1 then 'hasRole([''admin'', ''x-1'', ''no role''])' when 2 then 'featureFlag(''beta ui'')' when 3 then 'tenantId && selectedOrg' "
+              "when 4 then 'isAccountActive; roles = [\"owner\"]' when 5 then 'getFlag(\"dark\") && currentUser' else '' end")

@@ -168,6 +168,36 @@ class Tables:
                 .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "s"))).alias("parts"))
                 .select("page_id", F.array_join(F.transform("parts", lambda x: x["s"]), "\n").alias("html")))
 
+    # ---- pages ------------------------------------------------------------------------
+
+    @cached_property
+    def page_places(self) -> DataFrame:
+        """Pages with host and path parts; the subject is the last label of the host."""
+        return self("pages").selectExpr("page_id", "html", "url", f"{fx.PAGE_HOST} as host", f"{fx.PAGE_PATH} as path").selectExpr(
+            "*", "split_part(host, '.', -1) as subject", "split_part(path, '/', 2) as seg1", "split_part(path, '/', 3) as seg2")
+
+    @cached_property
+    def page_records(self) -> DataFrame:
+        """Nested route records as the paths of the pages suggest them."""
+        p = self.page_places.where("seg1 <> ''").select("subject", "seg1").distinct()
+        tops = p.groupBy("subject").agg(F.min("seg1").alias("low"))
+        return union_all([
+            tops.selectExpr("subject", "'root' as id", "cast(null as string) as parent", "'' as segment", "cast(null as string) as redirect"),
+            tops.selectExpr("subject", "'any' as id", "'root' as parent", "'**' as segment", "cast(null as string) as redirect"),
+            tops.selectExpr("subject", "'home' as id", "'root' as parent", "'home' as segment", "low || '/' as redirect"),
+            p.selectExpr("subject", "seg1 as id", "'root' as parent", "seg1 as segment", "cast(null as string) as redirect"),
+            p.selectExpr("subject", "seg1 || '-id' as id", "seg1 as parent", "':id' as segment", "cast(null as string) as redirect")])
+
+    @cached_property
+    def page_candidates(self) -> DataFrame:
+        """One route candidate per page: pages of one path compete."""
+        return self.page_places.where("seg1 <> ''").selectExpr(
+            "subject", "page_id", "'/' || seg1 as full_path", "'/' || seg1 || '@' || host as id", "seg2 as child",
+            "case when page_id % 7 = 0 then 'RedirectRoute' else 'ComponentRoute' end as route_type",
+            "case when page_id % 7 = 0 then '/' || (page_id % 3) end as redirect",
+            "case when page_id % 7 = 0 then null when url like 'https:%' then seg1 when page_id % 5 = 0 then '__unresolved__' || seg1 else '__unknown__' end as comp_id",
+            "array_compact(array(case when url like '%?%' then 'QueryGuard' end, case when url like '%#%' then 'HashGuard' end)) as guards")
+
     # ---- manifests ------------------------------------------------------------------
 
     @cached_property
