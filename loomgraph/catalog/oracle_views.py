@@ -608,3 +608,9 @@ VIEWS["v_page_candidate"] = """
 select subject, page_id, '/' || seg1 as full_path, '/' || seg1 || '@' || host as id, seg2 as child, case when page_id % 7 = 0 then 'RedirectRoute' else 'ComponentRoute' end as route_type,
   case when page_id % 7 = 0 then '/' || (page_id % 3) end as redirect, case when page_id % 7 = 0 then null when url like 'https:%' then seg1 when page_id % 5 = 0 then '__unresolved__' || seg1 else '__unknown__' end as comp_id,
   list_filter([case when url like '%?%' then 'QueryGuard' end, case when url like '%#%' then 'HashGuard' end], lambda g: g is not null) as guards from v_page_place where seg1 <> ''"""
+
+VIEWS["v_near_edge"] = """
+select subject, from_id, to_id from v_edge where kind in ('COMPONENT_COMPOSES_COMPONENT', 'ROUTE_ACTIVATES_COMPONENT', 'MODULE_DECLARES_COMPONENT') union select subject, to_id, from_id from v_edge
+where kind in ('COMPONENT_COMPOSES_COMPONENT', 'ROUTE_ACTIVATES_COMPONENT', 'MODULE_DECLARES_COMPONENT')"""
+VIEWS["v_near"] = """
+select subject, comp_id as node_id, 0 as hop from v_component where r = 7 union select n.subject, e.to_id, n.hop + 1 from v_near n join v_near_edge e on e.subject = n.subject and e.from_id = n.node_id where n.hop < 2"""
