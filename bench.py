@@ -39,6 +39,7 @@ def main():
         start = time.time()
         fn()
         times[name] = round(time.time() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
 
     timed("warm_up", lambda: consume(spark.read.parquet(f"{FOLDER}/lineitem.parquet")))
     for name in PLAIN:
