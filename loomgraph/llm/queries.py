@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, pii, quality, secret_scan
+from loomgraph.llm import bpe, decontam, minhash, pii, quality, secret_scan
 from loomgraph.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,8 +16,10 @@ def vocabulary_path() -> str:
 
 QUERIES = {
     "op2_quality_rules": lambda spark, d: quality.verdicts(table(spark, d, "documents")),
+    "op4_near_duplicates": lambda spark, d: minhash.report(table(spark, d, "documents")),
     "op5_personal_data": lambda spark, d: pii.report(table(spark, d, "documents")),
     "op6_secrets": lambda spark, d: secret_scan.report(table(spark, d, "documents")),
     "op7_bpe": lambda spark, d: bpe.report(table(spark, d, "documents"), vocabulary_path()),
+    "op10_benchmark_overlaps": lambda spark, d: decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 ORACLE: dict[str, str] = {}
