@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, decontam, minhash, pii, quality, secret_scan
+from loomgraph.llm import bpe, decontam, minhash, pii, quality, secret_scan, substring, suffix
 from loomgraph.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +20,8 @@ QUERIES = {
     "op5_personal_data": lambda spark, d: pii.report(table(spark, d, "documents")),
     "op6_secrets": lambda spark, d: secret_scan.report(table(spark, d, "documents")),
     "op7_bpe": lambda spark, d: bpe.report(table(spark, d, "documents"), vocabulary_path()),
+    "op8_substring_dedup": lambda spark, d: substring.report(table(spark, d, "documents")),
+    "op9_suffix_dedup": lambda spark, d: suffix.report(table(spark, d, "documents")),
     "op10_benchmark_overlaps": lambda spark, d: decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 ORACLE: dict[str, str] = {}
