@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, decontam, minhash, pii, quality, secret_scan, substring, suffix
+from loomgraph.llm import bpe, decontam, html_text, minhash, pii, quality, secret_scan, sharding, substring, suffix
 from loomgraph.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -15,7 +15,9 @@ def vocabulary_path() -> str:
 
 
 QUERIES = {
+    "op1_sharding": lambda spark, d: sharding.report(table(spark, d, "documents")),
     "op2_quality_rules": lambda spark, d: quality.verdicts(table(spark, d, "documents")),
+    "op3_html_text": lambda spark, d: html_text.report(table(spark, d, "pages")),
     "op4_near_duplicates": lambda spark, d: minhash.report(table(spark, d, "documents")),
     "op5_personal_data": lambda spark, d: pii.report(table(spark, d, "documents")),
     "op6_secrets": lambda spark, d: secret_scan.report(table(spark, d, "documents")),
