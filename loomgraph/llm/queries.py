@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomgraph.llm import bpe, decontam, html_text, minhash, pii, quality, secret_scan, sharding, substring, suffix
 from loomgraph.llm.common import table
+from loomgraph.llm.oracle import ORACLE  # noqa: F401
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -26,4 +27,3 @@ QUERIES = {
     "op9_suffix_dedup": lambda spark, d: suffix.report(table(spark, d, "documents")),
     "op10_benchmark_overlaps": lambda spark, d: decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
-ORACLE: dict[str, str] = {}
