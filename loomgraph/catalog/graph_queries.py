@@ -16,7 +16,7 @@ STRUCTURAL = ", ".join(f"'{k}'" for k in fixed.STRUCTURAL_KINDS)
 
 def atom_text(col="atoms"):
     return F.array_join(F.transform(col, lambda a: F.concat(
-        a["kind"], F.lit("("), F.array_join(F.slice(a["args"], 2, 9), ","), F.lit(")"))), ";")
+        a["kind"], F.lit("("), F.array_join(F.slice(a["args"], F.lit(2), F.greatest(F.size(a["args"]) - 1, F.lit(0))), ","), F.lit(")"))), ";")
 
 
 def edges_of(name, piece, *kinds):

@@ -86,7 +86,7 @@ select *, 'u' || (user_id % 10) as subject,
   200 + 100 * (k % 4) as status, case k % 3 when 0 then 'GET' when 1 then 'POST' else 'PUT' end as method
 from (select event_id, user_id || '/' || cast(ts as date) as test_id, user_id, ts, event_type, cast(round(value * 100) as bigint) as duration_ms,
     cast(json_extract(props, '$.k') as bigint) as k,
-    row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as attempt from events) where attempt <= 3"""
+    row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as attempt from events)"""
 VIEWS["v_step"] = """
 select conv_id || '' as test_id, 'c' || (conv_id % 7) as subject, turn as pos, role, text,
   case when turn = 0 then 'pre-0' when turn % 3 = 2 then 'post-' || turn else 'step-' || turn end as step_id,
@@ -105,7 +105,7 @@ select *, case when user_id % 9 = 0 then 'PRUNED' when user_id % 4 = 0 then 'FEA
 from (select test_id, user_id, subject, min(k) as k, min(ts) as first_ts from v_attempt group by all)"""
 VIEWS["v_fold"] = """
 select test_id, subject, user_id, count(*) as attempts, sum(duration_ms) as duration_ms, arg_max(outcome, attempt) as outcome from (
-  select *, min(case when outcome in ('PASS', 'FAIL_APP_NOT_READY') then attempt end) over (partition by test_id) as stop from v_attempt)
+  select *, min(case when outcome in ('PASS', 'FAIL_APP_NOT_READY') then attempt end) over (partition by test_id) as stop from v_attempt where attempt <= 3)
 where stop is null or attempt <= stop group by all"""
 
 # ---- navigation ----------------------------------------------------------------------------
@@ -189,12 +189,12 @@ select c.*, case when expr like '%.navigate' or expr like '%.navigateByUrl' then
 from v_call c anti join v_diagnostic d on c.subject = d.subject and c.comp_id = d.comp_id and c.handler = d.handler"""
 VIEWS["v_context"] = """
 select *, case when shape = 'ServiceCall' then row_number() over (partition by subject, comp_id, handler, shape order by ord) - 1 end as call_ordinal,
-  case when shape = 'ServiceCall' then split_part(expr, '.', 2) else arg end as target, seq * 32 + ord as place
+  case when shape = 'ServiceCall' then split_part(expr, '.', 2) else arg end as target, seq * 1048576 + ord as place
 from (select *, row_number() over (partition by subject, comp_id, handler order by seq, sub, expr, arg) - 1 as ord from (
   select subject, comp_id, handler, seq, -1 as sub, shape, expr, arg, file from v_shaped where shape <> 'SameClass'
   union all select h.subject, h.comp_id, h.handler, h.seq, d.seq, d.shape, d.expr, d.arg, d.file
   from (select subject, comp_id, handler, expr[6:] as callee, min(seq) as seq from v_shaped where shape = 'SameClass' and expr[6:] <> handler group by all) h
-  join v_shaped d on d.subject = h.subject and d.comp_id = h.comp_id and d.handler = h.callee and d.shape <> 'SameClass')) where ord < 20"""
+  join v_shaped d on d.subject = h.subject and d.comp_id = h.comp_id and d.handler = h.callee and d.shape <> 'SameClass'))"""
 VIEWS["v_nav_text"] = f"""
 select distinct subject, target as value, trim(regexp_replace(target, '^[''"\\[]|[''"]\\]?$', '', 'g')) as clean, {array_parts('target')} as arr, {inter_parts('target')} as inter
 from v_context where shape = 'Navigate'"""

@@ -160,7 +160,7 @@ def idle(t):
 
 
 @query("T9_subject_profile", "subject:s metric:s key:s value:d", """
-select subject, 'nodes' as metric, kind as key, count(*) as value from v_node group by all union all select subject, 'edges', kind, count(*) from v_edge group by all
+select subject, 'nodes' as metric, kind as key, cast(count(*) as double) as value from v_node group by all union all select subject, 'edges', kind, count(*) from v_edge group by all
 union all select subject, 'entry_routes', 'all', count(*) from v_entry group by all
 union all select e.subject, 'idle_entry_routes', 'all', count(*) from v_entry e where not exists (select 1 from v_edge x where x.kind = 'ROUTE_ACTIVATES_COMPONENT' and x.subject = e.subject and x.from_id = e.route_id) group by all
 union all select subject, 'triggers', kind, count(*) from v_trigger group by all union all select subject, 'trigger_widgets', kind, count(distinct from_id) from v_trigger group by all

@@ -85,7 +85,7 @@ def redirect_path(target, parent) -> Column:
 def path_params(path) -> Column:
     """Sorted unique names of `:param` segments."""
     named = F.filter(F.split(_col(path), "/"), lambda s: s.startswith(":"))
-    return sorted_unique(F.transform(named, lambda s: F.substring(s, 2, 100000)))
+    return sorted_unique(F.transform(named, lambda s: F.substr(s, F.lit(2))))
 
 
 def template_params(path) -> Column:
@@ -106,7 +106,7 @@ def substitute_params(path, params) -> Column:
 def capitalise(c) -> Column:
     """First letter upper, the rest untouched."""
     c = _col(c)
-    return F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 100000))
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.substr(c, F.lit(2)))
 
 
 def literal_boolean(c) -> Column:

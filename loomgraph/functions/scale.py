@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 BLOCK = 1 << 20
-MAX_ROUNDS = 200
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,8 +64,7 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column | str], cols: li
     return df.groupBy(*keys).agg(F.min_by(row, rank).alias("__row")).select(*keys, "__row.*")
 
 
-def reach(seeds: DataFrame, edges: DataFrame, key: list[str], src: str, dst: str, node: str,
-          max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, key: list[str], src: str, dst: str, node: str) -> DataFrame:
     """Rows of `seeds` (key columns, `node`) closed over `edges` (subject, src, dst).
 
     Semi-naive: only pairs found in the last round are joined again, and known pairs
@@ -75,13 +73,12 @@ def reach(seeds: DataFrame, edges: DataFrame, key: list[str], src: str, dst: str
     subject = key[0]
     step = cut_lineage(edges.select(subject, F.col(src).alias(node), F.col(dst).alias("__dst")).distinct())
     frontier = seen = cut_lineage(seeds.select(*key, node).distinct())
-    for _ in range(max_rounds):
+    while True:
         found = frontier.join(step, [subject, node]).select(*key, F.col("__dst").alias(node)).distinct()
         frontier = cut_lineage(found.join(seen, key + [node], "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)  # every part is already written, nothing is recomputed
-    raise RuntimeError(f"closure not finished after {max_rounds} rounds")
 
 
 def span_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, stop: str, width: int) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomgraph.functions.scale import MAX_ROUNDS, cut_lineage, reach
+from loomgraph.functions.scale import cut_lineage, reach
 from loomgraph.operators.graph import REFS, STRINGS, Graph
 from loomgraph.sources.views import union_all
 
@@ -40,7 +40,7 @@ def redirect_closure(redirect_edges: DataFrame, routes: DataFrame) -> DataFrame:
         _empty(STRINGS).alias("edge_ids"), *[_empty(k).alias(c) for c, k in NOTHING.items()],
         F.lit("active").alias("state"))
     done = []
-    for _ in range(MAX_ROUNDS):
+    while True:
         moved = active.join(nxt, ["subject", "current"], "left")
         target = F.col("e.target_route_id")
         hop = F.col("e").isNotNull()
@@ -55,10 +55,8 @@ def redirect_closure(redirect_edges: DataFrame, routes: DataFrame) -> DataFrame:
         stepped = cut_lineage(stepped)
         done.append(stepped.where("state <> 'active'"))
         active = stepped.where("state = 'active'")
-        if active.isEmpty():
+        if active.isEmpty():  # a loop is recognised at its second pass, so every chain ends
             break
-    else:
-        raise RuntimeError("redirect chains did not end")
     ended = union_all(done).select(
         "subject", "route_id", F.col("current").alias("final_route"), "edge_ids", "state", *MERGED)
     still = routes.select("subject", "route_id").join(nxt.select("subject", F.col("current").alias("route_id")),
@@ -157,7 +155,7 @@ class Flow:
     def effects(self) -> DataFrame:
         """What a handler does: calls in order, then the smallest navigation, one row per handler.
 
-        A handler keeps at most twenty calls, so the array stays small.
+        The array holds the calls of one handler body.
         """
         calls = self.effect_edges.where("kind = 'COMPONENT_CALLS_SERVICE'").groupBy("subject", "effect_group").agg(
             F.array_sort(F.collect_list(F.struct(F.coalesce("call_ordinal", F.lit(0)).alias("o"), "edge_id", "kind", "refs"))).alias("c"),

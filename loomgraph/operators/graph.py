@@ -299,7 +299,7 @@ class Graph:
     def _calls_service(self) -> DataFrame:
         names = self.t.services.select("subject", "name", "svc_id")
         index = names.withColumn("target", F.col("name"))
-        lowered = names.withColumn("target", F.concat(F.lower(F.left("name", F.lit(1))), F.substring("name", 2, 1000)))
+        lowered = names.withColumn("target", F.concat(F.lower(F.left("name", F.lit(1))), F.substr(F.col("name"), F.lit(2))))
         index = index.unionByName(lowered).groupBy("subject", "target").agg(F.min("svc_id").alias("svc_id"))
         d = self.contexts.where("shape = 'ServiceCall'").join(index, ["subject", "target"])
         return self._effect(d, "COMPONENT_CALLS_SERVICE", "svc_id", call_ordinal=F.col("call_ordinal"))

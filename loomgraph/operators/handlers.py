@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from loomgraph.functions import fixed
 from loomgraph.functions.scalar import lookup
 
-MAX_CONTEXTS = 20  # a handler keeps its first twenty call contexts
-
 
 def event_type(raw) -> Column:
     """User event of a raw event name; unknown names map to 'unknown'."""
@@ -49,8 +47,8 @@ def diagnostic_handlers(calls: DataFrame) -> DataFrame:
             .where("d").drop("d"))
 
 
-def call_contexts(calls: DataFrame) -> DataFrame:
-    """Classified calls of every handler, in order, at most twenty.
+def call_contexts(calls: DataFrame, first: int | None = None) -> DataFrame:
+    """Classified calls of every handler, in order; with `first`, only so many of each.
 
     A call of a method of the same class is replaced by that method's own calls, one
     level deep and once per method; it is a self join on (class, method).
@@ -59,7 +57,7 @@ def call_contexts(calls: DataFrame) -> DataFrame:
     shaped = calls.withColumn("shape", _shape(F.col("expr"), F.col("arg")))
     direct = shaped.where("shape <> 'SameClass'").withColumn("sub", F.lit(-1).cast("long"))
     hops = (shaped.where("shape = 'SameClass'")
-            .withColumn("callee", F.substring("expr", 6, 1000)).where("callee <> handler")
+            .withColumn("callee", F.substr(F.col("expr"), F.lit(6))).where("callee <> handler")
             .groupBy(*HANDLER, "callee").agg(F.min("seq").alias("seq")))
     inner = direct.select("subject", "comp_id", F.col("handler").alias("callee"), "shape", "expr", "arg", "file",
                           F.col("seq").alias("sub"))
@@ -67,10 +65,13 @@ def call_contexts(calls: DataFrame) -> DataFrame:
     cols = [*HANDLER, "seq", "sub", "shape", "expr", "arg", "file"]
     rows = direct.select(*cols).unionByName(followed.select(*cols))
     order = W.partitionBy(*HANDLER).orderBy("seq", "sub", "expr", "arg")
-    kept = rows.withColumn("ord", F.row_number().over(order).cast("long") - 1).where(F.col("ord") < MAX_CONTEXTS)
+    ranked = rows.withColumn("__n", F.row_number().over(order))
+    if first is not None:
+        ranked = ranked.where(F.col("__n") <= first)  # on the raw rank, so that the group limit runs before the shuffle
+    kept = ranked.withColumn("ord", F.col("__n").cast("long") - 1)
     member = F.regexp_extract("expr", r"^this\.([A-Za-z_$][A-Za-z0-9_$]*)\.", 1)
-    nth = F.row_number().over(W.partitionBy(*HANDLER, "shape").orderBy("ord")).cast("long") - 1  # at most twenty rows
+    nth = F.row_number().over(W.partitionBy(*HANDLER, "shape").orderBy("ord")).cast("long") - 1
     return kept.select(
-        *HANDLER, (F.col("seq") * 32 + F.col("ord")).alias("place"), "ord", "file", "shape", "arg",
+        *HANDLER, (F.col("seq") * (1 << 20) + F.col("ord")).alias("place"), "ord", "file", "shape", "arg",
         F.when(F.col("shape") == "ServiceCall", member).otherwise(F.col("arg")).alias("target"),
         F.when(F.col("shape") == "ServiceCall", nth).alias("call_ordinal"))

@@ -56,7 +56,7 @@ def relative_part(text: Column) -> Column:
 
     def below(h):
         bad = h.startswith("/") | (h == "") | h.contains("{{")
-        return F.when(~bad, let(F.when(h.startswith("./"), F.substring(h, 3, 100000)).otherwise(h),
+        return F.when(~bad, let(F.when(h.startswith("./"), F.substr(h, F.lit(3))).otherwise(h),
                                 lambda t: F.when(~t.startswith("../"), t)))
     return let(let(F.trim(strip_quotes(text)), head), below)
 

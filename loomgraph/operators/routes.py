@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions import fixed
 from loomgraph.functions.scalar import any_contains, join_path, path_params, redirect_path, sorted_unique, truncate
-from loomgraph.functions.scale import MAX_ROUNDS, cut_lineage
+from loomgraph.functions.scale import cut_lineage
 from loomgraph.sources.views import union_all
 
 
@@ -19,15 +19,13 @@ def flatten_routes(records: DataFrame) -> DataFrame:
     kids = cut_lineage(records.where("parent is not null")).select("subject", F.col("parent").alias("up"), "id", "segment", "redirect")
     level = records.where("parent is null").select("subject", "id", F.lit(None).cast("string").alias("parent"), F.lit("/").alias("base"), "segment", "redirect")
     found = []
-    for _ in range(MAX_ROUNDS):
+    while True:  # rows without a way to a root are never reached, so the levels end
         rows = cut_lineage(level.withColumn("full_path", join_path("base", "segment")))
         if rows.isEmpty():
             break
         found.append(rows)
         up = rows.select("subject", F.col("id").alias("up"), F.col("full_path").alias("base"))
         level = kids.join(up, ["subject", "up"]).select("subject", "id", F.col("up").alias("parent"), "base", "segment", "redirect")
-    else:
-        raise RuntimeError("route tree has no end")
     return union_all(found).select(
         "subject", "id", "parent", "full_path", F.when(F.col("redirect").isNotNull(), redirect_path("redirect", "base")).alias("redirect_path"),
         path_params("full_path").alias("params"),

@@ -109,11 +109,15 @@ def running_coverage(results: DataFrame, tests: DataFrame) -> DataFrame:
     return known.groupBy("subject").agg(F.count(F.lit(1)).alias("executed"), F.count_if(F.col("outcome") == "PASS").alias("passed"))
 
 
-def live_attribution(requests: DataFrame, steps: DataFrame) -> DataFrame:
-    """Requests joined to the steps they fall into, stream to stream (K7). Both sides are bounded by time."""
+def live_attribution(requests: DataFrame, steps: DataFrame, longest: str | None = None) -> DataFrame:
+    """Requests joined to the steps they fall into, stream to stream (K7).
+
+    A caller who knows that no step lasts longer than `longest` (an interval) lets old steps leave the state.
+    """
     r = requests.withWatermark("ts", LATENESS).alias("r")
     s = steps.withWatermark("ts_start", LATENESS).alias("s")
-    return r.join(s, F.expr("r.test_id = s.test_id and r.ts >= s.ts_start and r.ts <= s.ts_start + interval 1 hour and r.ts <= s.ts_end")).select(
+    bound = f" and r.ts <= s.ts_start + interval {longest}" if longest else ""
+    return r.join(s, F.expr(f"r.test_id = s.test_id and r.ts >= s.ts_start and r.ts <= s.ts_end{bound}")).select(
         "r.test_id", "r.req", "s.pos", "r.status")
 
 
