@@ -6,6 +6,7 @@ from loomgraph.catalog.oracle_views import CSS
 from loomgraph.catalog.registry import query
 
 from loomgraph.functions import fixed
+from loomgraph.functions.scale import cut_lineage
 from loomgraph.operators import extract as ex
 from loomgraph.operators import handlers as hd
 from loomgraph.operators import resolve
@@ -262,7 +263,8 @@ def page_verdicts(t):
     flat = rt.flatten_routes(t.page_records.where("id not in ('any', 'home')"))
     routes = flat.select("subject", "full_path", F.concat_ws("@", "full_path", "subject").alias("route_id"), F.col("id").alias("comp_id"), "route_type", "params")
     places = t.page_places.select("page_id", "subject", "host", F.col("seg1").alias("comp_id"))
-    links = ex.bindings(t("pages")).where("name = 'href'").join(places, "page_id").select("subject", "host", "comp_id", "value")
+    # several branches read the links: written once, the pages are taken apart once
+    links = cut_lineage(ex.bindings(t("pages")).where("name = 'href'").join(places, "page_id").select("subject", "host", "comp_id", "value"))
     inner = links.where(~resolve.is_external("value"))
     found = inner.join(resolve.resolve_links(inner, routes), ["subject", "comp_id", "value"], "left").join(
         routes.select("subject", F.col("route_id").alias("target_route_id"), F.size("params").alias("n_params")), ["subject", "target_route_id"], "left")

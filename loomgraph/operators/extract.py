@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomgraph.functions import fixed
 from loomgraph.functions.scalar import let, literal_boolean, lookup, sorted_unique, truncate
-from loomgraph.functions.scale import span_join
+from loomgraph.functions.scale import cut_lineage, span_join
 
 TOKEN = (r"""(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|"""
          r"""<[a-z/!][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>|[^<]+|<""")
@@ -27,9 +27,14 @@ def tokens(pages: DataFrame) -> DataFrame:
 
     Comments, scripts and styles are one token each; the tokens of a page joined
     together are the page, so offsets, lines and columns are exact. Text that cannot be
-    read gives no tags and no error.
+    read gives no tags and no error. A table that is tokenised already is taken as it is.
+
+    Pages are dealt by their id before they are taken apart: whole texts travel, not token
+    rows, and the windows below find their pages together.
     """
-    t = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), 0)).alias("pos", "tok"))
+    if "tok" in pages.columns:
+        return pages
+    t = pages.select("page_id", "html").repartition("page_id").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), 0)).alias("pos", "tok"))
     before = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     size = F.length("tok")
     t = t.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("bigint"))
@@ -45,6 +50,11 @@ def tokens(pages: DataFrame) -> DataFrame:
                     col.cast("bigint").alias("col"), kind.alias("token"), F.when(kind.isin("open", "close", "single"), name).otherwise("").alias("name"))
 
 
+def tokenised(pages: DataFrame) -> DataFrame:
+    """The tokens of pages as a written table, for operators that read them several times."""
+    return pages if "tok" in pages.columns else cut_lineage(tokens(pages))
+
+
 def attributes(tok: Column) -> Column:
     """Attributes of a tag: binding kind, lower-case name, value without quotes.
 
@@ -158,6 +168,7 @@ def innermost(items: DataFrame, areas: DataFrame, payload: str, out: str, inclus
 
 def parents(pages: DataFrame) -> DataFrame:
     """Widgets with the nearest widget around them."""
+    pages = tokenised(pages)
     w = widgets(pages).select("page_id", "pos", "start", "kind", "idx", "name", "widget_id")
     areas = w.join(regions(tokens(pages)).select("page_id", "pos", "close_pos"), ["page_id", "pos"]).select("page_id", "pos", "close_pos", "widget_id")
     return innermost(w, areas, "widget_id", "parent_id", inclusive=False)
@@ -165,7 +176,7 @@ def parents(pages: DataFrame) -> DataFrame:
 
 def labels(pages: DataFrame) -> DataFrame:
     """Text directly inside a widget, parts joined by a blank, cut."""
-    toks = tokens(pages)
+    pages = toks = tokenised(pages)
     inside = F.sum(F.when(F.col("token") == "open", 1).when(F.col("token") == "close", -1).otherwise(0)).over(W.partitionBy("page_id").orderBy("pos"))
     deep = toks.withColumn("depth", inside)
     w = widgets(pages).select("page_id", "pos", "widget_id")
@@ -212,6 +223,7 @@ def regions_of(toks: DataFrame, carriers: DataFrame) -> DataFrame:
 
 def repeaters(pages: DataFrame) -> DataFrame:
     """Widgets inside a repeater with the expression and their ordinal in it."""
+    pages = tokenised(pages)
     w = widgets(pages).select("page_id", "pos", "kind", "name", "widget_id")
     inside = innermost(w, directive_areas(pages, "ngfor"), "expr", "repeater", inclusive=True).where("repeater is not null")
     group = F.when(F.col("kind") == "Unknown", F.col("name")).otherwise(F.col("kind"))
@@ -224,6 +236,7 @@ def predicates(pages: DataFrame) -> DataFrame:
 
     A structural directive rules its element, a bound property rules its own tag.
     """
+    pages = tokenised(pages)
     t = tags(pages).select("page_id", "pos", "name", "start", "stop", F.explode("attrs").alias("a"))
     is_directive, is_bound, attr = F.col("a.binding") == "structural", F.col("a.binding") == "boundAttr", F.col("a.name")
     shows = [x.lower() for x in fixed.VISIBILITY_ATTRIBUTES]
@@ -241,6 +254,7 @@ def predicates(pages: DataFrame) -> DataFrame:
 
 def attach_predicates(pages: DataFrame) -> DataFrame:
     """(widget, predicate) where the widget starts inside the predicate's range."""
+    pages = tokenised(pages)
     w = widgets(pages).select("page_id", "widget_id", F.col("start").alias("at"))
     return span_join(w, predicates(pages), ["page_id"], "at", "from_at", "to_at", SPAN_BIN)
 
@@ -261,6 +275,7 @@ def composition_context(pages: DataFrame) -> DataFrame:
 
     The last place with any context wins when an element is used several times.
     """
+    pages = tokenised(pages)
     c = tags(pages).where(is_custom("name")).select("page_id", "pos", "name")
     templates = regions(tokens(pages), ["ng-template"]).withColumn("yes", F.lit(True))
     c = innermost(c, templates, "yes", "inside_template", inclusive=False)
@@ -283,6 +298,7 @@ def ui_properties(pages: DataFrame) -> DataFrame:
     A literal that hides or disables wins; of the expressions the first non-empty one in
     document order is kept. `hidden` turns its meaning round.
     """
+    pages = tokenised(pages)
     w = widgets(pages)
     lit = literal_boolean("expr")
     shows, enables = F.col("rules") == "visible", F.col("rules") == "enabled"
