@@ -101,7 +101,7 @@ select test_id, subject, step_id as failed_step_id, case length(text) % 5 when 0
   when 3 then 'assertion-failed' else 'unknown' end as failure_kind from v_step where pos = cast(test_id as bigint) % 4"""
 VIEWS["v_test"] = """
 select *, case when user_id % 9 = 0 then 'PRUNED' when user_id % 4 = 0 then 'FEASIBLE' else 'CONDITIONAL' end as verdict,
-  user_id % 9 <> 0 and user_id % 7 <> 0 as has_plan, user_id % 9 <> 0 and user_id % 7 <> 0 and user_id % 5 <> 0 as has_code, user_id % 20 = 3 as skipped
+  user_id % 9 <> 0 and user_id % 7 <> 0 as has_plan, user_id % 9 <> 0 and user_id % 7 <> 0 and user_id % 5 <> 0 as has_code, user_id % 20 = 3 as skipped, k % 11 <> 0 as log_exists
 from (select test_id, user_id, subject, min(k) as k, min(ts) as first_ts from v_attempt group by all)"""
 VIEWS["v_fold"] = """
 select test_id, subject, user_id, count(*) as attempts, sum(duration_ms) as duration_ms, arg_max(outcome, attempt) as outcome from (

@@ -36,7 +36,7 @@ EXPECTED = {
 
 
 def expected(t):
-    return intents(t).intents.withColumn("p", part()).where("p % 10 <> 9").selectExpr("subject", "workflow_id", *[f"{e} as {c}" for c, e in EXPECTED.items()])
+    return intents(t).intents.withColumn("p", part()).selectExpr("subject", "workflow_id", *[f"{e} as {c}" for c, e in EXPECTED.items()])
 
 
 def expected_paths(t):
@@ -45,7 +45,7 @@ def expected_paths(t):
     return some.join(i.start_records.select("subject", "comp_id", "start_route", "full_path"), ["subject", "comp_id"]).where("p % 80 = 2 or start_route = first_route").select("subject", "workflow_id", "full_path")
 
 
-XENTRY = f"(select *, {', '.join(f'{e} as {c}' for c, e in EXPECTED.items())} from v_intent where p % 10 <> 9)"
+XENTRY = f"(select *, {', '.join(f'{e} as {c}' for c, e in EXPECTED.items())} from v_intent)"
 COMP_AUTH = """(select a.subject, a.comp_id, bool_and(exists (select 1 from v_route_guard g where g.subject = a.subject and g.route_id = a.start_route and not contains(lower(g.guard), 'noauth'))) as all_auth from v_active a group by all)"""
 FULL = "case {0} when 'WTH' then 'WIDGET_TRIGGERS_HANDLER' when 'WSF' then 'WIDGET_SUBMITS_FORM' when 'WNR' then 'WIDGET_NAVIGATES_ROUTE' when 'WNE' then 'WIDGET_NAVIGATES_EXTERNAL' else {0} end"
 MISMATCH = f"""
@@ -111,7 +111,7 @@ select subject, grouping(subject) as is_total, count(*) as total, count(*) filte
   union all select subject, workflow_id || '#gone', true, false from {XENTRY} where p % 31 = 0) group by rollup (subject)""")
 def summary(t):
     e = expected(t).select("subject", "workflow_id")
-    gone = intents(t).intents.withColumn("p", part()).where("p % 10 <> 9 and p % 31 = 0").select("subject", F.concat("workflow_id", F.lit("#gone")).alias("workflow_id"))
+    gone = intents(t).intents.withColumn("p", part()).where("p % 31 = 0").select("subject", F.concat("workflow_id", F.lit("#gone")).alias("workflow_id"))
     return rc.reconciliation_summary(e.unionByName(gone), intents(t).intents, mismatches(t))
 
 
@@ -201,11 +201,11 @@ def listing(t):
 
 @query("T12_run_differences", "test_id:s difference:s", """
 select test_id, case when b.test_id is null then 'only in a' when a.test_id is null then 'only in b' when a.attempts <> b.attempts then 'attempts' when a.duration_ms <> b.duration_ms then 'duration_ms' when a.outcome <> b.outcome then 'outcome' end as difference
-from (select * from v_fold where user_id % 50 <> 7) a full join (select test_id, count(*) as attempts, sum(duration_ms) as duration_ms, arg_max(outcome, attempt) as outcome from (
+from (select f.* from v_fold f join v_test using (test_id) where log_exists) a full join (select test_id, count(*) as attempts, sum(duration_ms) as duration_ms, arg_max(outcome, attempt) as outcome from (
   select *, min(case when outcome in ('PASS', 'FAIL_APP_NOT_READY') then attempt end) over (partition by test_id) as stop from v_attempt where attempt <= 2) where stop is null or attempt <= stop group by all) b using (test_id)
 where a.test_id is null or b.test_id is null or a.attempts <> b.attempts or a.duration_ms <> b.duration_ms or a.outcome <> b.outcome""")
 def differences(t):
-    a = ev.fold_attempts(t.attempts).where("user_id % 50 <> 7").drop("subject", "user_id")
+    a = ev.fold_attempts(t.attempts).join(t.tests.where("log_exists").select("test_id"), "test_id", "left_semi").drop("subject", "user_id")
     b = ev.fold_attempts(t.attempts, max_attempts=2).drop("subject", "user_id")
     return rc.compare_runs(a, b, "test_id")
 
@@ -296,9 +296,9 @@ def failures(t):
     return vw.failure_distribution(t.tests.select("test_id"), ready_results(t), logs)
 
 
-@query("V10_result_filter", "test_id:s state:s", f"select t.test_id, f.outcome as state from v_test t join {READY} f using (test_id) where f.outcome <> 'PASS' and t.user_id % 8 <> 0")
+@query("V10_result_filter", "test_id:s state:s", f"select t.test_id, f.outcome as state from v_test t join {READY} f using (test_id) where f.outcome <> 'PASS' and t.log_exists")
 def result_filter(t):
-    return vw.filter_results(t.tests.select("test_id"), ready_results(t).where("user_id % 8 <> 0"), "FAIL")
+    return vw.filter_results(t.tests.select("test_id"), ready_results(t).join(t.tests.where("log_exists").select("test_id"), "test_id", "left_semi"), "FAIL")
 
 
 @query("V11_result_page", "test_id:s outcome:s duration_ms:i", f"select test_id, outcome, duration_ms from {READY} order by duration_ms desc, test_id limit 25 offset 50")

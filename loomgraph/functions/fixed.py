@@ -6,10 +6,10 @@ they are stated as plain text in their natural order.
 
 # fixed values: edge kinds whose meaning is structure
 STRUCTURAL_KINDS = [
-    "MODULE_DECLARES_COMPONENT", "MODULE_DECLARES_ROUTE", "MODULE_IMPORTS_MODULE",
-    "MODULE_EXPORTS_MODULE", "MODULE_PROVIDES_SERVICE", "ROUTE_HAS_CHILD",
-    "ROUTE_ACTIVATES_COMPONENT", "COMPONENT_CONTAINS_WIDGET", "WIDGET_CONTAINS_WIDGET",
-    "COMPONENT_COMPOSES_COMPONENT", "COMPONENT_PROVIDES_SERVICE",
+    "MODULE_IMPORTS_MODULE", "MODULE_EXPORTS_MODULE", "MODULE_DECLARES_COMPONENT",
+    "MODULE_DECLARES_ROUTE", "ROUTE_HAS_CHILD", "ROUTE_ACTIVATES_COMPONENT",
+    "COMPONENT_CONTAINS_WIDGET", "WIDGET_CONTAINS_WIDGET", "COMPONENT_COMPOSES_COMPONENT",
+    "MODULE_PROVIDES_SERVICE", "COMPONENT_PROVIDES_SERVICE",
 ]
 
 # fixed values: edge kinds that start a workflow
@@ -55,19 +55,22 @@ KEPT_ATTRIBUTES = [
 BINDING_ATTRIBUTES = ["routerlink", "href", "formcontrolname", "formgroupname", "ngmodel"]
 
 # fixed values: elements of plain HTML and of the template language
-HTML_ELEMENTS = (
-    "a abbr address area article aside audio b base bdi bdo blockquote body br button canvas "
-    "caption cite code col colgroup data datalist dd del details dfn dialog div dl dt em embed "
-    "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img "
-    "input ins kbd label legend li link main map mark menu meta meter nav noscript object ol "
-    "optgroup option output p picture pre progress q rp rt ruby s samp script section select "
-    "small source span strong style sub summary sup table tbody td template textarea tfoot th "
-    "thead time title tr track u ul var video wbr ng-container ng-content ng-template"
-).split()
+HTML_ELEMENTS = [
+    "a", "abbr", "address", "area", "article", "aside", "audio", "b", "base", "bdi", "bdo", "blockquote", "body", "br",
+    "button", "canvas", "caption", "cite", "code", "col", "colgroup", "data", "datalist", "dd", "del", "details", "dfn",
+    "dialog", "div", "dl", "dt", "em", "embed", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
+    "h4", "h5", "h6", "head", "header", "hr", "html", "i", "iframe", "img", "input", "ins", "kbd", "label", "legend",
+    "li", "link", "main", "map", "mark", "menu", "meta", "meter", "nav", "noscript", "object", "ol", "optgroup",
+    "option", "output", "p", "picture", "pre", "progress", "q", "rp", "rt", "ruby", "s", "samp", "script", "section",
+    "select", "small", "source", "span", "strong", "style", "sub", "summary", "sup", "table", "tbody", "td", "template",
+    "textarea", "tfoot", "th", "thead", "time", "title", "tr", "track", "u", "ul", "var", "video", "wbr",
+    "ng-container", "ng-content", "ng-template",
+]
 
 # fixed values: elements that never have a closing tag
-VOID_ELEMENTS = (
-    "area base br col embed hr img input link meta source track wbr").split()
+VOID_ELEMENTS = [
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
+]
 
 # fixed values: words that are not references inside a template expression
 EXPRESSION_KEYWORDS = [
@@ -112,38 +115,34 @@ ENTITY_WORDS = {
 }
 
 # fixed values: class names that carry layout only
-GENERIC_CLASSES = (
-    "btn btn-default btn-primary btn-secondary btn-success btn-danger btn-warning btn-info "
-    "btn-link btn-outline-primary btn-outline-secondary btn-outline-success btn-outline-danger "
-    "btn-outline-warning btn-outline-info btn-sm btn-lg btn-block "
-    "form-control form-group form-horizontal form-inline form-check form-check-input "
-    "form-check-label form-label form-select form-text form-floating input-group "
-    "row container container-fluid container-sm container-md container-lg container-xl "
-    "card card-body card-header card-footer card-title card-text "
-    "panel panel-body panel-heading panel-default "
-    "table table-responsive table-striped table-bordered table-hover "
-    "nav nav-item nav-link navbar navbar-nav alert badge "
-    "clearfix float-left float-right text-center text-left text-right "
-    "d-none d-block d-flex d-inline d-inline-block d-inline-flex "
-    "close dropdown-item dropdown-toggle dropdown-menu custom-select form-control-sm "
-    "btn-dark btn-light btn-outline-dark btn-outline-light "
-    "text-dark text-muted text-light text-white text-sm "
-    "bg-transparent bg-light bg-dark bg-white bg-primary bg-secondary "
-    "border border-top border-bottom border-left border-right rounded rounded-0 "
-    "flex-row flex-column flex-1 align-self-center align-self-start align-self-end "
-    "justify-content-between justify-content-center justify-content-start justify-content-end "
-    "no-underline is-editing readonly modal-title modal-header modal-body modal-footer "
-    "section-title-row font-serif edit-controls "
-    "mat-raised-button mat-button mat-icon-button mat-flat-button mat-stroked-button mat-fab "
-    "mat-mini-fab mat-form-field mat-input-element "
-    "active disabled hidden show fade collapse list-group list-group-item"
-).split()
+GENERIC_CLASSES = [
+    "btn", "btn-default", "btn-primary", "btn-secondary", "btn-success", "btn-danger", "btn-warning", "btn-info",
+    "btn-link", "btn-outline-primary", "btn-outline-secondary", "btn-outline-success", "btn-outline-danger",
+    "btn-outline-warning", "btn-outline-info", "btn-sm", "btn-lg", "btn-block", "form-control", "form-group",
+    "form-horizontal", "form-inline", "form-check", "form-check-input", "form-check-label", "form-label", "form-select",
+    "form-text", "form-floating", "input-group", "row", "container", "container-fluid", "container-sm", "container-md",
+    "container-lg", "container-xl", "card", "card-body", "card-header", "card-footer", "card-title", "card-text",
+    "panel", "panel-body", "panel-heading", "panel-default", "table", "table-responsive", "table-striped",
+    "table-bordered", "table-hover", "nav", "nav-item", "nav-link", "navbar", "navbar-nav", "alert", "badge",
+    "clearfix", "float-left", "float-right", "text-center", "text-left", "text-right", "d-none", "d-block", "d-flex",
+    "d-inline", "d-inline-block", "d-inline-flex", "close", "dropdown-item", "dropdown-toggle", "dropdown-menu",
+    "custom-select", "form-control-sm", "btn-dark", "btn-light", "btn-outline-dark", "btn-outline-light", "text-dark",
+    "text-muted", "text-light", "text-white", "text-sm", "bg-transparent", "bg-light", "bg-dark", "bg-white",
+    "bg-primary", "bg-secondary", "border", "border-top", "border-bottom", "border-left", "border-right", "rounded",
+    "rounded-0", "flex-row", "flex-column", "flex-1", "align-self-center", "align-self-start", "align-self-end",
+    "justify-content-between", "justify-content-center", "justify-content-start", "justify-content-end", "no-underline",
+    "is-editing", "readonly", "modal-title", "modal-header", "modal-body", "modal-footer", "section-title-row",
+    "font-serif", "edit-controls", "mat-raised-button", "mat-button", "mat-icon-button", "mat-flat-button",
+    "mat-stroked-button", "mat-fab", "mat-mini-fab", "mat-form-field", "mat-input-element", "active", "disabled",
+    "hidden", "show", "fade", "collapse", "list-group", "list-group-item",
+]
 
 # fixed values: class name prefixes that carry layout only
-GENERIC_CLASS_PREFIXES = (
-    "col- offset- order- p- px- py- pt- pb- pl- pr- m- mx- my- mt- mb- ml- mr- g- gx- gy- "
-    "w- h- align- justify- bg- text- rounded- border- d-sm- d-md- d-lg- d-xl- font- btn-outline-"
-).split()
+GENERIC_CLASS_PREFIXES = [
+    "col-", "offset-", "order-", "p-", "px-", "py-", "pt-", "pb-", "pl-", "pr-", "m-", "mx-", "my-", "mt-", "mb-",
+    "ml-", "mr-", "g-", "gx-", "gy-", "w-", "h-", "align-", "justify-", "bg-", "text-", "rounded-", "border-", "d-sm-",
+    "d-md-", "d-lg-", "d-xl-", "font-", "btn-outline-",
+]
 
 # fixed values: input type -> value typed into a field of that type
 TYPE_VALUES = {
