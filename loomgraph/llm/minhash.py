@@ -12,7 +12,9 @@ Classes that share a band are tested on their full sets, but not all pairs of a
 between components. In a star round a bucket tests its members against one pivot; components are then
 joined and members of one component need no test any more. What is left in several components after
 STAR_ROUNDS is tested in full: members outside the bucket's largest component against all members of other
-components. So a group of many near copies costs a few tests each, and no link between components is lost.
+components, block by block inside the bucket: a task holds at most BLOCK strays and BLOCK members, counts shared
+shingles through an index of the members, and gives out links only. So a group of many near copies costs a few
+tests each and what strays from it a look at its bucket, and no link between components is lost.
 
 NULL, empty and blank texts have an empty set and are linked with nothing. Rows with the same doc_id are one
 document with several texts, each row is reported. Rows without doc_id are linked with nothing, have no
@@ -36,7 +38,8 @@ from loomgraph.llm.components import components
 
 ROWS, BANDS = 4, 32
 BINS = ROWS * BANDS
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+BLOCK = 500
 PORTION = 2 << 20
 MAX_REMEMBERED = 500_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -166,31 +169,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80)
     held = cut_lineage(texts(docs).withColumnRenamed("doc_id", "c").join(wanted, "c", "left_semi"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    kind = members.schema["c"].dataType.simpleString()
-    links = same_document(named, classes)
-    tested = docs.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-    labels = None
+    links, labels = same_document(named, classes), None
 
     def with_component() -> DataFrame:
         if labels is None:
             return members.withColumn("comp", F.col("c"))
         return members.join(labels.select(F.col("node").alias("c"), "root"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("comp"))
 
-    def test(pairs: DataFrame) -> None:
-        nonlocal links, tested, labels
-        pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        links = links.unionByName(cut_lineage(confirmed(pairs, held, shingle_words, percent)))
-        tested = tested.unionByName(pairs)
+    def add(found: DataFrame) -> None:
+        nonlocal links, labels
+        links = links.unionByName(cut_lineage(found))
         labels = cut_lineage(components(links))
 
     for k in range(STAR_ROUNDS):
         now = with_component()
-        order = F.col("c") if k == 0 else F.xxhash64("c", F.lit(k))
+        # First the least class, which most buckets of a group share; then another one in every bucket.
+        order = F.col("c") if k == 0 else F.xxhash64("c", "key", F.lit(k))
         pivots = (now.groupBy("key").agg(F.min_by(F.struct("c", "n", "comp"), order).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
                   .where("low <> high").select("key", "p"))
-        test(now.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & fits(F.col("n"), F.col("p.n")))
-             .select(F.col("c").alias("a"), F.col("p.c").alias("b")))
-    test(rest_of_buckets(with_component(), reps, fits))
+        pairs = (now.join(pivots, "key").where((F.col("comp") != F.col("p.comp")) & fits(F.col("n"), F.col("p.n")))
+                 .select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct())
+        add(confirmed(pairs, held, shingle_words, percent))
+    add(rest_of_buckets(with_component(), held, shingle_words, percent))
 
     root = labels.select(F.col("node").alias("c"), "root")
     by_class = classes.join(root, "c", "left").select("digest", F.coalesce("root", "c").alias("root"))
@@ -207,18 +207,41 @@ def same_document(named: DataFrame, classes: DataFrame) -> DataFrame:
                        .select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct())
 
 
-def rest_of_buckets(now: DataFrame, reps: DataFrame, fits) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components, each in the first band that both share."""
+def rest_of_buckets(now: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket in different components, one of them outside the largest."""
     parts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    largest = (parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("n_comps"))
-               .where("n_comps > 1").select("key", "main"))
-    there = cut_lineage(now.join(largest, "key").join(reps.select("c", "bands"), "c"))
-    stray = there.where("comp <> main").select("key", *[F.col(x).alias(f"s_{x}") for x in ("c", "n", "comp", "bands")])
-    first_shared = F.element_at(F.filter(F.arrays_zip("bands", "s_bands"), lambda z: z["bands"] == z["s_bands"]), 1)["bands"]
-    return (stray.join(there, "key")
-            .where((F.col("comp") != F.col("s_comp")) & ((F.col("comp") == F.col("main")) | (F.col("c") < F.col("s_c")))
-                   & fits(F.col("n"), F.col("s_n")) & (first_shared == F.col("key")))
-            .select(F.col("s_c").alias("a"), F.col("c").alias("b")))
+    largest = (parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("n_comps"),
+                                        F.sum("size").alias("members"), (F.sum("size") - F.max("size")).alias("strays"))
+               .where("n_comps > 1").drop("n_comps"))
+    left = cut_lineage(now.join(largest, "key"))
+    dealt = lambda n: F.pmod(F.xxhash64("c"), F.ceil(F.col(n) / BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK) - 1))
+    strays = left.where("comp <> main").select("key", "c", "comp", F.lit(True).alias("stray"), dealt("strays").alias("row"), every("members").alias("col"))
+    others = left.select("key", "c", "comp", F.lit(False).alias("stray"), every("strays").alias("row"), dealt("members").alias("col"))
+    blocks = strays.unionByName(others).join(held, "c")
+
+    def run(block: pa.Table) -> pa.Table:
+        hashes = WordHashes()
+        c, comp, stray = (block.column(k).to_numpy() for k in ("c", "comp", "stray"))
+        sets = [shingle_set(t.as_py(), size, hashes) for t in block.column("text").cast(pa.binary())]
+        n = np.array([len(s) for s in sets])
+        there = np.flatnonzero(~stray)
+        flat, owner = np.concatenate([sets[k] for k in there] or [np.zeros(0, np.uint64)]), np.repeat(there, n[there])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        a, b = [], []
+        for k in np.flatnonzero(stray):
+            low, high = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
+            m = high - low
+            shared = np.bincount(owner[np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m - low, m)], minlength=len(n))
+            good = np.flatnonzero((shared > 0) & (comp != comp[k]) & (100 * shared >= percent * (n + n[k] - shared)))
+            a.append(np.full(len(good), c[k]))
+            b.append(c[good])
+        return pa.table({"a": np.concatenate(a or [c[:0]]), "b": np.concatenate(b or [c[:0]])})
+
+    kind = now.schema["c"].dataType.simpleString()
+    found = with_package(blocks.select("key", "row", "col", "c", "comp", "stray", "text")).groupBy("key", "row", "col").applyInArrow(run, f"a {kind}, b {kind}")
+    return found.distinct()
 
 
 def report(docs: DataFrame) -> DataFrame:
