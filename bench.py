@@ -7,6 +7,7 @@ except that `workflows` goes on from the table of `trigger_edges`, as the stages
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -30,7 +31,8 @@ def consume(df):
 def main():
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.sql.shuffle.partitions", CPUS)
              .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate())
+             .config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
 

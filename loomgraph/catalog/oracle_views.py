@@ -533,6 +533,8 @@ from (select *, coalesce(trigger_kind = 'WIDGET_SUBMITS_FORM' and start_path = l
   case when trigger_kind = 'WIDGET_SUBMITS_FORM' then {sub('terminal_path', "case when list_contains(all_params, 'id') then v_id end", "case when list_contains(all_params, 'tab') then v_tab end")} else {sub('terminal_path')} end as expected_path,
   (case when coalesce(visible_expr, '') <> '' then 1 else 0 end) as waits, username is not null and login_route is not null as has_auth
 from (select a.*, coalesce(p.names, []) as all_params, (case when by_name then 1 else 0 end) + (case when a.is_template = 1 and o.by_button is not null then 1 else 0 end) + (case when flag_ok then 1 else 0 end) as n_dialogs,
+  list_filter([case when by_name then {{'selector': a.selector, 'opener': name_widget}} end, case when a.is_template = 1 and o.by_button is not null then {{'selector': 'ngb-modal-window', 'opener': o.by_button}} end,
+    case when flag_ok then {{'selector': a.selector, 'opener': 'text:' || flag_text}} end], lambda x: x is not null) as dialogs,
   case when by_name then a.selector when a.is_template = 1 and o.by_button is not null then 'ngb-modal-window' when flag_ok then a.selector end as dialog_selector,
   case when by_name and name_widget is not null then name_widget when a.is_template = 1 and o.by_button is not null then o.by_button when flag_ok then 'text:' || flag_text end as dialog_opener,
   coalesce({sub("case when flag_ok and flag_path <> '' then flag_path when by_name then name_path end")}, {sub('a.start_path')}) as start_url,

@@ -143,6 +143,16 @@ def preconditions(t):
     return plans(t).plans
 
 
+@query("F11_precondition_rows", "workflow_id:s pos:i type:s selector:s value:s", """
+select workflow_id, i - 1 as pos, r[i].type as type, r[i].selector as selector, r[i].value as value from (
+  select workflow_id, list_concat(list_concat(
+    case when has_auth then [{'type': 'auth-setup', 'selector': cast(null as varchar), 'value': login_route}] else [] end,
+    case when start_url is not null then [{'type': 'navigate-to-route', 'selector': cast(null as varchar), 'value': start_url}] else [] end),
+    list_transform(dialogs, lambda x: {'type': 'trigger-dialog-open', 'selector': x.selector, 'value': x.opener})) as r from v_plan), unnest(range(1, len(r) + 1)) u(i)""")
+def precondition_rows(t):
+    return plans(t).precondition_rows
+
+
 @query("F12_action_steps", "workflow_id:s item:s type:s strategy:s locator:s value:s scope:s", f"""
 select p.workflow_id, '' as item, 'wait-for-element' as type, l.strategy, l.value as locator, '' as value, p.selector as scope from v_plan p join v_locator l on l.workflow_id = p.workflow_id where p.waits = 1
 union all select workflow_id, field_id, case when tag_name = 'select' then 'select-option' when kind in ('Checkbox', 'Radio') then 'click' when input_type = 'file' or date_format is not null then 'type' else 'clear-and-type' end,

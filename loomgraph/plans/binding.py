@@ -323,6 +323,11 @@ class Plans:
             "dialog_selector": F.coalesce(F.when(F.col("by_name").isNotNull(), F.col("selector")), F.when(F.col("by_button").isNotNull(), F.lit("ngb-modal-window")),
                                           F.when(F.col("by_flag").isNotNull(), F.col("selector"))),
             "dialog_opener": F.coalesce("by_name.opener_widget", "by_button", F.concat(F.lit("text:"), "by_flag.opener_text")),
+            "dialogs": F.filter(F.array(
+                F.when(F.col("by_name").isNotNull(), F.struct(F.col("selector").alias("selector"), F.col("by_name.opener_widget").alias("opener"))),
+                F.when(F.col("by_button").isNotNull(), F.struct(F.lit("ngb-modal-window").alias("selector"), F.col("by_button").alias("opener"))),
+                F.when(F.col("by_flag").isNotNull(), F.struct(F.col("selector").alias("selector"), F.concat(F.lit("text:"), "by_flag.opener_text").alias("opener")))),
+                lambda x: x.isNotNull()),
             "n_fields": F.when(submits, F.coalesce("form_fields", F.lit(0))).otherwise(0),
             "waits": non_empty("visible_expr").cast("int"),
             "locator": widget_locator(),
@@ -334,6 +339,18 @@ class Plans:
             "budget_ms": time_budget(F.col("has_auth"), F.col("n_steps"), F.col("n_pre") + 1),
             "wait_reason": wait_reason(F.col("gates"), F.col("inside_ng_for"), F.col("has_auth"))}))
 
+    @cached_property
+    def precondition_rows(self) -> DataFrame:
+        """What must be done before the steps of a plan, in order, one row each (F11): login, navigation, every dialog opener."""
+        def entry(kind, selector, value):
+            return F.struct(F.lit(kind).alias("type"), selector.cast("string").alias("selector"), value.alias("value"))
+        none, no_rows = F.lit(None), F.array().cast("array<struct<type:string,selector:string,value:string>>")
+        rows = F.concat(
+            F.when(F.col("has_auth"), F.array(entry("auth-setup", none, F.col("login_route")))).otherwise(no_rows),
+            F.when(F.col("start_url").isNotNull(), F.array(entry("navigate-to-route", none, F.col("start_url")))).otherwise(no_rows),
+            F.transform("dialogs", lambda x: entry("trigger-dialog-open", x["selector"], x["opener"])))
+        return self.plans.select("workflow_id", F.posexplode(rows).alias("pos", "row")).select("workflow_id", "pos", "row.*")
+
     @staticmethod
     def _postcondition(d: DataFrame) -> DataFrame:
         """What must hold afterwards; the first rule that fits."""

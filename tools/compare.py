@@ -1,6 +1,7 @@
 """Run queries next to their check SQL: python tools/compare.py [sf] [name prefix ...]"""
 
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -16,7 +17,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def main(sf, prefixes):
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     folder = f"/root/testdata/sf{sf}"
     con = duckdb.connect()
