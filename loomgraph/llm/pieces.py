@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.scale import cut_lineage
-from loomgraph.llm.common import with_package
+from loomgraph.llm.common import let, with_package
 
 # Shared minimisers are sent to every task up to this many (8 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_KEYS = 8_000_000
-# A bucket with more distinct pieces is taken apart: its windows travel by their own content.
+# A bucket with more pieces is taken apart: equal pieces are merged and windows travel by their own content.
 SPLIT_AT = 256
 # Windows worked on at once; longer texts are taken in overlapping segments.
 SEGMENT = 1 << 20
@@ -79,14 +79,15 @@ def minimisers(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray
 
 
 def shared_keys(found: DataFrame, shared: Column) -> DataFrame:
-    """Minimisers that may belong to a repeat, marked for a broadcast while they are few."""
-    keys = cut_lineage(found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n")).where(shared).select("key"))
+    """(key, crowded): minimisers that may belong to a repeat, marked for a broadcast while they are few."""
+    keys = cut_lineage(found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"))
+                       .where(shared).select("key", (F.col("n") > SPLIT_AT).alias("crowded")))
     return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
 
 
 def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], width: int, piece_of: Callable[[bytes], Callable[[int, int], bytes]],
         shared: DataFrame) -> DataFrame:
-    """(key, doc_id, tid, start, offset, piece): the runs with a shared minimiser.
+    """(key, doc_id, tid, start, offset, piece, crowded): the runs with a shared minimiser.
 
     `start` is the first window of the run, `offset` how far the minimiser lies behind it, `piece` what its windows cover.
     """
@@ -123,7 +124,7 @@ def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], wid
 
     rows = with_package(docs.select("doc_id", "tid", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key bigint, doc_id {kind}, tid bigint, start bigint, offset bigint, piece binary").join(shared, "key", "left_semi")
+    return rows.mapInArrow(run, f"key bigint, doc_id {kind}, tid bigint, start bigint, offset bigint, piece binary").join(shared, "key")
 
 
 def with_name(pieces: DataFrame) -> DataFrame:
@@ -131,6 +132,42 @@ def with_name(pieces: DataFrame) -> DataFrame:
     return pieces.withColumns({"s1": F.xxhash64("piece", "offset"), "s2": F.xxhash64("offset", F.lit(7), "piece")})
 
 
+def buckets(found: DataFrame) -> DataFrame:
+    """The pieces of all buckets that are not crowded, each bucket in one partition and sorted together."""
+    return found.where("not crowded").drop("crowded").repartition("key").sortWithinPartitions("key")
+
+
+def as_runs(hits: Column) -> Column:
+    """Whole numbers of an array as runs (first, last) of consecutive ones."""
+    def of(h: Column) -> Column:
+        heads = F.filter(h, lambda x, k: F.coalesce(F.get(h, k - 1) != x - 1, F.lit(True)))
+        tails = F.filter(h, lambda x, k: F.coalesce(F.get(h, k + 1) != x + 1, F.lit(True)))
+        return F.transform(F.arrays_zip(heads.alias("first"), tails.alias("last")), lambda z: F.struct(
+            z["first"].cast("long").alias("first"), z["last"].cast("long").alias("last")))
+
+    return let(F.sort_array(hits), of)
+
+
+def flagged_runs(table: pa.Table, flags: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows (doc_id, tid, first, last) of consecutive flagged windows; piece k of the table has the next n[k] flags."""
+    begin = np.cumsum(n) - n
+    bounds = np.zeros(len(flags) + 1, dtype=bool)
+    bounds[begin] = True  # a run ends with its piece
+    edge = np.concatenate([flags, [False]])
+    first = np.flatnonzero(edge & (bounds | ~np.concatenate([[False], edge[:-1]])))
+    last = np.flatnonzero(edge & (np.concatenate([bounds[1:], [True]]) | ~np.concatenate([edge[1:], [False]])))
+    row = np.searchsorted(begin, first, "right") - 1
+    shift = table.column("start").to_numpy()[row] - begin[row]
+    at = pa.array(row)
+    return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(at), table.column("tid").combine_chunks().take(at), pa.array(first + shift), pa.array(last + shift)],
+                                      ["doc_id", "tid", "first", "last"])
+
+
+def per_document(hits: DataFrame) -> DataFrame:
+    """(doc_id, tid, runs): all flagged runs of windows of a text."""
+    return hits.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+
+
 def bucket_groups(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.Table]:
     """Rows that come sorted by `key`, as tables of whole buckets with about `enough` rows."""
     held: list[pa.RecordBatch] = []

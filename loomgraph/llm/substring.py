@@ -1,9 +1,9 @@
 """Substring dedup by super-k-mers of words.
 
 A window is WINDOW consecutive words. Consecutive windows with the same minimiser (least hash of GRAM words)
-travel as one packed string. Equal strings are first merged, keeping the least document; then the strings of a
-bucket meet, and sorting its windows gives the least document of each. A bucket with very many distinct
-strings is taken apart: its windows travel by their own words. A word goes when a window over it also starts in a
+travel as one packed string to their bucket, where sorting the windows gives the least document of each. A
+bucket with very many strings is taken apart: equal strings are merged, keeping the least document, and windows
+travel by their own words. A word goes when a window over it also starts in a
 document with a smaller doc_id.
 
 NULL and empty texts have no words; a text with fewer words than a window loses nothing; rows with the same
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from loomgraph.functions.scale import cut_lineage
 from loomgraph.llm import pieces
 from loomgraph.llm.common import let, sha256_hex, with_package
 from loomgraph.llm.minhash import GOLDEN, WordHashes, mix
@@ -51,8 +52,8 @@ def words_cut(text: bytes):
     return lambda first, n: packed[starts[first]:ends[first + n + WINDOW - 2] - 1]
 
 
-def least_docs(found: DataFrame) -> DataFrame:
-    """(s1, s2, least): per distinct piece (key, piece, offset, doc) the least document of each of its windows."""
+def repeats(found: DataFrame) -> DataFrame:
+    """(doc_id, tid, first, last): windows of the pieces of a bucket that a smaller document has too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces.bucket_groups(batches, ROWS_AT_ONCE):
             code: dict[bytes, int] = {}
@@ -61,14 +62,14 @@ def least_docs(found: DataFrame) -> DataFrame:
             size = np.array([len(words) for words in split])
             n = size - WINDOW + 1
             first = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            doc = np.repeat(table.column("doc").to_numpy(), n)
+            doc = np.repeat(table.column("doc_id").to_numpy(), n)
             group = same_window(codes, first)
             least = np.full(group.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, group, doc)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks() for c in ("s1", "s2")], pa.ListArray.from_arrays(offsets, pa.array(least[group]))], ["s1", "s2", "least"])
+            yield pieces.flagged_runs(table, least[group] < doc, n)
 
-    return with_package(found).mapInArrow(run, "s1 bigint, s2 bigint, least array<bigint>")
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return with_package(found).mapInArrow(run, f"doc_id {kind}, tid bigint, first bigint, last bigint")
 
 
 def same_window(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -87,29 +88,27 @@ def same_window(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_docs_apart(found: DataFrame) -> DataFrame:
-    """The same for buckets with very many pieces: windows are joined by their own words."""
+def repeats_apart(found: DataFrame) -> DataFrame:
+    """The same for crowded buckets: equal pieces are merged, and windows are joined by their own words."""
+    named = cut_lineage(pieces.with_name(found.where("crowded")).drop("key", "crowded"))
+    distinct = named.groupBy("s1", "s2", "piece").agg(F.min("doc_id").alias("doc"))
     words = F.split(F.col("piece").cast("string"), " ")
     windows = let(words, lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1)), lambda i: F.array_join(F.slice(ws, i, F.lit(WINDOW)), " ")))
-    each = found.select("s1", "s2", "doc", F.posexplode(windows).alias("i", "window"))
+    each = distinct.select("s1", "s2", "doc", F.posexplode(windows).alias("i", "window"))
     least = each.groupBy("window").agg(F.min("doc").alias("m"))
-    listed = each.join(least, "window").groupBy("s1", "s2").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("l"))
-    return listed.select("s1", "s2", F.col("l.m").alias("least"))
+    listed = each.join(least, "window").groupBy("s1", "s2").agg(F.collect_list(F.struct("i", "m")).alias("least"))
+    hit = F.transform(F.filter("least", lambda x: x["m"] < F.col("doc_id")), lambda x: x["i"] + F.col("start"))
+    return (named.select("s1", "s2", "doc_id", "tid", "start").join(listed, ["s1", "s2"])
+            .select("doc_id", "tid", F.inline(pieces.as_runs(hit))))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, starts): windows of a text that also start in a document with a smaller id."""
+    """(doc_id, tid, runs): windows of a text that also start in a document with a smaller id."""
     rows = pieces.identified(docs)
     width = WINDOW - GRAM + 1
     shared = pieces.shared_keys(pieces.minimisers(rows, word_grams, width), F.col("low") < F.col("high"))
-    found = pieces.with_name(pieces.cut(rows, word_grams, width, words_cut, shared))
-    distinct = found.groupBy("key", "piece", "offset", "s1", "s2").agg(F.min("doc_id").cast("bigint").alias("doc"))
-    crowded = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > pieces.SPLIT_AT).select("key")
-    bucketed = distinct.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    least = least_docs(bucketed).unionByName(least_docs_apart(distinct.join(crowded, "key", "left_semi")))
-    hit = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    return (found.select("s1", "s2", "doc_id", "tid", "start").join(least, ["s1", "s2"]).select("doc_id", "tid", hit.alias("hit"))
-            .where(F.size("hit") > 0).groupBy("doc_id", "tid").agg(F.flatten(F.collect_set("hit")).alias("starts")))
+    found = pieces.cut(rows, word_grams, width, words_cut, shared)
+    return pieces.per_document(repeats(pieces.buckets(found)).unionByName(repeats_apart(found)))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -117,13 +116,12 @@ def removed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, starts in zip(batch.column("text").cast(pa.binary()), batch.column("starts")):
+            for text, runs in zip(batch.column("text").cast(pa.binary()), batch.column("runs")):
                 words = text.as_py().split()
                 cover = np.zeros(len(words) + 1, dtype=np.int64)
-                if starts.is_valid:
-                    at = np.unique(starts.values.to_numpy())
-                    cover[at] += 1
-                    np.add.at(cover, at + WINDOW, -1)
+                if runs.is_valid:
+                    np.add.at(cover, runs.values.field("first").to_numpy(), 1)
+                    np.add.at(cover, runs.values.field("last").to_numpy() + WINDOW, -1)
                 keep = np.cumsum(cover)[:-1] == 0
                 total.append(len(words))
                 gone.append(int((~keep).sum()))
@@ -132,7 +130,7 @@ def removed(docs: DataFrame) -> DataFrame:
                                              ["doc_id", "n_words", "n_removed", "kept"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    both = with_package(rows.join(repeated_windows(docs), ["doc_id", "tid"], "left").select("doc_id", "text", "starts"))
+    both = with_package(rows.join(repeated_windows(docs), ["doc_id", "tid"], "left").select("doc_id", "text", "runs"))
     return both.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string")
 
 

@@ -7,8 +7,8 @@ column to the right, sorts it stably by the symbol that precedes each suffix, an
 the upper neighbour from the old ones (one more than the least between two equal symbols, else none). Orders of
 other columns are never merged in, as no repeat can lie across them. The sequential files between the rounds are
 Spark's sorted partitions: a task streams its buckets and holds a few thousand pieces, whatever a bucket's texts weigh.
-A window is repeated where the common prefix with a neighbour reaches LENGTH, or where its whole piece occurs
-twice. A bucket with very many distinct pieces is taken apart: its windows travel by a 128-bit digest.
+A window is repeated where the common prefix with a neighbour reaches LENGTH. A bucket with very many pieces is
+taken apart: equal pieces are merged, and windows travel by a 128-bit digest.
 
 NULL and empty texts have no bytes; repeated rows repeat each other's bytes and go on both sides; rows without
 doc_id neither lose bytes nor count; an empty table gives none; other columns are ignored.
@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from loomgraph.functions.scale import cut_lineage
 from loomgraph.llm import pieces
-from loomgraph.llm.common import let, with_package
+from loomgraph.llm.common import with_package
 from loomgraph.llm.minhash import mix
 
 LENGTH, GRAM = 400, 32
@@ -88,64 +89,40 @@ def longest_shared(group: np.ndarray, left: np.ndarray, held: list[bytes]) -> np
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """(s1, s2, hits): per distinct piece the windows (from 0) found in another piece of its bucket."""
+    """(doc_id, tid, first, last): windows of the pieces of a bucket that stand in another of its pieces too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces.bucket_groups(batches, ROWS_AT_ONCE):
             held = table.column("piece").to_pylist()
             n = np.array([len(p) for p in held]) - LENGTH + 1
-            alone = np.unique(table.column("key").to_numpy(), return_counts=True, return_inverse=True)
-            several = np.flatnonzero(alone[2][alone[1].reshape(-1)] > 1)
-            flags = np.zeros(int(n.sum()), dtype=bool)
-            start = np.cumsum(n) - n
-            if len(several):
-                shared = longest_shared(table.column("key").to_numpy()[several], table.column("offset").to_numpy()[several], [held[k] for k in several])
-                flags[np.repeat(start[several] - (np.cumsum(n[several]) - n[several]), n[several]) + np.arange(n[several].sum())] = shared
-            twice = table.column("times").to_numpy() > 1
-            flags |= np.repeat(twice, n)
-            at = np.flatnonzero(flags)
-            owner = np.searchsorted(start, at, "right") - 1
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(held)))]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks() for c in ("s1", "s2")], pa.ListArray.from_arrays(offsets, pa.array(at - start[owner], pa.int32()))], ["s1", "s2", "hits"])
-
-    return with_package(found).mapInArrow(run, "s1 bigint, s2 bigint, hits array<int>")
+            yield pieces.flagged_runs(table, longest_shared(table.column("key").to_numpy(), table.column("offset").to_numpy(), held), n)
+
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return with_package(found).mapInArrow(run, f"doc_id {kind}, tid bigint, first bigint, last bigint")
 
 
 def repeats_apart(found: DataFrame) -> DataFrame:
-    """The same for buckets with very many pieces: windows are counted by a digest of their bytes."""
+    """The same for crowded buckets: equal pieces are merged, and windows are counted by a digest of their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = [[hashlib.blake2b(p[k:k + LENGTH], digest_size=16).digest() for k in range(len(p) - LENGTH + 1)] for p in batch.column("piece").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("s1", "s2", "times")], pa.array(digests, pa.list_(pa.binary()))], ["s1", "s2", "times", "windows"])
 
-    each = (with_package(found.select("s1", "s2", "times", "piece")).mapInArrow(run, "s1 bigint, s2 bigint, times bigint, windows array<binary>")
+    named = cut_lineage(pieces.with_name(found.where("crowded")).drop("key", "crowded"))
+    distinct = named.groupBy("s1", "s2", "piece").agg(F.count(F.lit(1)).alias("times"))
+    each = (with_package(distinct.select("s1", "s2", "times", "piece")).mapInArrow(run, "s1 bigint, s2 bigint, times bigint, windows array<binary>")
             .select("s1", "s2", "times", F.posexplode("windows").alias("i", "window")))
     often = each.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    return each.join(often, "window", "left_semi").groupBy("s1", "s2").agg(F.collect_list("i").alias("hits"))
+    listed = each.join(often, "window", "left_semi").groupBy("s1", "s2").agg(pieces.as_runs(F.collect_list("i")).alias("runs"))
+    moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last")))
+    return named.select("s1", "s2", "doc_id", "tid", "start").join(listed, ["s1", "s2"]).select("doc_id", "tid", F.inline(moved))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, starts): windows of a text that start anywhere else too, as runs (first, last)."""
+    """(doc_id, tid, runs): windows of a text that start anywhere else too."""
     rows = pieces.identified(docs)
     shared = pieces.shared_keys(pieces.minimisers(rows, byte_grams, WIDTH), F.col("n") > 1)
-    found = pieces.with_name(pieces.cut(rows, byte_grams, WIDTH, bytes_cut, shared))
-    distinct = found.groupBy("key", "piece", "offset", "s1", "s2").agg(F.count(F.lit(1)).alias("times"))
-    crowded = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > pieces.SPLIT_AT).select("key")
-    bucketed = distinct.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    hits = repeats(bucketed).unionByName(repeats_apart(distinct.join(crowded, "key", "left_semi")))
-    listed = hits.where(F.size("hits") > 0).select("s1", "s2", as_runs(F.col("hits")).alias("runs"))
-    moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last")))
-    return (found.select("s1", "s2", "doc_id", "tid", "start").join(listed, ["s1", "s2"])
-            .groupBy("doc_id", "tid").agg(F.flatten(F.collect_set(moved)).alias("runs")))
-
-
-def as_runs(hits: Column) -> Column:
-    """Sorted whole numbers as runs of consecutive ones."""
-    def of(h: Column) -> Column:
-        heads = F.filter(h, lambda x, k: F.coalesce(F.get(h, k - 1) != x - 1, F.lit(True)))
-        tails = F.filter(h, lambda x, k: F.coalesce(F.get(h, k + 1) != x + 1, F.lit(True)))
-        return F.transform(F.arrays_zip(heads.alias("first"), tails.alias("last")), lambda z: F.struct(z["first"].alias("first"), z["last"].alias("last")))
-
-    return let(F.sort_array(hits), of)
+    found = pieces.cut(rows, byte_grams, WIDTH, bytes_cut, shared)
+    return pieces.per_document(repeats(pieces.buckets(found)).unionByName(repeats_apart(found)))
 
 
 def removed(docs: DataFrame) -> DataFrame:
