@@ -4,8 +4,9 @@ A word is a run of characters other than ASCII controls, blanks and punctuation,
 A document overlaps an item where, on one diagonal, a window of WINDOW item words holds at least LEAST
 equal words (of an item with fewer words the same share of all its words, rounded up). A mask is a set of
 word offsets; the words between them are ignored. Every window with LEAST equal words holds at least one
-mask whose words are all equal (`tests/llm` tries all patterns), so a shared hash of masked words
-proposes every overlap, and the words around a hit then decide.
+mask whose words are all equal, and so does every item of fewer words with the masks that MORE adds for its length
+(`tests/llm` tries all patterns of every length), so a shared hash of masked words proposes every overlap, and the
+words around a hit then decide.
 
 The benchmark is the given query set: it is cut into blocks of at most BLOCK_BYTES, whose size is
 measured, and every block meets all documents. Words that are not in a block cannot match and are
@@ -28,6 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from loomgraph.llm.common import texts, with_package
 
 MASKS = [(0, 1, 2, 3), (0, 1, 3, 4)]
+# By item length: masks for the patterns of equal words that hold none of MASKS.
+MORE = {5: [(0, 1, 2, 4), (0, 2, 3, 4)], 9: [(0, 1, 2, 4)]}
 WINDOW, LEAST = 13, 10
 BLOCK_BYTES = 16 << 20
 PORTION = 4 << 20
@@ -91,6 +94,7 @@ class Items:
         for n in sorted({n for n in self.length if n < span}):
             gaps = n - needed(n)
             self.seeds += [self.table(m, n) for m in short_masks(n, gaps)]
+        self.seeds += [self.table(m, n) for n in MORE if n in self.length for m in MORE[n]]
 
     def table(self, mask: tuple[int, ...], length: int | None):
         at, key = masked(self.codes, mask)

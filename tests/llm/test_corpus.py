@@ -209,6 +209,15 @@ def test_every_window_with_enough_words_holds_a_mask():
         assert any(all(k + o not in gone for o in m) for m in decontam.MASKS for k in range(decontam.WINDOW - m[-1]))
 
 
+@pytest.mark.parametrize("n", range(1, decontam.WINDOW + 1))
+def test_every_pattern_of_a_short_item_is_found(n):
+    words = [f"w{k}" for k in range(n)]
+    items = decontam.Items([(0, " ".join(words).encode())])
+    for equal in itertools.combinations(range(n), decontam.needed(n)):
+        doc = " ".join(words[k] if k in equal else f"x{k}" for k in range(n))
+        assert list(items.overlaps([f"before {doc} after".encode()])) == [(0, 0, len(equal), 1 + equal[0])], equal
+
+
 def test_benchmark_overlaps(spark, docs, rows):
     items = [prose(90 + k, n) for k, n in enumerate((40, 13, 9, 6, 4, 3, 1))] + [None, "", "..."]
     benchmark = spark.createDataFrame([(k, t, "x") for k, t in enumerate(items)], "item_id int, text string, doc_id string")
