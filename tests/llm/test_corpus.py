@@ -253,6 +253,23 @@ def test_html_template_of_a_host(spark):
     assert got == {k: f"{prose(k, 20)} {prose(50 + k, 20)}" for k in range(6)} | {100 + k: prose(3, 20) for k in range(5)}
 
 
+def test_html_template_inside_articles(spark):
+    """Repeated lines leave articles, also those of a template with a small part of the host; copies and near copies of articles stay."""
+    page = "<html><body><{0}><article><h1>{1}</h1><p>{2}</p><{3}>Get our letter by mail</{3}><div>Tell your friends</div></article></{0}></body></html>"
+    main = "<html><body><main><p>{}</p><div>Get our letter by mail</div></main></body></html>"
+    whole = lambda *p: "<html><body><article>" + "".join(f"<p>{x}</p>" for x in p) + "</article></body></html>"
+    pages = [(k, f"http://a.example/{k}", page.format("div", prose(k, 3), prose(50 + k, 20), "div")) for k in range(5)]
+    pages += [(10 + k, f"http://b.example/{k}", page.format("section", prose(k, 3), prose(50 + k, 20), "section")) for k in range(4)]
+    pages += [(20 + k, f"http://b.example/{20 + k}", whole(prose(70 + k, 20))) for k in range(12)]
+    pages += [(40 + k, f"http://c.example/{k}", main.format(prose(k, 20))) for k in range(4)]
+    pages += [(50 + k, f"http://d.example/{k}", whole(prose(1, 20), prose(2, 20), prose(3, 20), prose(90 + k, 5))) for k in range(4)]
+    pages += [(60 + k, f"http://e.example/{k}", whole(prose(1, 20), prose(2, 20))) for k in range(4)]
+    got = {r.page_id: r.text for r in html_text.report(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    want = {k + d: f"{prose(k, 3)} {prose(50 + k, 20)}" for d, n in ((0, 5), (10, 4)) for k in range(n)}
+    want |= {20 + k: prose(70 + k, 20) for k in range(12)} | {40 + k: prose(k, 20) for k in range(4)} | {60 + k: f"{prose(1, 20)} {prose(2, 20)}" for k in range(4)}
+    assert got == want | {50 + k: f"{prose(1, 20)} {prose(2, 20)} {prose(3, 20)} {prose(90 + k, 5)}" for k in range(4)}
+
+
 def test_sharding(spark, docs, rows):
     sizes = [(i, len((t or "").encode())) for i, t in rows]
     big = max(n for _, n in sizes)
