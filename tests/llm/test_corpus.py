@@ -253,6 +253,24 @@ def test_html_template_of_a_host(spark):
     assert got == {k: f"{prose(k, 20)} {prose(50 + k, 20)}" for k in range(6)} | {100 + k: prose(3, 20) for k in range(5)}
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='content no-sidebar'>", "<div id='page' class='has-sidebar'>", "<section class='search-result'>", "<div class='sidebar'>", "<form>",
+                                     "<div role='search'>", "<form><div class='header-wrapper'>", "<body class='search'>", "<div class='login'><main>"])
+def test_html_wrapper_of_the_whole_page(wrapper):
+    page = f"<html><body>{wrapper}<nav>Home</nav><article><p>Main text</p><div class='site-footer'>By me</div></article><aside><article>Teaser</article></aside>" \
+           "<section id='comments'><article>first!</article></section><div class='related-posts'><article>Other</article></div>"
+    assert html_text.Page(page).main_text(set()) == "Main text"
+
+
+def test_html_asides_are_the_last_resort():
+    text = lambda body: html_text.Page(f"<html><body>{body}</body></html>").main_text(set())
+    assert text("<form><p>Only here</p></form><nav>Home</nav>") == "Only here"
+    assert text("<div class='has-sidebar'><p>Plain</p></div><div class='sidebar'>Side</div>") == "Plain"
+    assert text("<aside><article>Teaser</article></aside>") == "Teaser"
+    assert text("<article class='post comment-body'>first!</article><p>Text</p>") == "Text"
+    assert text("<p>One <span class='ad'>buy</span> two</p>") == "One two"
+    assert text("") == ""
+
+
 def test_html_template_inside_articles(spark):
     """Repeated lines leave articles, also those of a template with a small part of the host; copies and near copies of articles stay."""
     page = "<html><body><{0}><article><h1>{1}</h1><p>{2}</p><{3}>Get our letter by mail</{3}><div>Tell your friends</div></article></{0}></body></html>"
