@@ -35,3 +35,12 @@ def test_result_does_not_depend_on_partitioning(spark):
     a = ev.fold_attempts(t.attempts)
     b = ev.fold_attempts(t.attempts.repartition(37, "k"))
     assert same_rows(a, b)
+
+
+def test_unmet_guards_ask_all_accounts(spark, con):
+    """A guard that any account satisfies is met; the check SQL of M3 looks at one account in 150."""
+    cut = entry.oracle_sql()["M3_unmet_guards"]
+    whole = cut.replace(" and a.pos % 3 = 0 and a.pos % 50 = 0", "")
+    want = sorted(con.execute(f"select subject, name from ({whole})").fetchall())
+    got = sorted((r.subject, r.name) for r in entry.queries()["M3_unmet_guards"](spark, FOLDER).collect())
+    assert got == want != sorted(con.execute(f"select subject, name from ({cut})").fetchall())
