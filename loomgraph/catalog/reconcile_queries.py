@@ -121,7 +121,7 @@ def blocks(t):
         F.concat_ws("|", "comp_id", "trigger_kind").alias("block"), "workflow_id", F.split_part("effect_group", F.lit("::"), F.lit(-1)).alias("handler"),
         F.split_part("widget_id", F.lit("|"), F.lit(3)).alias("tag"), F.xxhash64("workflow_id").alias("h"))
     cands = w.select("block", (F.abs(F.col("h")) % (1 << 40)).alias("cand"), "handler", "tag")
-    entries = w.where("h % 7 <> 0").select(
+    entries = w.select(
         "block", (F.abs(F.xxhash64(F.reverse("workflow_id"))) % (1 << 40)).alias("entry"), F.when(F.col("h") % 101 == 0, "other").otherwise(F.col("handler")).alias("handler"),
         F.when(F.col("h") % 53 == 0, "Link").otherwise(F.col("tag")).alias("tag"))
     return entries, cands

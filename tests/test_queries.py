@@ -1,9 +1,12 @@
 """A part of the named queries next to their check SQL on the smallest tables."""
 
+from types import SimpleNamespace
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from loomgraph.catalog import reconcile_queries
 from loomgraph.operators import evidence as ev
 from loomgraph.operators.reconcile import same_rows
 from loomgraph.sources.views import Tables
@@ -44,3 +47,11 @@ def test_unmet_guards_ask_all_accounts(spark, con):
     want = sorted(con.execute(f"select subject, name from ({whole})").fetchall())
     got = sorted((r.subject, r.name) for r in entry.queries()["M3_unmet_guards"](spark, FOLDER).collect())
     assert got == want != sorted(con.execute(f"select subject, name from ({cut})").fetchall())
+
+
+def test_every_workflow_with_an_effect_is_an_entry(spark, monkeypatch):
+    rows = [("c1", "WTH", f"w{k}", "g::save", f"a|b|Button|{k}") for k in range(60)]
+    made = spark.createDataFrame(rows, "comp_id string, trigger_kind string, workflow_id string, effect_group string, widget_id string")
+    monkeypatch.setattr(reconcile_queries, "flow", lambda t: SimpleNamespace(workflows=made))
+    entries, cands = reconcile_queries.blocks(None)
+    assert entries.select("entry").distinct().count() == cands.select("cand").distinct().count() == len(rows)
