@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontam, pii, quality, secret_scan, sharding, substring
+from loomgraph.llm import decontam, pii, quality, resample, secret_scan, sharding, substring, vector_codes
 
 WORD = r"[^\x20\x09-\x0D]+"
 TEXTS = "select doc_id, coalesce(text, '') as t from documents"
@@ -178,6 +178,65 @@ held as (
 select doc_id, item_id, max(c)::bigint as n_equal, min(p)::bigint as doc_start from held where c >= need group by doc_id, item_id
 """
 
+_FEATURE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_B = resample.BUCKETS
+
+
+def _features(table: str, key: str) -> str:
+    """(key, n_words, f): the runs of one and two words of each text."""
+    return f"""select {key}, n_words, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as f from (
+      select {key}, len(ws) as n_words, ws from (select {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_FEATURE}') as ws from {table}))"""
+
+
+RESAMPLE = f"""
+with crc as materialized (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b::bigint)) as t),
+df as materialized (select doc_id, f, count(*) as n from ({_features('documents', 'doc_id')}) group by all),
+bf as materialized (select f, count(*) as n from ({_features('benchmark', 'item_id')}) group by all),
+hashed as (select f, hex(f) as h from (select f from df union select f from bf)),
+bucket as materialized (
+  select f, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::bigint),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) % {_B} as k from hashed, crc),
+s as (select k, sum(n)::bigint as n from df join bucket using (f) group by k),
+t as (select k, sum(n)::bigint as n from bf join bucket using (f) group by k),
+total as (select (select coalesce(sum(n), 0) from s)::bigint + {_B} as s, (select coalesce(sum(n), 0) from t)::bigint + {_B} as t),
+gain as (select s.k, floor({resample.SCALE} * ln((coalesce(t.n, 0) + 1)::double * total.s::double / ((s.n + 1)::double * total.t::double)))::bigint as g from total, s left join t using (k)),
+w as (select doc_id, sum(n)::bigint as n_features, floor(sum(n * g)::double / sum(n)::double)::bigint as weight from df join bucket using (f) join gain using (k) group by doc_id),
+words as (select doc_id, len(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_FEATURE}')) as n_words from documents),
+scored as (
+  select doc_id, n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0)
+    + floor(-{resample.SCALE}.0 * ln(-ln((('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8))::bigint::double + 0.5) / 4294967296.0)))::bigint as score
+  from words left join w using (doc_id)),
+placed as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_words >= {resample.LEAST_WORDS})
+select doc_id, n_features, weight, score, case when place <= {resample.PERCENT} * n // 100 then place end as rank from scored left join placed using (doc_id)
+"""
+
+
+def vector_codes_sql(size: int = 64) -> str:
+    """For vectors of `size` components: assignment and means, round after round."""
+    parts, entries, width = vector_codes.PARTS, vector_codes.ENTRIES, size // vector_codes.PARTS
+    steps = []
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""a{r} as materialized (
+  select vec_id, p, any_value(part.w) as w, min((list_sum(list_transform(range(1, {width} + 1), lambda i: (part.w[i] - b.w[i]) * (part.w[i] - b.w[i]))))::bigint * {entries} + e) as best
+  from part join b{r} b using (p) group by vec_id, p)""")
+        if r < vector_codes.ROUNDS:
+            steps.append(f"""m{r} as (
+  select p, e, list(m order by i) as w from (select p, best % {entries} as e, i, floor(sum(w[i])::double / count(*)::double)::bigint as m from a{r}, range(1, {width} + 1) d(i) group by all) group by p, e),
+b{r + 1} as materialized (select b.p, b.e, coalesce(m.w, b.w) as w from b{r} b left join m{r} m using (p, e))""")
+    last = vector_codes.ROUNDS
+    return f"""
+with kept as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor(x::double * {vector_codes.SCALE})::bigint) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+part as materialized (select vec_id, p, v[p * {width} + 1:p * {width} + {width}] as w from kept, range({parts}) t(p)),
+b0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as e, w from part where vec_id in (select vec_id from kept order by vec_id limit {entries})),
+{", ".join(steps)},
+coded as (select vec_id, string_agg(lower(lpad(hex(best % {entries}), 2, '0')), '' order by p) as code, sum(best // {entries})::bigint as error from a{last} group by vec_id),
+book as (select sha256(string_agg(x::varchar, ',' order by p, e, i)) as h from (select p, e, i, w[i] as x from b{last}, range(1, {width} + 1) d(i)))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h as codebooks_sha256 from coded join kept using (vec_id), book
+"""
+
+
 ORACLE = {
     "op1_sharding": SHARDING,
     "op2_quality_rules": QUALITY,
@@ -187,4 +246,6 @@ ORACLE = {
     "op6_secrets": secrets_sql(),
     "op8_substring_dedup": SUBSTRING,
     "op10_benchmark_overlaps": OVERLAPS,
+    "op12_importance_resampling": RESAMPLE,
+    "op13_vector_codes": vector_codes_sql(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, decontam, html_text, minhash, pii, quality, secret_scan, sharding, substring, suffix
+from loomgraph.llm import bpe, decontam, html_text, minhash, pii, quality, resample, secret_scan, sharding, substring, suffix, token_count, vector_codes
 from loomgraph.llm.common import table
 from loomgraph.llm.oracle import ORACLE  # noqa: F401
 
@@ -26,4 +26,7 @@ QUERIES = {
     "op8_substring_dedup": lambda spark, d: substring.report(table(spark, d, "documents")),
     "op9_suffix_dedup": lambda spark, d: suffix.report(table(spark, d, "documents")),
     "op10_benchmark_overlaps": lambda spark, d: decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op11_token_count": lambda spark, d: token_count.report(table(spark, d, "documents"), vocabulary_path()),
+    "op12_importance_resampling": lambda spark, d: resample.report(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_vector_codes": lambda spark, d: vector_codes.report(table(spark, d, "embeddings")),
 }

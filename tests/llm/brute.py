@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -141,3 +142,49 @@ def shards(rows, limit, bits=60):
 
     split([(i, n, int(hashlib.md5(str(i).encode()).hexdigest()[:bits // 4], 16)) for i, n in rows], 0, "")
     return out
+
+
+def resampled(rows, target, buckets=10_000):
+    """{doc_id: (features, weight, score, rank)} of (doc_id, text) with one row per id."""
+    def features(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return len(w), [zlib.crc32(f.encode()) % buckets for f in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+    s, t = (collections.Counter(k for x in texts for k in features(x)[1]) for texts in ([x for _, x in rows], target))
+    S, T = s.total(), t.total()
+    out = {}
+    for i, text in rows:
+        n, fs = features(text)
+        gains = [math.floor(1000 * math.log((t[k] + 1) * (S + buckets) / ((s[k] + 1) * (T + buckets)))) for k in fs]
+        weight = sum(gains) // len(gains) if gains else 0
+        h = int(hashlib.sha256(f"7:{i}".encode()).hexdigest()[:8], 16)
+        out[i] = (n, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))))
+    fit = sorted((i for i in out if out[i][0] >= 20), key=lambda i: (-out[i][3], i))
+    rank = {i: k + 1 for k, i in enumerate(fit[:25 * len(fit) // 100])}
+    return {i: (*v[1:], rank.get(i)) for i, v in out.items()}
+
+
+def codes(rows, parts=4, entries=256, rounds=4):
+    """[(vec_id, code, error, label_error)] and the code books of (vec_id, vector, label)."""
+    rows = [(i, [math.floor(1024 * x) for x in v], label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    width = len(rows[0][1]) // parts if rows else 0
+    first = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))[:entries]
+    books = [[r[1][p * width:(p + 1) * width] for r in first] for p in range(parts)]
+
+    def assigned(p):
+        cut = [r[1][p * width:(p + 1) * width] for r in rows]
+        return [(x, *min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(books[p]))) for x in cut]
+
+    for _ in range(rounds):
+        for p in range(parts):
+            at = collections.defaultdict(list)
+            for x, _, k in assigned(p):
+                at[k].append(x)
+            for k, xs in at.items():
+                books[p][k] = [sum(c) // len(xs) for c in zip(*xs)]
+    by_part = [assigned(p) for p in range(parts)]
+    errors = [sum(a[j][1] for a in by_part) for j in range(len(rows))]
+    total = collections.Counter()
+    for (_, _, label), e in zip(rows, errors):
+        total[label] += e
+    return [(i, "".join(f"{a[j][2]:02x}" for a in by_part), errors[j], total[label]) for j, (i, _, label) in enumerate(rows)], books
