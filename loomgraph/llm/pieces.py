@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.scale import cut_lineage
@@ -19,6 +20,10 @@ from loomgraph.llm.common import let, with_package
 MAX_BROADCAST_KEYS = 8_000_000
 # A bucket with more pieces is taken apart: equal pieces are merged and windows travel by their own content.
 SPLIT_AT = 256
+# Pieces of a crowded bucket that go to one task, about: larger groups of equal pieces are dealt to several.
+DEALT = 2048
+# Equal pieces of which more occurrences are found get their windows by a broadcast, while such names are few.
+HOT_NAME, MAX_HOT_NAMES = 2048, 100_000
 # Windows worked on at once; longer texts are taken in overlapping segments.
 SEGMENT = 1 << 20
 OFFSET_BITS = 21
@@ -79,15 +84,19 @@ def minimisers(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray
 
 
 def shared_keys(found: DataFrame, shared: Column) -> DataFrame:
-    """(key, crowded): minimisers that may belong to a repeat, marked for a broadcast while they are few."""
+    """(key, parts): minimisers that may belong to a repeat, marked for a broadcast while they are few.
+
+    `parts` is 0 for a bucket that is sorted whole, else over how many tasks equal pieces of a crowded one may be dealt.
+    """
+    parts = F.when(F.col("n") > SPLIT_AT, F.ceil(F.col("n") / DEALT)).otherwise(0).cast("int")
     keys = cut_lineage(found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"))
-                       .where(shared).select("key", (F.col("n") > SPLIT_AT).alias("crowded")))
+                       .where(shared).select("key", parts.alias("parts")))
     return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
 
 
 def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], width: int, piece_of: Callable[[bytes], Callable[[int, int], bytes]],
         shared: DataFrame) -> DataFrame:
-    """(key, doc_id, tid, start, offset, piece, crowded): the runs with a shared minimiser.
+    """(key, doc_id, tid, start, offset, piece, parts): the runs with a shared minimiser.
 
     `start` is the first window of the run, `offset` how far the minimiser lies behind it, `piece` what its windows cover.
     """
@@ -127,14 +136,69 @@ def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], wid
     return rows.mapInArrow(run, f"key bigint, doc_id {kind}, tid bigint, start bigint, offset bigint, piece binary").join(shared, "key")
 
 
-def with_name(pieces: DataFrame) -> DataFrame:
-    """A name of 128 bits for a piece's content and place of its minimiser."""
-    return pieces.withColumns({"s1": F.xxhash64("piece", "offset"), "s2": F.xxhash64("offset", F.lit(7), "piece")})
+def settled(found: DataFrame, repeats: Callable[[pa.Table], pa.RecordBatch], rows_at_once: int) -> DataFrame:
+    """All pieces after one exchange, as a written table of three kinds of rows.
+
+    Pieces of a bucket meet in one task, where `repeats` gives flagged runs of windows (doc_id, tid, first, last).
+    Pieces of a crowded bucket are dealt by content, large groups of equal ones over several tasks; there equal
+    ones are merged: (s1, s2, piece, low, times) per distinct piece and task, and (s1, s2, doc_id, tid, first) per
+    occurrence, without its content. (s1, s2) names content and place of the minimiser in 128 bits.
+    """
+    kind = found.schema["doc_id"].dataType.simpleString()
+    crowded = F.col("parts") > 0
+    name = {"s1": F.when(crowded, F.xxhash64("piece", "offset")), "s2": F.when(crowded, F.xxhash64("offset", F.lit(7), "piece"))}
+    deal = F.when(crowded, F.xxhash64(F.xxhash64("piece", "offset"), F.pmod(F.xxhash64("doc_id", "tid", "start"), F.greatest("parts", F.lit(1))))).otherwise(F.col("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in bucket_groups(batches, rows_at_once):
+            doc, whole = table.schema.field("doc_id").type, pc.is_null(table.column("s1"))
+            plain = table.filter(whole)
+            if len(plain):
+                yield padded(repeats(plain), doc)
+            apart = table.filter(pc.invert(whole))
+            if len(apart):
+                yield padded(apart.select(["s1", "s2", "doc_id", "tid"]).append_column("first", apart.column("start")), doc)
+                merged = apart.group_by(["s1", "s2", "piece"]).aggregate([("doc_id", "min"), ("doc_id", "count")])
+                yield padded(merged.select(["s1", "s2", "piece", "doc_id_min", "doc_id_count"]).rename_columns(["s1", "s2", "piece", "low", "times"]), doc)
+
+    rows = found.select(deal.alias("key"), "doc_id", "tid", "start", "offset", "piece", *[c.alias(k) for k, c in name.items()])
+    dealt = with_package(rows.repartition("key").sortWithinPartitions("key"))
+    return cut_lineage(dealt.mapInArrow(run, f"doc_id {kind}, tid bigint, first bigint, last bigint, s1 bigint, s2 bigint, piece binary, low {kind}, times bigint"))
+
 
+def padded(rows: pa.Table | pa.RecordBatch, doc: pa.DataType) -> pa.RecordBatch:
+    """Rows in the columns of the settled table, NULL where they have none."""
+    long = pa.int64()
+    kinds = {"doc_id": doc, "tid": long, "first": long, "last": long, "s1": long, "s2": long, "piece": pa.binary(), "low": doc, "times": long}
+    schema = pa.schema(list(kinds.items()))
+    held = {c: rows.column(c) for c in rows.schema.names}
+    made = pa.table([held[c].cast(t) if c in held else pa.nulls(rows.num_rows, t) for c, t in kinds.items()], schema=schema).combine_chunks().to_batches()
+    return made[0] if made else pa.RecordBatch.from_pylist([], schema)
 
-def buckets(found: DataFrame) -> DataFrame:
-    """The pieces of all buckets that are not crowded, each bucket in one partition and sorted together."""
-    return found.where("not crowded").drop("crowded").repartition("key").sortWithinPartitions("key")
+
+def plain_hits(table: DataFrame) -> DataFrame:
+    """Flagged runs of windows of the buckets that were sorted whole."""
+    return table.where("last is not null").select("doc_id", "tid", "first", "last")
+
+
+def distinct_pieces(table: DataFrame) -> DataFrame:
+    """(s1, s2, piece, low, times) of the crowded buckets, each piece once."""
+    return table.where("times is not null").groupBy("s1", "s2", "piece").agg(F.min("low").alias("low"), F.sum("times").alias("times"))
+
+
+def at_occurrences(table: DataFrame, listed: DataFrame) -> DataFrame:
+    """Occurrences of the crowded buckets' pieces with what `listed` (s1, s2, times, ...) says of the piece.
+
+    A name with very many occurrences would be one hot key: such names are few, and are sent to all tasks once counted.
+    """
+    seen = table.where("last is null and times is null").select("s1", "s2", "doc_id", "tid", F.col("first").alias("start"))
+    listed = cut_lineage(listed)
+    hot = listed.where(F.col("times") > HOT_NAME)
+    if not 0 < hot.count() <= MAX_HOT_NAMES:
+        return seen.join(listed, ["s1", "s2"])
+    hot = F.broadcast(hot)
+    rest = seen.join(F.broadcast(hot.select("s1", "s2")), ["s1", "s2"], "left_anti").join(listed.where(F.col("times") <= HOT_NAME), ["s1", "s2"])
+    return seen.join(hot, ["s1", "s2"]).unionByName(rest)
 
 
 def as_runs(hits: Column) -> Column:

@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomgraph.functions.scale import cut_lineage
 from loomgraph.llm import pieces
 from loomgraph.llm.common import let, sha256_hex, with_package
 from loomgraph.llm.minhash import GOLDEN, WordHashes, mix
@@ -52,24 +51,19 @@ def words_cut(text: bytes):
     return lambda first, n: packed[starts[first]:ends[first + n + WINDOW - 2] - 1]
 
 
-def repeats(found: DataFrame) -> DataFrame:
+def repeats(table: pa.Table) -> pa.RecordBatch:
     """(doc_id, tid, first, last): windows of the pieces of a bucket that a smaller document has too."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in pieces.bucket_groups(batches, ROWS_AT_ONCE):
-            code: dict[bytes, int] = {}
-            split = [p.split(b" ") for p in table.column("piece").to_pylist()]
-            codes = np.array([code.setdefault(w, len(code)) for words in split for w in words], dtype=np.int64)
-            size = np.array([len(words) for words in split])
-            n = size - WINDOW + 1
-            first = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            doc = np.repeat(table.column("doc_id").to_numpy(), n)
-            group = same_window(codes, first)
-            least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, group, doc)
-            yield pieces.flagged_runs(table, least[group] < doc, n)
-
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return with_package(found).mapInArrow(run, f"doc_id {kind}, tid bigint, first bigint, last bigint")
+    code: dict[bytes, int] = {}
+    split = [p.split(b" ") for p in table.column("piece").to_pylist()]
+    codes = np.array([code.setdefault(w, len(code)) for words in split for w in words], dtype=np.int64)
+    size = np.array([len(words) for words in split])
+    n = size - WINDOW + 1
+    first = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    doc = np.repeat(table.column("doc_id").to_numpy(), n)
+    group = same_window(codes, first)
+    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, doc)
+    return pieces.flagged_runs(table, least[group] < doc, n)
 
 
 def same_window(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -88,18 +82,16 @@ def same_window(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats_apart(found: DataFrame) -> DataFrame:
-    """The same for crowded buckets: equal pieces are merged, and windows are joined by their own words."""
-    named = cut_lineage(pieces.with_name(found.where("crowded")).drop("key", "crowded"))
-    distinct = named.groupBy("s1", "s2", "piece").agg(F.min("doc_id").alias("doc"))
+def repeats_apart(table: DataFrame) -> DataFrame:
+    """The same for crowded buckets: windows of the distinct pieces are joined by their own words."""
+    distinct = pieces.distinct_pieces(table)
     words = F.split(F.col("piece").cast("string"), " ")
     windows = let(words, lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1)), lambda i: F.array_join(F.slice(ws, i, F.lit(WINDOW)), " ")))
-    each = distinct.select("s1", "s2", "doc", F.posexplode(windows).alias("i", "window"))
-    least = each.groupBy("window").agg(F.min("doc").alias("m"))
-    listed = each.join(least, "window").groupBy("s1", "s2").agg(F.collect_list(F.struct("i", "m")).alias("least"))
+    each = distinct.select("s1", "s2", "low", "times", F.posexplode(windows).alias("i", "window"))
+    least = each.groupBy("window").agg(F.min("low").alias("m"))
+    listed = each.join(least, "window").groupBy("s1", "s2").agg(F.first("times").alias("times"), F.collect_list(F.struct("i", "m")).alias("least"))
     hit = F.transform(F.filter("least", lambda x: x["m"] < F.col("doc_id")), lambda x: x["i"] + F.col("start"))
-    return (named.select("s1", "s2", "doc_id", "tid", "start").join(listed, ["s1", "s2"])
-            .select("doc_id", "tid", F.inline(pieces.as_runs(hit))))
+    return pieces.at_occurrences(table, listed).select("doc_id", "tid", F.inline(pieces.as_runs(hit)))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -107,8 +99,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     rows = pieces.identified(docs)
     width = WINDOW - GRAM + 1
     shared = pieces.shared_keys(pieces.minimisers(rows, word_grams, width), F.col("low") < F.col("high"))
-    found = pieces.cut(rows, word_grams, width, words_cut, shared)
-    return pieces.per_document(repeats(pieces.buckets(found)).unionByName(repeats_apart(found)))
+    table = pieces.settled(pieces.cut(rows, word_grams, width, words_cut, shared), repeats, ROWS_AT_ONCE)
+    return pieces.per_document(pieces.plain_hits(table).unionByName(repeats_apart(table)))
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomgraph.functions.scale import cut_lineage
 from loomgraph.llm import pieces
 from loomgraph.llm.common import with_package
 from loomgraph.llm.minhash import mix
@@ -88,41 +87,35 @@ def longest_shared(group: np.ndarray, left: np.ndarray, held: list[bytes]) -> np
     return np.concatenate([out[shift[k]:shift[k] + n, k] for k, n in enumerate(size - LENGTH + 1)])
 
 
-def repeats(found: DataFrame) -> DataFrame:
+def repeats(table: pa.Table) -> pa.RecordBatch:
     """(doc_id, tid, first, last): windows of the pieces of a bucket that stand in another of its pieces too."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in pieces.bucket_groups(batches, ROWS_AT_ONCE):
-            held = table.column("piece").to_pylist()
-            n = np.array([len(p) for p in held]) - LENGTH + 1
-            yield pieces.flagged_runs(table, longest_shared(table.column("key").to_numpy(), table.column("offset").to_numpy(), held), n)
-
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return with_package(found).mapInArrow(run, f"doc_id {kind}, tid bigint, first bigint, last bigint")
+    held = table.column("piece").to_pylist()
+    n = np.array([len(p) for p in held]) - LENGTH + 1
+    return pieces.flagged_runs(table, longest_shared(table.column("key").to_numpy(), table.column("offset").to_numpy(), held), n)
 
 
-def repeats_apart(found: DataFrame) -> DataFrame:
-    """The same for crowded buckets: equal pieces are merged, and windows are counted by a digest of their bytes."""
+def repeats_apart(table: DataFrame) -> DataFrame:
+    """The same for crowded buckets: windows of the distinct pieces are counted by a digest of their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = [[hashlib.blake2b(p[k:k + LENGTH], digest_size=16).digest() for k in range(len(p) - LENGTH + 1)] for p in batch.column("piece").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("s1", "s2", "times")], pa.array(digests, pa.list_(pa.binary()))], ["s1", "s2", "times", "windows"])
 
-    named = cut_lineage(pieces.with_name(found.where("crowded")).drop("key", "crowded"))
-    distinct = named.groupBy("s1", "s2", "piece").agg(F.count(F.lit(1)).alias("times"))
+    distinct = pieces.distinct_pieces(table)
     each = (with_package(distinct.select("s1", "s2", "times", "piece")).mapInArrow(run, "s1 bigint, s2 bigint, times bigint, windows array<binary>")
             .select("s1", "s2", "times", F.posexplode("windows").alias("i", "window")))
     often = each.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    listed = each.join(often, "window", "left_semi").groupBy("s1", "s2").agg(pieces.as_runs(F.collect_list("i")).alias("runs"))
+    listed = each.join(often, "window", "left_semi").groupBy("s1", "s2").agg(F.first("times").alias("times"), pieces.as_runs(F.collect_list("i")).alias("runs"))
     moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last")))
-    return named.select("s1", "s2", "doc_id", "tid", "start").join(listed, ["s1", "s2"]).select("doc_id", "tid", F.inline(moved))
+    return pieces.at_occurrences(table, listed).select("doc_id", "tid", F.inline(moved))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, runs): windows of a text that start anywhere else too."""
     rows = pieces.identified(docs)
     shared = pieces.shared_keys(pieces.minimisers(rows, byte_grams, WIDTH), F.col("n") > 1)
-    found = pieces.cut(rows, byte_grams, WIDTH, bytes_cut, shared)
-    return pieces.per_document(repeats(pieces.buckets(found)).unionByName(repeats_apart(found)))
+    table = pieces.settled(pieces.cut(rows, byte_grams, WIDTH, bytes_cut, shared), repeats, ROWS_AT_ONCE)
+    return pieces.per_document(pieces.plain_hits(table).unionByName(repeats_apart(table)))
 
 
 def removed(docs: DataFrame) -> DataFrame:
