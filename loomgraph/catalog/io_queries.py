@@ -169,28 +169,38 @@ def export(t):
 CLOSED = "(select max(ts) - interval 10 minutes from events)"
 
 
+# The events arrive as JSON lines in slices of equal time; a job reads one slice per batch.
+SLICES = 3
+
+
+def arriving(t, rows=None):
+    return kj.replayed(t.pipeline_events if rows is None else rows, "ts", SLICES)
+
+
 @query("K1_event_ingest", "event_type:s n:i first_id:i last_id:i", "select event_type, count(*) as n, min(event_id) as first_id, max(event_id) as last_id from events group by all")
 def ingest(t):
-    table = kj.run(kj.event_stream(t.spark, t.folder))
+    table = kj.run(arriving(t))
     return table.groupBy("event_type").agg(n(), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
-@query("K2_windowed_counts", "start:s event_type:s n:i", f"""
-select strftime(w, '%Y-%m-%d %H:%M') as start, event_type, count(*) as n from (select *, time_bucket(interval 1 hour, ts) as w from events) where w + interval 1 hour <= {CLOSED} group by all""")
+@query("K2_windowed_counts", "start:s phase:s severity:s outcome:s n:i", f"""
+select strftime(w, '%Y-%m-%d %H:%M') as start, phase, severity, outcome, count(*) as n from (select *, time_bucket(interval 1 hour, ts) as w from v_pipeline_event)
+where w + interval 1 hour <= {CLOSED} group by all""")
 def windows(t):
-    return kj.run(kj.windowed_counts(kj.event_stream(t.spark, t.folder))).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+    table = kj.run(kj.windowed_counts(arriving(t), ["phase", "severity", "outcome"]))
+    return table.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
-@query("K3_run_sessions", "user_id:i start:s n:i")
+@query("K3_run_sessions", "user_id:i start:s n:i", f"""
+with gaps as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as fresh from events),
+islands as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as island from gaps)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from islands group by user_id, island having max(ts) + interval 30 minutes <= {CLOSED}""")
 def sessions(t):
-    return kj.run(kj.run_sessions(kj.event_stream(t.spark, t.folder))).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    return kj.run(kj.run_sessions(arriving(t))).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 def attempt_stream(t):
-    return kj.event_stream(t.spark, t.folder).selectExpr(
-        "event_id", "cast(user_id as string) || '/' || cast(cast(ts as date) as string) as test_id", "cast(event_id % 3 as string) as run_id", "user_id", "ts",
-        "unix_micros(ts) as at", "cast(round(value * 100) as bigint) as duration_ms",
-        "case event_type when 'purchase' then 'PASS' when 'signup' then 'FAIL_AUTH' when 'error' then 'FAIL_ELEMENT_NOT_FOUND' when 'click' then 'FAIL_TIMEOUT' else 'FAIL_ASSERTION' end as outcome")
+    return arriving(t, t.attempt_events)
 
 
 @query("K4_completed_once", "n:i n_tests:i", "select count(distinct (user_id, cast(ts as date), event_id % 3)) as n, count(distinct (user_id, cast(ts as date))) as n_tests from events")
@@ -206,14 +216,45 @@ def live(t):
 
 @query("K6_stale_evidence", "stale:i n:i", "select ts < date_trunc('day', ts) + (event_id % 24) * interval 1 hour - interval 5 seconds as stale, count(*) as n from events group by all")
 def stale(t):
-    e = kj.event_stream(t.spark, t.folder).withColumn("run_start", F.expr("date_trunc('day', ts) + make_interval(0, 0, 0, 0, cast(event_id % 24 as int))"))
+    e = arriving(t).withColumn("run_start", F.expr("date_trunc('day', ts) + make_interval(0, 0, 0, 0, cast(event_id % 24 as int))"))
     fresh, old = kj.route_stale(e, "run_start")
     return fresh.unionByName(old).groupBy("stale").agg(n())
 
 
-@query("K7_running_coverage", "subject:s executed:i passed:i", "select 'u' || (user_id % 10) as subject, count(*) as executed, count(*) filter (event_type = 'purchase') as passed from events group by all")
+# the attempts that came in up to the end of a step, folded
+STEPS = f"""
+span as (select min(epoch_us(ts)) as low, max(epoch_us(ts)) as high from events),
+edge as (select step, low + (high - low) * (step + 1) // {SLICES} as upto from span, (select unnest(range({SLICES})) as step)),
+seen as (select step, a.* from edge, v_attempt a where epoch_us(a.ts) <= upto and attempt <= 3),
+cut as (select *, min(case when outcome in ('PASS', 'FAIL_APP_NOT_READY') then attempt end) over (partition by step, test_id) as stop from seen),
+result as (select step, test_id, arg_max(outcome, attempt) as outcome from cut where stop is null or attempt <= stop group by all)"""
+
+
+@query("K7_running_coverage", "step:i subject:s total:i pruned:i executed:i passed:i failed:i not_ready:i skipped:i c1:d c2:d c3:d", f"""
+with {STEPS},
+state as (select step, t.*, outcome is not null as ran, case when verdict = 'PRUNED' then 'PRUNED' when outcome = 'FAIL_APP_NOT_READY' then 'NOT_READY' when skipped then 'SKIPPED'
+  when outcome = 'PASS' then 'PASS' when outcome is not null then 'FAIL' end as state from v_test t cross join (select step from edge) left join result using (step, test_id)),
+figures as (select step, subject, count(*) as total, count(*) filter (state = 'PRUNED') as pruned, count(*) filter (ran) as executed, count(*) filter (state = 'PASS') as passed,
+  count(*) filter (state = 'FAIL') as failed, count(*) filter (state = 'NOT_READY') as not_ready, count(*) filter (state = 'SKIPPED') as skipped,
+  count(*) filter (verdict <> 'PRUNED' and has_plan) as p, count(*) filter (verdict <> 'PRUNED' and has_code) as c from state group by all)
+select * exclude (p, c), case when total > pruned then p / (total - pruned) else 0 end as c1, case when total > pruned then c / (total - pruned) else 0 end as c2,
+  case when total - pruned - not_ready - skipped > 0 then passed / (total - pruned - not_ready - skipped) else 0 end as c3 from figures""")
 def coverage(t):
-    return kj.run(kj.running_coverage(attempt_stream(t).select("test_id", "outcome"), t.tests), mode="complete", keys=["subject"])
+    rows, folder = t.attempt_events, kj.new_folder(t.spark)
+    edges = kj.slice_edges(rows, "ts", SLICES)
+    job = None
+    for after, upto in zip(edges, edges[1:]):
+        kj.deliver(rows, "ts", folder, after, upto)
+        job = job or kj.RunningCoverage(kj.json_event_stream(t.spark, folder, rows.schema), t.tests)
+        job.step()
+    return job.tiers()
+
+
+@query("K7_live_attribution", "test_id:s req:i pos:i status:i", "select r.test_id, r.req, s.pos, r.status from v_request r join v_step s on s.test_id = r.test_id and r.ts between s.ts_start and s.ts_end")
+def live_attribution(t):
+    requests = kj.replayed(t.requests.select("test_id", "req", "ts", "status"), "ts", SLICES)
+    steps = kj.replayed(t.steps.select("test_id", "pos", "ts_start", "ts_end"), "ts_start", SLICES)
+    return kj.run(kj.live_attribution(requests, steps, longest="2 minutes"))
 
 
 @query("K8_pass_rate", "start:s n:i passed:i rate:d", f"""

@@ -76,10 +76,14 @@ select l_orderkey as page_id, string_agg(s, chr(10) order by l_linenumber, l_par
 from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, {fx.SNIPPET} as s from lineitem) group by l_orderkey"""
 VIEWS["v_account"] = f"""
 select 'app' || {fx.APP_OF_CUSTOMER} as subject, c_custkey as pos, c_name as username, case when c_acctbal < 0 then '' else 'pw' || c_custkey end as password,
-  case c_mktsegment when 'MACHINERY' then ['AuthGuard'] when 'BUILDING' then ['AuthGuard', 'RoleGuard'] when 'FURNITURE' then ['RoleGuard'] else [] end as guards,
+  list_concat(case when c_mktsegment in ('MACHINERY', 'BUILDING') then ['AuthGuard'] else [] end, case when c_mktsegment in ('BUILDING', 'FURNITURE') and c_acctbal > 9900 then ['RoleGuard'] else [] end) as guards,
   case when c_mktsegment = 'BUILDING' then ['admin'] else [] end as roles from customer"""
 VIEWS["v_param_value"] = ("select subject, full_path as template, 'id' as param, 'v' || n as value from v_route where n % 6 = 3 "
                           "union all select subject, null, 'id', '1' from v_module where g = 0")
+VIEWS["v_pipeline_event"] = """
+select event_id, ts, case event_type when 'view' then 'A1' when 'click' then 'A2' when 'signup' then 'B1' when 'purchase' then 'B2' else 'B3' end as phase,
+  case when event_type = 'error' then 'error' when value < 5 then 'debug' when value > 50 then 'warn' else 'info' end as severity,
+  case event_type when 'purchase' then 'PASS' when 'error' then 'FAIL' else '' end as outcome from events"""
 VIEWS["v_attempt"] = """
 select *, 'u' || (user_id % 10) as subject,
   case event_type when 'purchase' then 'PASS' when 'signup' then 'FAIL_AUTH' when 'error' then 'FAIL_ELEMENT_NOT_FOUND' when 'click' then 'FAIL_TIMEOUT' else 'FAIL_ASSERTION' end as outcome,
@@ -322,8 +326,8 @@ select subject, route_id, route_id as above from v_route
 union select a.subject, a.route_id, e.from_id from v_above a join v_edge e on e.kind = 'ROUTE_HAS_CHILD' and e.subject = a.subject and e.to_id = a.above"""
 VIEWS["v_bootstrap"] = """
 select c.subject, c.comp_id from v_component c
-where not exists (select 1 from v_edge e where e.kind in ('ROUTE_ACTIVATES_COMPONENT', 'COMPONENT_COMPOSES_COMPONENT') and e.subject = c.subject and e.to_id = c.comp_id)
-  and exists (select 1 from v_edge e where e.kind in ('COMPONENT_COMPOSES_COMPONENT', 'COMPONENT_CONTAINS_WIDGET') and e.subject = c.subject and e.from_id = c.comp_id)"""
+anti join (select subject, to_id as comp_id from v_edge where kind in ('ROUTE_ACTIVATES_COMPONENT', 'COMPONENT_COMPOSES_COMPONENT')) a using (subject, comp_id)
+semi join (select subject, from_id as comp_id from v_edge where kind in ('COMPONENT_COMPOSES_COMPONENT', 'COMPONENT_CONTAINS_WIDGET')) b using (subject, comp_id)"""
 VIEWS["v_cc"] = "select distinct subject, from_id, to_id from v_edge where kind = 'COMPONENT_COMPOSES_COMPONENT'"
 VIEWS["v_reach"] = """
 select subject, comp_id as root, comp_id from v_component

@@ -30,6 +30,9 @@ SQL_CAST = {
 }
 
 
+READ_OFTEN = ("v_edge", "v_atom")
+
+
 def needed_views(sql: str) -> list[str]:
     """Views a statement uses, directly or through other views, in definition order."""
     used: set[str] = set()
@@ -44,7 +47,7 @@ def needed_views(sql: str) -> list[str]:
 
 def compose(sql: str, cols: list[list[str]]) -> str:
     casts = ", ".join(SQL_CAST[k].format(c) for c, k in cols)
-    views = [f"{v} as ({VIEWS[v]})" for v in needed_views(sql)]
+    views = [f"{v} as {'materialized ' if v in READ_OFTEN else ''}({VIEWS[v]})" for v in needed_views(sql)]
     return f"with recursive {', '.join(views + [f'answer as ({sql})'])} select {casts} from answer"
 
 

@@ -206,8 +206,8 @@ class Tables:
         return self("customer").selectExpr(
             f"'app' || {fx.APP_OF_CUSTOMER} as subject", "c_custkey as pos", "c_name as username",
             "case when c_acctbal < 0 then '' else 'pw' || c_custkey end as password",
-            "case c_mktsegment when 'MACHINERY' then array('AuthGuard') when 'BUILDING' then array('AuthGuard', 'RoleGuard') "
-            "when 'FURNITURE' then array('RoleGuard') else cast(array() as array<string>) end as guards",
+            "array_compact(array(case when c_mktsegment in ('MACHINERY', 'BUILDING') then 'AuthGuard' end, "
+            "case when c_mktsegment in ('BUILDING', 'FURNITURE') and c_acctbal > 9900 then 'RoleGuard' end)) as guards",
             "case when c_mktsegment = 'BUILDING' then array('admin') else cast(array() as array<string>) end as roles")
 
     @cached_property
@@ -252,6 +252,20 @@ class Tables:
                     "200 + 100 * (k % 4) as status",
                     "case k % 3 when 0 then 'GET' when 1 then 'POST' else 'PUT' end as method"))
 
+    @cached_property
+    def pipeline_events(self) -> DataFrame:
+        """Events as lines of a pipeline log: phase, severity and outcome beside the event."""
+        return self("events").selectExpr(
+            "event_id", "cast(ts as timestamp) as ts", "user_id", "event_type", "'u' || (user_id % 10) as subject",
+            "case event_type when 'view' then 'A1' when 'click' then 'A2' when 'signup' then 'B1' when 'purchase' then 'B2' else 'B3' end as phase",
+            "case when event_type = 'error' then 'error' when value < 5 then 'debug' when value > 50 then 'warn' else 'info' end as severity",
+            "case event_type when 'purchase' then 'PASS' when 'error' then 'FAIL' else '' end as outcome")
+
+    @cached_property
+    def attempt_events(self) -> DataFrame:
+        """Test attempts as they are reported, before any fold."""
+        return self.attempts.selectExpr("event_id", "test_id", "cast(event_id % 3 as string) as run_id", "user_id", "ts", "unix_micros(ts) as at", "duration_ms", "outcome")
+
     @cached_property
     def steps(self) -> DataFrame:
         """Conversation turns as the steps of a test log."""

@@ -1,49 +1,89 @@
 """Structured Streaming jobs over pipeline events and test attempts (K1-K8).
 
 A job takes a streaming frame and gives a streaming frame; `run` writes it with a
-checkpoint in the shared folder, so a job that is stopped goes on where it was.
+checkpoint in the shared folder. A run that is given the folder of an earlier one goes
+on where that one stopped: files it has read are not read again, state is taken up, and
+a batch that was cut off overwrites itself.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomgraph.functions.scalar import ratio
 from loomgraph.functions.scale import shared_folder
 
 LATENESS = "10 minutes"
+# A test is one user on one day: what repeats its keys, or belongs to its fold, comes within that time.
+TEST_SPAN = "1 day"
+TEST_SPAN_MS = 24 * 3600 * 1000
+ATTEMPTS = 3
+ENDS = ("PASS", "FAIL_APP_NOT_READY")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_trigger: int = 100) -> DataFrame:
-    """Events as a stream with proper timestamps (K1). Naive times are read as UTC."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name).parquet(folder))
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def json_event_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Append-only JSON lines as a stream (K1)."""
-    return spark.readStream.schema(schema).json(folder)
+def slice_edges(rows: DataFrame, at: str, slices: int) -> list[int]:
+    """Ends, in whole microseconds, of equal slices of the time that rows span; the first entry is before all rows."""
+    low, high = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    return [] if low is None else [low - 1, *[low + (high - low) * k // slices for k in range(1, slices + 1)]]
 
 
-def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+def deliver(rows: DataFrame, at: str, folder: str, after: int, upto: int, files: int = 1) -> None:
+    """Append rows of the times (after, upto] to a folder of JSON lines, as a logger does that flushes now and then."""
+    part = rows.where(f"unix_micros({at}) > {after} and unix_micros({at}) <= {upto}")
+    part.coalesce(files).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder)
+
+
+def json_event_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
+    """Append-only JSON lines as a stream, a bounded number of files per batch, older files first (K1)."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+            .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder))
+
+
+def replayed(rows: DataFrame, at: str, slices: int) -> DataFrame:
+    """Rows of a table as a stream that brings them slice by slice in order of time."""
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession)
+    edges = slice_edges(rows, at, slices)
+    for after, upto in zip(edges, edges[1:]):
+        deliver(rows, at, folder, after, upto)
+    if not edges:
+        rows.write.json(folder)
+    return json_event_stream(spark, folder, rows.schema)
+
+
+def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, base: str | None = None,
+        shrink: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
     """Process what is there, write it to a table in the shared folder and read it back.
 
-    In update mode every batch is written under its number, and of the rows of a key the
-    one from the last batch counts.
+    In update mode every batch is written under its number, after `shrink`, and of the rows of a
+    key the one from the last batch counts. State is held by RocksDB: on disk, not in the heap.
     """
     spark = df.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or new_folder(spark)
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{base}/table").start()
-    else:
-        def keep(batch: DataFrame, number: int) -> None:
-            # the batch number in the path makes a repeated batch overwrite itself
-            batch.write.mode("overwrite").parquet(f"{base}/table/batch={number}")
-        query = writer.foreachBatch(keep).start()
-    query.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKS)
+    try:
+        if mode == "append":
+            query = writer.format("parquet").option("path", f"{base}/table").start()
+        else:
+            def keep(batch: DataFrame, number: int) -> None:
+                # the batch number in the path makes a repeated batch overwrite itself
+                shrink(batch).write.mode("overwrite").parquet(f"{base}/table/batch={number}")
+            query = writer.foreachBatch(keep).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     schema = df.schema if mode == "append" else T.StructType(df.schema.fields + [T.StructField("batch", T.LongType())])
     out = spark.read.schema(schema).parquet(f"{base}/table")
     if keys:
@@ -52,11 +92,11 @@ def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> D
     return out
 
 
-def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Events per kind in tumbling or sliding windows (K2)."""
+def windowed_counts(events: DataFrame, by: list[str], width: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Events per value of some columns (phase, severity, outcome) in tumbling or sliding windows (K2)."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return (events.withWatermark("ts", LATENESS).groupBy(w.alias("w"), "event_type")
-            .agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n"))
+    return (events.withWatermark("ts", LATENESS).groupBy(w.alias("w"), *by)
+            .agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n"))
 
 
 def run_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -65,24 +105,43 @@ def run_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
 
 
-def completed_once(attempts: DataFrame) -> DataFrame:
-    """Each completion once, however often it is delivered (K4)."""
-    return attempts.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["test_id", "run_id"])
+def completed_once(attempts: DataFrame, horizon: str = TEST_SPAN) -> DataFrame:
+    """Each completion once, however often it is delivered within the horizon, in one batch or in several (K4)."""
+    return attempts.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["test_id", "run_id"])
+
+
+FOLD = "test_id string, attempts bigint, duration_ms bigint, outcome string, was string"
+SLOTS = "at array<bigint>, event_id array<bigint>, outcome array<string>, duration_ms array<bigint>, shown string, shown_attempts bigint, shown_ms bigint"
 
 
-def live_results(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Running result per test (K5). Rows of a test: at, event_id, outcome, duration_ms.
+def fold_slots(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first ATTEMPTS attempts of a test stay in its state, whatever arrives; its fold is shown when it changes.
 
-    A built-in aggregate keeps the attempts of a test, a short list as retries are
-    bounded, and the fold is an expression over it; state stays in the JVM.
+    The state leaves TEST_SPAN after the last attempt kept, on the clock of the stream.
     """
-    rows = attempts.groupBy("test_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "outcome", "duration_ms"))).alias("all"))
-    first = F.slice("all", 1, max_attempts)
-    ends = F.array_position(F.transform(first, lambda x: x["outcome"].isin("PASS", "FAIL_APP_NOT_READY")), True).cast("int")
-    used = F.when(ends > 0, F.slice(first, F.lit(1), ends)).otherwise(first)
-    return rows.select("test_id", used.alias("used")).select(
-        "test_id", F.size("used").cast("bigint").alias("attempts"),
-        F.aggregate("used", F.lit(0).cast("long"), lambda s, x: s + x["duration_ms"]).alias("duration_ms"), F.element_at("used", -1)["outcome"].alias("outcome"))
+    if state.hasTimedOut:
+        state.remove()
+        return
+    *columns, shown, shown_attempts, shown_ms = state.get if state.exists else ([], [], [], [], None, None, None)
+    slots = list(zip(*columns))
+    for f in frames:
+        slots = sorted({*slots, *zip(f["at"].tolist(), f["event_id"].tolist(), f["outcome"].tolist(), f["duration_ms"].tolist())})[:ATTEMPTS]
+    used = slots[:next((k + 1 for k, x in enumerate(slots) if x[2] in ENDS), len(slots))]
+    now = (used[-1][2], len(used), sum(x[3] for x in used))
+    state.update((*[list(c) for c in zip(*slots)], *now))
+    state.setTimeoutTimestamp(max(slots[-1][0] // 1000, state.getCurrentWatermarkMs()) + TEST_SPAN_MS)
+    if now != (shown, shown_attempts, shown_ms):
+        yield pd.DataFrame({"test_id": [key[0]], "attempts": [now[1]], "duration_ms": [now[2]], "outcome": [now[0]], "was": [shown]})
+
+
+def live_results(attempts: DataFrame) -> DataFrame:
+    """Running result per test, and the one before (K5). Rows of a test: ts, at, event_id, outcome, duration_ms.
+
+    State per test has a fixed size: three slots and what was shown last. Attempts behind the
+    watermark are dropped; a repeated delivery (same event_id) doesn't count again.
+    """
+    return (attempts.withWatermark("ts", LATENESS).groupBy("test_id")
+            .applyInPandasWithState(fold_slots, FOLD, SLOTS, "update", GroupStateTimeout.EventTimeTimeout))
 
 
 def split_stale(evidence: DataFrame, run_start: str, slack: str = "5 seconds") -> DataFrame:
@@ -103,16 +162,67 @@ def route_stale(evidence: DataFrame, run_start: str) -> tuple[DataFrame, DataFra
     return table.where("not stale"), table.where("stale")
 
 
-def running_coverage(results: DataFrame, tests: DataFrame) -> DataFrame:
-    """Passed tests per application against the table of all tests, kept up to date (K7)."""
-    known = results.join(tests.select("test_id", "subject"), "test_id", "left")
-    return known.groupBy("subject").agg(F.count(F.lit(1)).alias("executed"), F.count_if(F.col("outcome") == "PASS").alias("passed"))
+def coverage_changes(results: DataFrame, workflows: DataFrame) -> DataFrame:
+    """What changed results do to the figures of an application (K7): a stream of changes with a table of workflows.
+
+    Rows of `workflows`: test_id, subject, verdict, skipped. A result that replaces another takes its share back.
+    """
+    def state(outcome: str):
+        o = F.col(outcome)
+        return (F.when(o.isNull(), "none").when(F.col("verdict") == "PRUNED", "pruned").when(o == "FAIL_APP_NOT_READY", "not_ready")
+                .when(F.col("skipped"), "skipped").when(o == "PASS", "passed").otherwise("failed"))
+
+    j = results.join(workflows.select("test_id", "subject", "verdict", "skipped"), "test_id")
+    step = j.select("subject", "skipped", state("outcome").alias("now"), state("was").alias("before"))
+    share = lambda s: (F.col("now") == s).cast("int") - (F.col("before") == s).cast("int")
+    counts = {s: share(s) for s in ("passed", "not_ready", "failed")} | {"executed": (F.col("before") == "none").cast("int")}
+    counts["not_skipped"] = F.when(F.col("skipped"), share("not_ready")).otherwise(0)  # not ready comes before skipped
+    return step.select("subject", *[c.cast("long").alias(k) for k, c in counts.items()])
+
+
+class RunningCoverage:
+    """Coverage tiers of every application, kept up to date as attempts come in (K7).
+
+    A step takes in what has arrived since the last one, from the stream's checkpoint, and numbers the sums of its
+    changes; the tiers after any step are those sums up to it over the denominators of the workflow table.
+    """
+
+    def __init__(self, attempts: DataFrame, workflows: DataFrame):
+        self.base = new_folder(attempts.sparkSession)
+        self.spark = attempts.sparkSession
+        self.workflows = workflows
+        self.changes = coverage_changes(live_results(attempts), workflows)
+        self.steps = 0
+
+    def step(self) -> None:
+        figures = [c for c in self.changes.columns if c != "subject"]
+
+        def summed(rows: DataFrame) -> DataFrame:
+            return rows.groupBy("subject").agg(*[F.sum(c).alias(c) for c in figures])
+
+        run(self.changes, mode="update", base=self.base, shrink=summed)  # a batch leaves one row per application
+        summed(self.spark.read.parquet(f"{self.base}/table")).write.mode("overwrite").parquet(f"{self.base}/after/step={self.steps}")
+        self.steps += 1
+
+    def tiers(self) -> DataFrame:
+        """One row per step made and application, also for applications without a result so far."""
+        live = F.col("verdict") != "PRUNED"
+        known = self.workflows.groupBy("subject").agg(
+            F.count(F.lit(1)).alias("total"), F.count_if(~live).alias("pruned"), F.count_if(live & F.col("skipped")).alias("to_skip"),
+            F.count_if(live & F.col("has_plan")).alias("with_plan"), F.count_if(live & F.col("has_code")).alias("with_code"))
+        rows = known.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(self.steps - 1))))
+        done = self.spark.read.parquet(f"{self.base}/after").withColumn("step", F.col("step").cast("int"))
+        j = rows.join(done, ["subject", "step"], "left").na.fill(0).withColumn("skipped", F.col("to_skip") - F.col("not_skipped"))
+        denominator = F.col("total") - F.col("pruned")
+        return j.withColumns({"c1": ratio("with_plan", denominator), "c2": ratio("with_code", denominator),
+                              "c3": ratio("passed", denominator - F.col("not_ready") - F.col("skipped"))}).drop("to_skip", "not_skipped")
 
 
 def live_attribution(requests: DataFrame, steps: DataFrame, longest: str | None = None) -> DataFrame:
-    """Requests joined to the steps they fall into, stream to stream (K7).
+    """Requests joined to the steps they fall into, stream to stream (K7, the live form of E8).
 
-    A caller who knows that no step lasts longer than `longest` (an interval) lets old steps leave the state.
+    Both sides have a watermark. A caller who knows that no step lasts longer than `longest` (an interval)
+    lets old steps leave the state; without it only requests do.
     """
     r = requests.withWatermark("ts", LATENESS).alias("r")
     s = steps.withWatermark("ts_start", LATENESS).alias("s")
