@@ -181,10 +181,11 @@ def by_count(t):
 
 @query("E14_per_test_table", "subject:s test_id:s outcome:s attempts:i duration_ms:i failure_kind:s error:s", f"""
 select f.subject, f.test_id, f.outcome, f.attempts, f.duration_ms, coalesce(l.failure_kind, '') as failure_kind, coalesce(replace(replace(s.text[1:60], '|', '\\|'), chr(10), ' '), '') as error
-from {VERIFIED} f left join v_log l on l.test_id = f.user_id || '' left join v_step s on s.test_id = f.user_id || '' and s.pos = 0""")
+from {VERIFIED} f left join v_log l on l.test_id = f.user_id || '' left join v_step s on s.test_id = l.test_id and s.step_id = l.failed_step_id""")
 def per_test(t):
     r = verified(t).withColumn("log_id", F.col("user_id").cast("string"))
-    errors = r.join(t.steps.where("pos = 0").select(F.col("test_id").alias("log_id"), F.col("text").alias("error")), "log_id").select("test_id", "error")
+    failing = t.failures.select("test_id", "pos").join(t.steps.select("test_id", "pos", "text"), ["test_id", "pos"])
+    errors = r.join(failing.select(F.col("test_id").alias("log_id"), F.col("text").alias("error")), "log_id").select("test_id", "error")
     kinds = r.join(t.logs.select(F.col("test_id").alias("log_id"), "failure_kind"), "log_id").select("test_id", "failure_kind")
     return ev.report_rows(r, errors, kinds)
 
@@ -200,34 +201,38 @@ def passed(t):
     return verified(t).where("outcome = 'PASS'")
 
 
-# what is known about a failure, by event number: status, phase and flags
-EVIDENCE = {
-    "status": "case k % 9 when 0 then 200 when 1 then 404 when 2 then 429 when 3 then 401 when 4 then 400 when 5 then 403 else 200 end",
-    "phase": "case k % 4 when 0 then 'pre' when 1 then 'post' else 'step' end",
-    "kind": "case event_id % 3 when 0 then 'interaction-failed' else 'locator-not-found' end",
-    "at_login": "event_id % 2 = 0", "port_busy": "event_id % 61 = 0", "wrong_app": "event_id % 59 = 1", "param_unbound": "event_id % 23 = 2",
-    "external": "event_id % 7 = 3", "navigates": "event_id % 3 <> 1", "has_param": "event_id % 4 = 1", "needs_other_workflow": "event_id % 31 = 5",
-    "unmodelled_owner": "event_id % 29 = 6", "dialog": "event_id % 13 = 7", "async_gate": "event_id % 11 = 8", "repeater": "event_id % 5 = 3",
-    "sidenav": "event_id % 17 = 4", "gated": "event_id % 6 = 2", "has_log": "event_id % 10 <> 0", "has_requests": "k % 9 < 6",
-}
-RESIDUAL = f"""
-select subject, event_id, family, case when has_log and has_requests then 'HIGH' when has_log then 'MEDIUM' else 'LOW' end as confidence from (
-select *, case when port_busy then 'ENV:port-contamination' when wrong_app then 'ENV:app-identity-mismatch' when at_login and status = 429 then 'ENV:auth-rate-limit' when status = 404 then 'ENV:seed-data-absent'
-  when param_unbound then 'L4:missing-route-params' when status in (401, 403) then 'L4:backend-auth-rejection' when status = 400 then 'L4:backend-validation'
-  when phase = 'post' and external then 'L2:external-redirect' when phase = 'post' and not navigates then 'L2:non-navigating-handler' when phase = 'post' and has_param then 'L2:parameterized-postcondition'
-  when phase = 'post' then 'L2:postcondition-url-mismatch' when needs_other_workflow then 'STRUCT:multi-step-precondition' when unmodelled_owner then 'STRUCT:composition-gap'
-  when dialog then 'L3:dialog-precondition' when async_gate then 'L3:async-permission-gate' when repeater then 'L3:repeater-data-readiness' when sidenav then 'L3:material-sidenav'
-  when gated then 'L3:user-action-precondition' when kind = 'interaction-failed' then 'L3:element-not-interactable' else 'L3:locator-mismatch' end as family
-from (select subject, event_id, {', '.join(f'{e} as {c}' for c, e in EVIDENCE.items())} from v_attempt where outcome <> 'PASS'))"""
+RESIDUAL = """
+select test_id, subject, family, case when has_requests then 'HIGH' else 'MEDIUM' end as confidence from (
+select *, case when problem = 'port' then 'ENV:port-contamination' when problem = 'identity' then 'ENV:app-identity-mismatch' when phase = 'pre' and has_login and status = 429 then 'ENV:auth-rate-limit'
+  when status = 404 then 'ENV:seed-data-absent' when param_unbound then 'L4:missing-route-params' when status in (401, 403) then 'L4:backend-auth-rejection' when status = 400 then 'L4:backend-validation'
+  when phase = 'post' and external then 'L2:external-redirect' when phase = 'post' and not coalesce(navigates, false) then 'L2:non-navigating-handler' when phase = 'post' and has_param then 'L2:parameterized-postcondition'
+  when phase = 'post' then 'L2:postcondition-url-mismatch' when refused then 'STRUCT:multi-step-precondition' when unrouted or (widget_id is null and phase = 'step') then 'STRUCT:composition-gap'
+  when dialog then 'L3:dialog-precondition' when visible_expr like '%:%' then 'L3:async-permission-gate' when inside_ng_for is not null then 'L3:repeater-data-readiness'
+  when tag_name in ('mat-sidenav', 'mat-drawer') then 'L3:material-sidenav' when visible_expr is not null or enabled_expr is not null then 'L3:user-action-precondition'
+  when kind = 'interaction-failed' then 'L3:element-not-interactable' else 'L3:locator-mismatch' end as family
+from (select f.*, w.widget_id, w.tag_name, w.visible_expr, w.enabled_expr, w.inside_ng_for,
+  l.l_returnflag = 'N' and l.l_linestatus = 'F' as external, l.l_returnflag = 'R' or (l.l_returnflag = 'N' and l.l_linestatus = 'F')
+    or exists (select 1 from v_call c where c.comp_id = l.comp_id and c.handler = l.handler and c.expr = 'this.router.navigate') as navigates,
+  exists (select 1 from v_call c where c.comp_id = l.comp_id and c.handler = l.handler and c.expr = 'this.dialog.open') or w.selector like '%-dialog' as dialog,
+  exists (select 1 from v_route r where r.comp_id = l.comp_id and contains(r.full_path, ':')) as has_param,
+  exists (select 1 from v_route r, unnest(r.params) x(p) where r.comp_id = l.comp_id
+    and not exists (select 1 from v_param_value v where v.subject = r.subject and v.param = x.p and (v.template is null or v.template = r.full_path))) as param_unbound,
+  w.widget_id is not null and not exists (select 1 from v_route r where r.comp_id = l.comp_id) and not exists (select 1 from v_use u where u.subject = l.subject and lower(u.used_ref) = w.selector) as unrouted,
+  exists (select 1 from (select l_orderkey, arg_min(subject, (l_linenumber, p, k)) as subject from v_line group by all) a join v_module m on m.subject = a.subject and m.g = 2
+    where a.l_orderkey || '' = f.test_id and m.app % 3 <> 2) as has_login,
+  exists (select 1 from v_request q where q.test_id = f.test_id and q.status >= 400 and q.ts < f.ts_start) as refused,
+  exists (select 1 from v_request q where q.test_id = f.test_id and q.ts between f.ts_start and f.ts_end) as has_requests,
+  (select arg_max(q.status, (q.ts, q.req)) from v_request q where q.test_id = f.test_id and q.ts <= f.ts_end) as status,
+  (select arg_max(coalesce(h.problem, ''), (h.ts, coalesce(h.problem, ''))) from v_health h where h.subject = f.subject and h.ts <= f.ts_start) as problem
+  from (select g.test_id, g.subject, s.pos, s.ts_start, s.ts_end, split_part(failed_step_id, '-', 1) as phase, failure_kind as kind from v_log g join v_step s on s.test_id = g.test_id and s.step_id = g.failed_step_id) f
+  left join (from v_line qualify row_number() over (partition by l_orderkey, l_linenumber order by p, k, l_returnflag, l_linestatus) = 1) l on l.l_orderkey || '' = f.test_id and l.l_linenumber = f.pos left join v_widget w on w.widget_id = l.widget_id))"""
 
 
 def residuals(t):
-    e = t.attempts.where("outcome <> 'PASS'").selectExpr("subject", "event_id", *[f"{x} as {c}" for c, x in EVIDENCE.items()])
-    cols = {c: F.col(c) for c in EVIDENCE}
-    return e.select("subject", "event_id", ev.residual_family(cols).alias("family"), ev.confidence(F.col("has_log"), F.col("has_requests")).alias("confidence"))
+    return ev.residual_families(ev.residual_evidence(t.failures, t.steps, t.requests, t.health, t.step_targets))
 
 
-@query("E15_residual_families", "event_id:i family:s confidence:s", RESIDUAL)
+@query("E15_residual_families", "test_id:s family:s confidence:s", RESIDUAL)
 def residual(t):
     return residuals(t)
 

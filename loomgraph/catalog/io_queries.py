@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loomgraph.catalog.oracle_views import GENERIC, fnv
+from loomgraph.catalog.oracle_views import GENERIC, MANIFESTS, fnv
 from loomgraph.catalog.registry import query
 from loomgraph.catalog.shared import flow, graph
 from loomgraph.functions import scalar as sc
@@ -82,14 +82,24 @@ def logs(t):
             .join(r.withColumnRenamed("testFile", "test_id"), "test_id", "left").na.fill({"n_requests": 0}))
 
 
-@query("S5_manifests", "load_error:i n:i n_accounts:i", """
-select c_custkey % 41 = 11 as load_error, count(*) as n, sum(case when c_custkey % 41 = 11 or c_custkey % 17 = 4 then 0 else 1 end) as n_accounts from customer where c_custkey % 11 <> 2 and c_custkey % 7 <> 1 and c_custkey % 17 <> 4 and c_custkey % 19 <> 5 and c_custkey % 29 <> 7 group by all""")
+@query("S5_manifests", "load_error:i n:i n_accounts:i n_text_passwords:i n_named:i n_params:i n_skip_lists:i n_logins:i login_fields:i n_run_settings:i n_seeds:i n_wrong:i", f"""
+select j is null as load_error, count(*) as n, coalesce(sum(case when json_type(j, '$.accounts') = 'ARRAY' then json_array_length(j, '$.accounts') end), 0) as n_accounts,
+  count(*) filter (json_type(j, '$.accounts') = 'ARRAY' and json_type(j, '$.accounts[0].password') = 'VARCHAR') as n_text_passwords, count(*) filter (json_type(j, '$.subjectName') = 'VARCHAR') as n_named,
+  count(*) filter (json_type(j, '$.routeParamValues') = 'OBJECT') as n_params, count(*) filter (json_type(j, '$.skipWorkflows') = 'ARRAY') as n_skip_lists,
+  count(*) filter (json_type(j, '$.authSetup') = 'OBJECT') as n_logins, coalesce(sum(case when json_type(j, '$.authSetup') = 'OBJECT' then len(json_keys(j, '$.authSetup')) end), 0) as login_fields,
+  count(*) filter (json_type(j, '$.executionConfig') = 'OBJECT') as n_run_settings, count(*) filter (json_type(j, '$.seedRequirements') = 'OBJECT') as n_seeds,
+  count(*) filter (json_type(j, '$.subjectName') <> 'VARCHAR') + count(*) filter (json_type(j, '$.accounts') <> 'ARRAY') + count(*) filter (json_type(j, '$.skipWorkflows') <> 'ARRAY') as n_wrong
+from {MANIFESTS} group by all""")
 def manifests(t):
-    texts = t.manifest_texts.where("manifest_id % 11 <> 2 and manifest_id % 7 <> 1 and manifest_id % 17 <> 4 and manifest_id % 19 <> 5 and manifest_id % 29 <> 7")
     path = folder(t, "manifests")
-    texts.select(F.col("text").alias("value")).write.text(path)
+    t.manifest_texts.select(F.col("text").alias("value")).write.text(path)
     m = bu.read_manifests(t.spark, path, lines=True)
-    return m.groupBy("load_error").agg(n(), F.sum(F.when(F.col("load_error"), 0).otherwise(F.size("accounts"))).alias("n_accounts"))
+    text_password = F.exists("accounts", lambda a: sc.is_variant(F.try_variant_get(a, "$.password", "variant"), "string"))
+    size = lambda c: F.sum(F.when(F.col(c).isNull(), 0).otherwise(F.size(c)))
+    return m.groupBy("load_error").agg(
+        n(), size("accounts").alias("n_accounts"), F.count_if(text_password).alias("n_text_passwords"), F.count("subject_name").alias("n_named"), F.count("route_param_values").alias("n_params"),
+        F.count("skip_workflows").alias("n_skip_lists"), F.count("auth_setup").alias("n_logins"), size("auth_setup").alias("login_fields"), F.count("execution_config").alias("n_run_settings"),
+        F.count("seed_requirements").alias("n_seeds"), size("wrong_fields").alias("n_wrong"))
 
 
 @query("S6_reference_entries", "subject:s cls:s n:i n_auth:i", """

@@ -19,6 +19,9 @@ def strings(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+MANIFESTS = (f"(select c_custkey as manifest_id, 'app' || {fx.APP_OF_CUSTOMER} as subject, {fx.MANIFEST_FOLDER} as folder, "
+             f"case when json_valid({fx.MANIFEST}) then json({fx.MANIFEST}) end as j from customer)")
+
 # ---- registries --------------------------------------------------------------------------
 
 VIEWS["v_supp"] = (f"select s_suppkey as k, {fx.APP_OF_SUPPLIER} as app, s_suppkey % 20 + 1 as r, s_nationkey as n, "
@@ -70,7 +73,7 @@ from v_line where l_returnflag = 'R' or (l_returnflag = 'N' and l_linestatus = '
 VIEWS["v_event"] = """
 select subject, comp_id, widget_id, kind, file, seq, handler, case when l_returnflag = 'A' then 'click' else 'submit' end as event_type
 from v_line where l_returnflag = 'A' or (l_returnflag = 'N' and l_linestatus = 'O')"""
-VIEWS["v_call"] = f"select subject, comp_id, handler, file, seq, k, {fx.CALL_EXPR} as expr, {fx.CALL_ARG} as arg from v_line where l_linenumber >= 6"
+VIEWS["v_call"] = f"select subject, comp_id, handler, file, seq, k, {fx.CALL_EXPR} as expr, {fx.CALL_ARG} as arg from v_line where {fx.IS_CALL}"
 VIEWS["v_template"] = f"""
 select l_orderkey as page_id, string_agg(s, chr(10) order by l_linenumber, l_partkey, l_suppkey, s) as html
 from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, {fx.SNIPPET} as s from lineitem) group by l_orderkey"""
@@ -97,12 +100,15 @@ select conv_id || '' as test_id, 'c' || (conv_id % 7) as subject, turn as pos, r
   timestamp '2024-01-01 00:00:00' + (conv_id % 1000 + turn * 2) * interval 1 minute as ts_start,
   timestamp '2024-01-01 00:00:00' + (conv_id % 1000 + turn * 2 + turn % 3) * interval 1 minute as ts_end from conversations"""
 
-VIEWS["v_request"] = """
+VIEWS["v_request"] = f"""
 select test_id, pos as req, ts_start + (length(text) % 4) * interval 1 minute as ts, case length(text) % 3 when 0 then 'GET' when 1 then 'POST' else 'PUT' end as method,
-  200 + 100 * (length(text) % 4) + length(text) % 2 as status from v_step"""
+  {fx.STATUSES}[length(text) % {len(fx.STATUSES)} + 1] as status from v_step"""
 VIEWS["v_log"] = """
 select test_id, subject, step_id as failed_step_id, case length(text) % 5 when 0 then 'interaction-failed' when 1 then 'locator-not-found' when 2 then 'timeout'
-  when 3 then 'assertion-failed' else 'unknown' end as failure_kind from v_step where pos = cast(test_id as bigint) % 4"""
+  when 3 then 'assertion-failed' else 'unknown' end as failure_kind
+from v_step qualify row_number() over (partition by test_id order by length(text) desc, pos) = 1"""
+VIEWS["v_health"] = """
+select 'c' || (user_id % 7) as subject, ts, case when event_type = 'error' then case when value < 10 then 'port' else 'identity' end end as problem from events"""
 VIEWS["v_test"] = """
 select *, case when user_id % 9 = 0 then 'PRUNED' when user_id % 4 = 0 then 'FEASIBLE' else 'CONDITIONAL' end as verdict,
   user_id % 9 <> 0 and user_id % 7 <> 0 as has_plan, user_id % 9 <> 0 and user_id % 7 <> 0 and user_id % 5 <> 0 as has_code, user_id % 20 = 3 as skipped, k % 11 <> 0 as log_exists

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomgraph.catalog.oracle_views import sub
+from loomgraph.catalog.oracle_views import MANIFESTS, sub
 from loomgraph.catalog.registry import query
 from loomgraph.catalog.shared import flow, intents, plans
 from loomgraph.functions.scalar import substitute_params, template_params
@@ -226,10 +226,10 @@ def _rule_sql():
             out.append(f"select manifest_id, '{parent}.{part}' from m where json_type(j, '$.{parent}') = 'OBJECT' and not coalesce({sql_type(parent + '.' + part, wanted)}, false)")
     for f, wanted in ck.ACCOUNT_RULES:
         out.append(f"select manifest_id, 'accounts[0].{f}' from m where json_array_length(j, '$.accounts') > 0 and json_type(j, '$.accounts') = 'ARRAY' and not coalesce({sql_type('accounts[0].' + f, wanted)}, false)")
+    out.append("select manifest_id, 'subjectName:folder' from m where json_type(j, '$.subjectName') = 'VARCHAR' and json_extract_string(j, '$.subjectName') not in ('', folder)")
     return " union all ".join(out)
 
 
-MANIFESTS = f"(select c_custkey as manifest_id, case when json_valid({fx.MANIFEST}) then json({fx.MANIFEST}) end as j from customer)"
 ISSUES = f"(with m as (select * from {MANIFESTS}) {_rule_sql()})"
 
 
@@ -266,12 +266,46 @@ def unknown(t):
     return ck.unknown_workflows(t.form_overrides, flow(t).workflows)
 
 
+SUPPLY = f"""select manifest_id, 'guard' as warning, 'AuthGuard' as name from {MANIFESTS} where contains(json_extract_string(j, '$.seedRequirements.authGuards') || '', 'AuthGuard')
+  and not coalesce(json_type(j, '$.accounts') = 'ARRAY' and contains(json_extract_string(j, '$.accounts[0].guardSatisfies') || '', 'AuthGuard'), false)
+union all select manifest_id, 'param', p from (select *, unnest(['id', 'tab']) as p from {MANIFESTS}) where json_type(j, '$.seedRequirements') is not null and json_type(j, '$.routeParamValues.' || p) is null
+union all select manifest_id, 'seed', 'seedCommand' from {MANIFESTS} where json_extract_string(j, '$.seedRequirements.seedStatus') = 'needs-command' and coalesce(json_extract_string(j, '$.executionConfig.seedCommand'), '') = ''"""
+CROSS = f"""
+with facts as (select manifest_id, subject, case when json_type(j, '$.accounts') = 'ARRAY' then json_extract_string(j, '$.accounts[0].guardSatisfies') end as held, json_type(j, '$.authSetup') is null as no_login, j
+  from {MANIFESTS} where j is not null and manifest_id in (select o_custkey from orders)),
+guard as (select distinct subject, unnest(guards) as name from v_route), param as (select distinct subject, unnest(params) as name from v_route)
+select manifest_id, 'guard:' || g.name as field from facts join guard g using (subject) where held is not null and not contains(lower(g.name), 'noauth') and not contains(lower(g.name), 'unauth') and not contains(held, '"' || g.name || '"')
+union all select manifest_id, 'param:' || p.name from facts join param p using (subject) where json_type(j, '$.routeParamValues') = 'OBJECT' and json_type(j, '$.routeParamValues.' || p.name) is null
+union all select manifest_id, 'authSetup' from facts where held is not null and no_login and subject in (select subject from guard)"""
+
+
+@query("M6_cross_check", "manifest_id:i field:s", CROSS)
+def crossed(t):
+    return cross_checks(t).select("manifest_id", "field")
+
+
+def cross_checks(t):
+    """Checked are manifests whose application has been analysed: those of customers with orders."""
+    m = t.manifest_texts.join(analysed(t), "manifest_id", "left_semi")
+    asked = [t.routes.select("subject", F.lit("guard").alias("what"), F.explode("guards").alias("name")),
+             t.routes.select("subject", F.lit("param").alias("what"), F.explode(template_params("full_path")).alias("name"))]
+    return ck.cross_check(m, asked[0].unionByName(asked[1]))
+
+
+def analysed(t):
+    return t("orders").select(F.col("o_custkey").alias("manifest_id")).distinct()
+
+
 @query("M6_manifest_status", "manifest_id:i status:s errors:i warnings:i", f"""
-select m.manifest_id, case when j is null then 'LOAD_ERROR' when m.manifest_id % 37 = 0 then 'MISSING_A2' when coalesce(i.n, 0) > 0 then 'INVALID' else 'VALID' end as status, coalesce(i.n, 0) as errors, 0 as warnings
-from {MANIFESTS} m left join (select manifest_id, count(*) as n from {ISSUES} group by all) i on i.manifest_id = m.manifest_id""")
+select m.manifest_id, case when j is null then 'LOAD_ERROR' when m.manifest_id not in (select o_custkey from orders) then 'MISSING_A2' when coalesce(i.n, 0) > 0 then 'INVALID' else 'VALID' end as status, coalesce(i.n, 0) as errors,
+  coalesce(s.n, 0) + coalesce(c.n, 0) as warnings
+from {MANIFESTS} m left join (select manifest_id, count(*) as n from {ISSUES} group by all) i on i.manifest_id = m.manifest_id
+left join (select manifest_id, count(*) as n from ({SUPPLY}) group by all) s on s.manifest_id = m.manifest_id left join (select manifest_id, count(*) as n from ({CROSS}) group by all) c on c.manifest_id = m.manifest_id""")
 def status(t):
     m = t.manifest_texts
-    return ck.manifest_status(m, ck.manifest_issues(m), m.where("manifest_id % 37 <> 0"))
+    declared = ck.declared_supply(m).select("manifest_id", F.lit("warning").alias("severity"), F.concat_ws(":", "warning", "name").alias("field"))
+    issues = ck.manifest_issues(m).unionByName(declared).unionByName(cross_checks(t))
+    return ck.manifest_status(m, issues, analysed(t))
 
 
 @query("M7_guard_context", "subject:s name:s n_workflows:i", """

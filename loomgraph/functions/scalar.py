@@ -153,6 +153,14 @@ def percent1(num, den) -> Column:
     return F.round(F.lit(100.0) * _col(num) / _col(den), 1)
 
 
+def is_variant(value, wanted: str) -> Column:
+    """Whether a variant is a string, number, boolean, array or object; NULL is none of them."""
+    kind = F.schema_of_variant(_col(value))
+    test = {"string": kind == "STRING", "number": kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "boolean": kind == "BOOLEAN",
+            "array": kind.startswith("ARRAY"), "object": kind.startswith("OBJECT")}
+    return F.coalesce(test[wanted], F.lit(False))
+
+
 def ratio(num, den) -> Column:
     """num / den, 0 for an empty denominator."""
     return F.coalesce(F.try_divide(_col(num).cast("double"), _col(den).cast("double")), F.lit(0.0))

@@ -91,3 +91,24 @@ def span_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, sta
     placed = points.withColumn("__bin", F.floor(F.col(at) / width))
     return (placed.join(binned, keys + ["__bin"])
             .where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(stop))).drop("__bin"))
+
+
+def last_before(points: DataFrame, events: DataFrame, keys: list[str], at: str, when: str, cols: list[str], out: str, width: int) -> DataFrame:
+    """Points with the struct `out` of `cols` of their key's last event at or before them, NULL if there is none (an as-of join).
+
+    `at` and `when` are integer positions; events of one position are ordered by `cols`. Positions are cut into
+    bins of `width`: a window holds one bin of one key, and a point without an event in its bin takes what the
+    last bin before it ended with. Those ends are one row per key and bin, so long keys stay spread.
+    """
+    place = lambda c: F.floor(F.col(c) / F.lit(width))
+    value = F.struct(*cols)
+    e = events.select(*keys, place(when).alias("__bin"), F.col(when).cast("long").alias("__at"), value.alias("__value"))
+    p = points.select(*keys, place(at).alias("__bin"), F.col(at).cast("long").alias("__at"), F.struct(*points.columns).alias("__point"))
+    seen = F.last("__value", ignorenulls=True).over(W.partitionBy(*keys, "__bin").orderBy("__at", F.col("__point").isNotNull(), "__value").rowsBetween(W.unboundedPreceding, 0))
+    placed = e.unionByName(p, allowMissingColumns=True).withColumn("__seen", seen).where("__point is not null")
+    ends = e.groupBy(*keys, "__bin").agg(F.max(F.struct("__at", "__value")).alias("__end"))
+    bins = ends.unionByName(p.select(*keys, "__bin").distinct(), allowMissingColumns=True).groupBy(*keys, "__bin").agg(F.max("__end").alias("__end"))
+    carried = F.last("__end", ignorenulls=True).over(W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1))
+    before = bins.select(*keys, "__bin", carried.alias("__carried")).where("__carried is not null")
+    return (placed.join(before, [*keys, "__bin"], "left")
+            .select("__point.*", F.coalesce("__seen", F.col("__carried")["__value"]).alias(out)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from loomgraph.functions.scalar import entity_family, is_negative_guard, non_empty
+from loomgraph.functions.scalar import entity_family, is_negative_guard, is_variant, non_empty
 from loomgraph.sources.views import union_all
 
 # (path, wanted type, required)
@@ -30,13 +30,17 @@ SEED_STATUS = ["pre-seeded", "needs-command", "none"]
 
 def _typed(value: Column, wanted: str) -> Column:
     """Whether a variant has the wanted type; NULL counts as not."""
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    is_text, is_number = kind == "STRING", kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    ok = {"text": is_text & (F.length(text) > 0), "string": is_text, "array": kind.startswith("ARRAY"), "object": kind.startswith("OBJECT"),
-          "boolean": kind == "BOOLEAN", "number": is_number, "positive": is_number & (number > 0), "status": is_text & text.isin(SEED_STATUS)}
-    return F.coalesce(ok[wanted], F.lit(False))
+    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    if wanted == "text":
+        return is_variant(value, "string") & (F.length(text) > 0)
+    if wanted == "positive":
+        return is_variant(value, "number") & (number > 0)
+    if wanted == "status":
+        return is_variant(value, "string") & text.isin(SEED_STATUS)
+    return is_variant(value, wanted)
+
+
+ISSUES = "array<struct<severity:string,field:string>>"
 
 
 def _issue(broken: Column, field: Column | str, severity: str = "error") -> Column:
@@ -47,7 +51,8 @@ def _issue(broken: Column, field: Column | str, severity: str = "error") -> Colu
 def manifest_issues(manifests: DataFrame) -> DataFrame:
     """Structural issues of manifest texts (M1): rows (manifest_id, severity, field).
 
-    A text that cannot be read is one issue, LOAD_ERROR.
+    A text that cannot be read is one issue, LOAD_ERROR. `folder`, where the table has it, is the name the
+    manifest's own subjectName must equal.
     """
     m = manifests.withColumn("v", F.try_parse_json("text"))
     issues = [_issue(F.col("v").isNull(), "LOAD_ERROR")]
@@ -60,10 +65,18 @@ def manifest_issues(manifests: DataFrame) -> DataFrame:
     for parent, parts in WHEN_PRESENT.items():
         for part, wanted in parts:
             issues.append(_issue(at(parent).isNotNull() & _typed(at(parent), "object") & ~_typed(at(f"{parent}.{part}"), wanted), f"{parent}.{part}"))
+    if "folder" in manifests.columns:
+        named = F.try_variant_get(F.col("v"), "$.subjectName", "string")
+        issues.append(_issue(_typed(at("subjectName"), "text") & (named != F.col("folder")), "subjectName:folder"))
+    overrides = F.map_entries(F.when(_typed(at("routeParamOverrides"), "object"), F.try_variant_get(F.col("v"), "$.routeParamOverrides", "map<string,variant>")))
+    per_template = F.flatten(F.transform(overrides, lambda o: F.concat(
+        F.array(_issue(~_typed(o["value"], "object"), F.concat(F.lit("routeParamOverrides."), o["key"]))),
+        F.coalesce(F.transform(F.map_entries(F.when(_typed(o["value"], "object"), F.try_variant_get(o["value"], "$", "map<string,variant>"))), lambda p: _issue(
+            ~_typed(p["value"], "string"), F.concat(F.lit("routeParamOverrides."), o["key"], F.lit("."), p["key"]))), F.array().cast(ISSUES)))))
     accounts = F.when(_typed(at("accounts"), "array"), F.try_variant_get(F.col("v"), "$.accounts", "array<variant>"))
     per_account = F.flatten(F.transform(accounts, lambda a, i: F.array(*[
         _issue(~_typed(F.try_variant_get(a, f"$.{f}", "variant"), wanted), F.concat(F.lit("accounts["), i.cast("string"), F.lit(f"].{f}"))) for f, wanted in ACCOUNT_RULES])))
-    rows = F.array_compact(F.concat(F.array(*issues), F.coalesce(per_account, F.array().cast("array<struct<severity:string,field:string>>"))))
+    rows = F.array_compact(F.concat(F.array(*issues), *[F.coalesce(x, F.array().cast(ISSUES)) for x in (per_account, per_template)]))
     return m.select("manifest_id", F.inline(rows))
 
 
@@ -107,12 +120,42 @@ def unknown_workflows(named: DataFrame, workflows: DataFrame) -> DataFrame:
     return named.select("subject", "workflow_id").distinct().join(workflows.select("subject", "workflow_id"), ["subject", "workflow_id"], "left_anti")
 
 
+def cross_check(manifests: DataFrame, required: DataFrame) -> DataFrame:
+    """Warnings where the workflows of an application ask for what its manifest lacks: rows (manifest_id, severity, field).
+
+    `manifests`: manifest_id, subject, text; `required`: subject, what ('guard' or 'param'), name.
+    Negative guards need no account; accounts that satisfy guards need a login (authSetup).
+    """
+    m = manifests.withColumn("v", F.try_parse_json("text")).where("v is not null")
+    def at(path):
+        return F.try_variant_get(F.col("v"), f"$.{path}", "variant")
+    accounts = F.when(_typed(at("accounts"), "array"), F.try_variant_get(F.col("v"), "$.accounts", "array<variant>"))
+    held = F.array_distinct(F.flatten(F.transform(accounts, lambda a: F.coalesce(F.try_variant_get(a, "$.guardSatisfies", "array<string>"), F.array().cast("array<string>")))))
+    given = F.map_keys(F.when(_typed(at("routeParamValues"), "object"), F.try_variant_get(F.col("v"), "$.routeParamValues", "map<string,variant>")))
+    local = F.flatten(F.transform(F.map_values(F.when(_typed(at("routeParamOverrides"), "object"), F.try_variant_get(F.col("v"), "$.routeParamOverrides", "map<string,variant>"))),
+                                  lambda o: F.coalesce(F.map_keys(F.try_variant_get(o, "$", "map<string,variant>")), F.array().cast("array<string>"))))
+    bound = F.concat(given, F.coalesce(local, F.array().cast("array<string>")))
+    facts = m.select("manifest_id", "subject", held.alias("held"), bound.alias("bound"), at("authSetup").isNull().alias("no_login"))
+    need = required.distinct().groupBy("subject").agg(  # a handful of names per application
+        F.collect_set(F.when(F.col("what") == "guard", F.col("name"))).alias("guards"), F.collect_set(F.when(F.col("what") == "param", F.col("name"))).alias("params"))
+    j = facts.join(need, "subject")
+    warn = lambda names, prefix: F.transform(names, lambda x: F.struct(F.lit("warning").alias("severity"), F.concat(F.lit(prefix), x).alias("field")))
+    none = F.array().cast(ISSUES)
+    unmet = F.filter("guards", lambda g: ~is_negative_guard(g, wide=True) & ~F.array_contains("held", g))
+    login = F.when((F.size("guards") > 0) & (F.size("held") > 0) & F.col("no_login"), F.array(_issue(F.lit(True), "authSetup", "warning")))
+    rows = F.concat(*[F.coalesce(x, none) for x in (warn(unmet, "guard:"), warn(F.array_except("params", "bound"), "param:"), login)])
+    return j.select("manifest_id", F.inline(rows))
+
+
 def manifest_status(manifests: DataFrame, issues: DataFrame, with_workflows: DataFrame) -> DataFrame:
-    """Status and issue counts per manifest (M6)."""
+    """Status and issue counts per manifest (M6). `issues` are structural ones and cross checks together.
+
+    A manifest that can't be read, or whose application has no workflows yet, has no cross checks.
+    """
+    known = with_workflows.select("manifest_id").distinct().withColumn("known", F.lit(True))
     c = issues.groupBy("manifest_id").agg(
         F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"),
         F.bool_or(F.col("field") == "LOAD_ERROR").alias("unreadable"))
-    known = with_workflows.select("manifest_id").distinct().withColumn("known", F.lit(True))
     j = manifests.select("manifest_id").join(c, "manifest_id", "left").join(known, "manifest_id", "left")
     status = (F.when(F.coalesce("unreadable", F.lit(False)), "LOAD_ERROR").when(F.col("known").isNull(), "MISSING_A2")
               .when(F.coalesce("errors", F.lit(0)) > 0, "INVALID").otherwise("VALID"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomgraph.functions.scalar import any_contains, percent1, ratio
-from loomgraph.functions.scale import span_join
+from loomgraph.functions.scale import last_before, span_join
 from loomgraph.sources.views import union_all
 
 
@@ -212,6 +212,41 @@ def retry_history(results: DataFrame, attempts: DataFrame) -> DataFrame:
     return attempts.join(more, "test_id").where("attempt <= used").select("test_id", "attempt", "outcome", "duration_ms")
 
 
+def residual_evidence(failures: DataFrame, steps: DataFrame, requests: DataFrame, health: DataFrame, targets: DataFrame, hour: int = 3_600_000_000) -> DataFrame:
+    """What is known about each failure, gathered from the other layers.
+
+    `failures`: test_id, subject, pos, phase, kind of the failing step. Joined to it are
+    - the last response up to the end of that step (as-of) and whether the step had requests of its own (interval),
+    - whether a request before the step was rejected: the state the workflow needs was not made,
+    - the last health check of the application before the step (as-of); `health`: subject, ts, problem or NULL,
+    - what plan, intent and graph say of the step's widget; `targets`: test_id, pos and flags, no row where
+      the graph knows no widget for the step.
+    A flag without a source is false.
+    """
+    timed = failures.join(steps.select("test_id", "pos", F.unix_micros("ts_start").alias("__from"), F.unix_micros("ts_end").alias("__to")), ["test_id", "pos"])
+    asked = requests.select("test_id", "req", "status", F.unix_micros("ts").alias("__ts"))
+    checks = health.select("subject", "problem", F.unix_micros("ts").alias("__ts"))
+    e = last_before(timed, asked, ["test_id"], "__to", "__ts", ["req", "status"], "__response", hour)
+    e = last_before(e, checks, ["subject"], "__from", "__ts", ["problem"], "__check", hour)
+    own = attribute_requests(requests, steps).where("inside").select("test_id", "pos").distinct().withColumn("has_requests", F.lit(True))
+    refused = asked.where("status >= 400").groupBy("test_id").agg(F.min("__ts").alias("__refused"))
+    known = targets.withColumn("__known", F.lit(True))
+    e = e.join(own, ["test_id", "pos"], "left").join(refused, "test_id", "left").join(known, ["test_id", "pos"], "left")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    no_widget = F.col("__known").isNull() & (F.col("phase") == "step")
+    facts = {c: flag(F.col(c)) for c in ("has_login", "param_unbound", "external", "navigates", "has_param", "dialog", "async_gate", "repeater", "sidenav", "gated")}
+    return e.withColumns(facts | {
+        "status": F.col("__response")["status"], "port_busy": flag(F.col("__check")["problem"] == "port"), "wrong_app": flag(F.col("__check")["problem"] == "identity"),
+        "at_login": flag(F.col("has_login")) & (F.col("phase") == "pre"), "needs_other_workflow": flag(F.col("__refused") < F.col("__from")),
+        "unmodelled_owner": flag(F.col("unrouted")) | no_widget, "has_log": F.lit(True), "has_requests": flag(F.col("has_requests"))}).drop("__from", "__to", "__response", "__check", "__refused", "__known")
+
+
+def residual_families(evidence: DataFrame) -> DataFrame:
+    """Family and confidence of every failure."""
+    cols = {c: F.col(c) for c in evidence.columns}
+    return evidence.select("test_id", "subject", residual_family(cols).alias("family"), confidence(F.col("has_log"), F.col("has_requests")).alias("confidence"))
+
+
 def residual_family(e: dict[str, Column]) -> Column:
     """Diagnostic family of a failure from its joined evidence; the first rule that fits."""
     s = e["status"]

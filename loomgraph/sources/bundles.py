@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomgraph.functions.scalar import is_variant
+
 REF = "struct<file:string,start:bigint,end:bigint>"
 ATOM = f"struct<kind:string,args:array<string>,source:{REF}>"
 SURFACE = f"struct<requiredParams:array<string>,guards:array<string>,roles:array<string>,uiAtoms:array<{ATOM}>,evidence:array<{REF}>>"
@@ -28,9 +30,6 @@ TEST_SCHEMA = "tests array<struct<workflowId:string,fileName:string>>"
 STEP = ("struct<stepId:string,stepType:string,timestampStart:timestamp,timestampEnd:timestamp,success:boolean,failureKind:string,"
         "networkEvidence:array<struct<url:string,method:string,status:bigint,timing:double>>>")
 LOG_SCHEMA = f"workflowId string, testFile string, outcome string, failedStepId string, failureKind string, duration bigint, steps array<{STEP}>, _corrupt_record string"
-MANIFEST_SCHEMA = ("subjectName string, baseUrl string, accounts array<struct<username:string,password:string,roles:array<string>,guardSatisfies:array<string>>>,"
-                   "routeParamValues map<string,string>, routeParamOverrides map<string,map<string,string>>, skipWorkflows array<string>,"
-                   "formDataOverrides map<string,map<string,string>>, _corrupt_record string")
 TRUTH_SCHEMA = ("subject string, totalEntries bigint, entries array<struct<gtId:string,workflowId:string,a2WorkflowIndex:bigint,difficultyClass:string,"
                 "expectedIntent:struct<triggerKind:string,triggerEvent:string,requiresAuth:boolean,requiresParams:boolean,hasFormSchema:boolean>>>")
 EVENT_SCHEMA = ("timestamp timestamp, phase string, operation string, subject string, severity string, event string, message string, duration bigint, outcome string, context map<string,string>")
@@ -93,10 +92,34 @@ def read_logs(spark: SparkSession, root: str, lines: bool = False) -> tuple[Data
     return logs.drop("steps", "_corrupt_record"), steps.drop("networkEvidence"), requests
 
 
+# fields of a manifest: path, type, name of the column
+MANIFEST_FIELDS = [
+    ("subjectName", "string", "subject_name"), ("baseUrl", "string", "base_url"), ("accounts", "array", "accounts"), ("routeParamValues", "object", "route_param_values"),
+    ("routeParamOverrides", "object", "route_param_overrides"), ("skipWorkflows", "array", "skip_workflows"), ("formDataOverrides", "object", "form_data_overrides"),
+    ("authSetup", "object", "auth_setup"), ("executionConfig", "object", "execution_config"), ("seedRequirements", "object", "seed_requirements"),
+]
+FIELD_TYPES = {"string": "string", "array": "array<variant>", "object": "map<string,variant>"}
+
+
 def read_manifests(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:
-    """Manifests; a file that cannot be read stays as a row with `load_error`."""
-    m = read_files(spark, root, "*/subject-manifest.json", MANIFEST_SCHEMA, "PERMISSIVE", lines)
-    return m.withColumn("load_error", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
+    """Manifests with all their fields (S5); with `lines`, `root` holds one per line.
+
+    Only a text that isn't JSON is a `load_error`. A field of another type than the schema's is NULL and named in
+    `wrong_fields`: nothing is cast, a number stays no text, and its neighbours are read all the same.
+    """
+    try:
+        raw = spark.read.option("wholetext", not lines).text(root if lines else f"{root}/*/subject-manifest.json")
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
+    m = raw.select(subject_of_path(1).alias("folder") if not lines else F.lit(None).cast("string").alias("folder"), F.col("value").alias("text"), F.try_parse_json("value").alias("v"))
+    at = lambda path: F.try_variant_get(F.col("v"), f"$.{path}", "variant")
+    right = {path: is_variant(at(path), kind) for path, kind, _ in MANIFEST_FIELDS}
+    fields = [F.when(right[path], F.try_variant_get(F.col("v"), f"$.{path}", FIELD_TYPES[kind])).alias(name) for path, kind, name in MANIFEST_FIELDS]
+    wrong = F.array_compact(F.array(*[F.when(at(path).isNotNull() & ~right[path], F.lit(path)) for path, _, _ in MANIFEST_FIELDS]))
+    subject = F.coalesce(F.try_variant_get(F.col("v"), "$.subject", "string"), F.col("folder"))
+    return m.select(subject.alias("subject"), "text", F.col("v").isNull().alias("load_error"), *fields, F.when(F.col("v").isNotNull(), wrong).alias("wrong_fields"))
 
 
 def read_truth(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:

@@ -121,7 +121,8 @@ LINK_TEXT = ("case (l_orderkey + l_linenumber) % 6 "
              "else '/nowhere/' || (l_orderkey % 50) end")
 LINK_URL = "case when l_orderkey % 3 = 0 then 'https://' when l_orderkey % 3 = 1 then 'http://' else '//' end || 'host' || (l_partkey % 400) || '.example.com/p'"
 
-# a handler body: lines six and seven of an order are its calls
+# a handler body: the lines of its handler with the highest discounts are its calls
+IS_CALL = "l_discount >= 0.09"
 CALL_EXPR = ("case when l_orderkey % 10 = 9 then 'this.dialog.open' when l_orderkey % 4 = 3 then 'this.router.navigate' "
              "when l_orderkey % 17 = 5 then 'console.log' when l_orderkey % 17 = 6 then 'window.open' "
              "when l_orderkey % 17 = 7 then 'this.h' || (l_partkey % 7) else 'this.svc' || (l_partkey % 10) || 'Service.run' end")
@@ -146,6 +147,8 @@ LOGIN_ROUTE = "case when app % 3 <> 2 then '/r2' end"
 SKIP_WHERE = "seq % 97 = 0"
 FORM_OVERRIDE_WHERE = "l_partkey % 6 = 1"
 
+# folder of a customer's manifest; overdrawn ones were moved
+MANIFEST_FOLDER = "'app' || c_custkey || case when c_acctbal < 0 then '-old' else '' end"
 # one manifest text per customer; the case arms break one rule each
 MANIFEST = (
     "'{\"subjectName\":' || case c_custkey % 11 when 1 then '\"\"' when 2 then '7' else '\"app' || c_custkey || '\"' end "
@@ -164,6 +167,9 @@ MANIFEST = (
 PAGE_HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 PAGE_PATH = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '[?#].*$', ''), '/$', ''), '[.]html$', '')"
 
+# statuses of requests, in turn by the length of a step's text
+STATUSES = [200, 201, 204, 302, 400, 401, 403, 404, 429, 500]
+
 # guard bodies: passages of documents with code words put in by document number
 GUARD_CODE = ("case doc_id % 8 when 0 then 'this.authService.isLoggedIn()' when 1 then 'hasRole([''admin'', ''x-1'', ''no role''])' when 2 then 'featureFlag(''beta ui'')' when 3 then 'tenantId && selectedOrg' "
               "when 4 then 'isAccountActive; roles = [\"owner\"]' when 5 then 'getFlag(\"dark\") && currentUser' else '' end")

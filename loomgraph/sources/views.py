@@ -7,6 +7,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loomgraph.functions import fixed
+from loomgraph.functions.scale import first_by
 from loomgraph.sources import fixture as fx
 
 
@@ -157,7 +158,7 @@ class Tables:
     @cached_property
     def calls(self) -> DataFrame:
         """Call expressions of handler bodies."""
-        return (self.lines.where("l_linenumber >= 6")
+        return (self.lines.where(fx.IS_CALL)
                 .selectExpr("subject", "comp_id", "handler", "file", "seq", "k", f"{fx.CALL_EXPR} as expr", f"{fx.CALL_ARG} as arg"))
 
     @cached_property
@@ -232,7 +233,7 @@ class Tables:
 
     @cached_property
     def manifest_texts(self) -> DataFrame:
-        return self("customer").selectExpr("c_custkey as manifest_id", f"{fx.MANIFEST} as text")
+        return self("customer").selectExpr("c_custkey as manifest_id", f"'app' || {fx.APP_OF_CUSTOMER} as subject", f"{fx.MANIFEST_FOLDER} as folder", f"{fx.MANIFEST} as text")
 
     # ---- evidence -------------------------------------------------------------------
 
@@ -281,16 +282,55 @@ class Tables:
         return self.steps.selectExpr(
             "test_id", "pos as req", "ts_start + make_interval(0, 0, 0, 0, 0, cast(length(text) % 4 as int)) as ts",
             "case length(text) % 3 when 0 then 'GET' when 1 then 'POST' else 'PUT' end as method",
-            "cast(200 + 100 * (length(text) % 4) + length(text) % 2 as bigint) as status")
+            f"cast(element_at(array({', '.join(map(str, fx.STATUSES))}), cast(length(text) % {len(fx.STATUSES)} as int) + 1) as bigint) as status")
 
     @cached_property
     def logs(self) -> DataFrame:
-        """Test logs of conversations: every test fails at one of its first turns."""
-        return self.steps.where("pos = cast(test_id as bigint) % 4").selectExpr(
-            "test_id", "subject", "step_id as failed_step_id",
-            "case length(text) % 5 when 0 then 'interaction-failed' when 1 then 'locator-not-found' when 2 then 'timeout' "
+        """Test logs of conversations: a test fails at its longest turn, the first of them."""
+        longest = self.steps.groupBy("test_id", "subject").agg(F.max_by(F.struct("step_id", "text"), F.struct(F.length("text"), -F.col("pos"))).alias("s"))
+        return longest.selectExpr(
+            "test_id", "subject", "s.step_id as failed_step_id",
+            "case length(s.text) % 5 when 0 then 'interaction-failed' when 1 then 'locator-not-found' when 2 then 'timeout' "
             "when 3 then 'assertion-failed' else 'unknown' end as failure_kind")
 
+    @cached_property
+    def failures(self) -> DataFrame:
+        """The failing step of every test log."""
+        steps = self.steps.select("test_id", "pos", F.col("step_id").alias("failed_step_id"))
+        return self.logs.join(steps, ["test_id", "failed_step_id"]).selectExpr(
+            "test_id", "subject", "pos", "split_part(failed_step_id, '-', 1) as phase", "failure_kind as kind")
+
+    @cached_property
+    def health(self) -> DataFrame:
+        """Events as health checks of the applications under test; an error is a failed one."""
+        return self("events").selectExpr(
+            "'c' || (user_id % 7) as subject", "cast(ts as timestamp) as ts",
+            "case when event_type = 'error' then case when value < 10 then 'port' else 'identity' end end as problem")
+
+    @cached_property
+    def step_targets(self) -> DataFrame:
+        """What the registries say of the widget a step acts on: turn n of conversation c acts on line n of order c."""
+        line = self.lines.selectExpr("cast(l_orderkey as string) as test_id", "cast(l_linenumber as bigint) as pos", "subject as app", "comp_id", "widget_id", "handler", "l_returnflag", "l_linestatus", "p", "k")
+        line = first_by(line, ["test_id", "pos"], ["p", "k", "l_returnflag", "l_linestatus"], ["app", "comp_id", "widget_id", "handler", "l_returnflag", "l_linestatus"])
+        calls = self.calls.groupBy("comp_id", "handler").agg(F.bool_or(F.col("expr") == "this.router.navigate").alias("goes"), F.bool_or(F.col("expr") == "this.dialog.open").alias("opens"))
+        ui = self.widgets.selectExpr("widget_id", "selector", "tag_name", "visible_expr", "enabled_expr", "inside_ng_for", "attributes['class'] as class")
+        bound = self.param_values.selectExpr("subject", "template", "param")
+        asked = self.routes.where("comp_id <> '__unknown__'").selectExpr("subject", "full_path", "comp_id", "explode_outer(filter(split(full_path, '/'), x -> x like ':%')) as part").selectExpr("subject", "full_path", "comp_id", "substr(part, 2) as param")
+        given = asked.join(bound.where("template is null").select("subject", "param").distinct().withColumn("g", F.lit(True)), ["subject", "param"], "left").join(
+            bound.where("template is not null").selectExpr("subject", "template as full_path", "param").distinct().withColumn("l", F.lit(True)), ["subject", "full_path", "param"], "left")
+        routed = given.groupBy("comp_id").agg(F.bool_or(F.col("param").isNotNull()).alias("has_param"), F.bool_or(F.col("param").isNotNull() & F.col("g").isNull() & F.col("l").isNull()).alias("param_unbound"))
+        composed = self.uses.selectExpr("subject", "lower(used_ref) as selector").distinct().withColumn("used", F.lit(True))
+        facts = (line.join(ui, "widget_id").join(calls, ["comp_id", "handler"], "left").join(routed, "comp_id", "left")
+                 .join(composed.withColumnRenamed("subject", "app"), ["app", "selector"], "left"))
+        href = "(l_returnflag = 'N' and l_linestatus = 'F')"
+        logged_in = self.logins.select(F.col("subject").alias("app")).distinct().withColumn("has_login", F.lit(True))
+        apps = line.groupBy("test_id").agg(F.min_by("app", "pos").alias("app")).join(logged_in, "app", "left").select("test_id", F.lit(0).cast("bigint").alias("pos"), "has_login")
+        return facts.selectExpr(
+            "test_id", "pos", "cast(null as boolean) as has_login", "param_unbound", f"{href} as external", f"l_returnflag = 'R' or {href} or coalesce(goes, false) as navigates", "has_param",
+            "opens or selector like '%-dialog' as dialog", "visible_expr like '%:%' as async_gate", "inside_ng_for is not null as repeater",
+            "tag_name in ('mat-sidenav', 'mat-drawer') or class like '%sidenav%' as sidenav", "visible_expr is not null or enabled_expr is not null as gated",
+            "has_param is null and used is null as unrouted").unionByName(apps, allowMissingColumns=True)
+
     @cached_property
     def tests(self) -> DataFrame:
         """Tests seen in the events, with what earlier stages know about them."""

@@ -13,8 +13,8 @@ from loomgraph.sources.views import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["flagship_page_verdicts", "X2_page_widget_kinds", "X6_parent_widgets", "X20_canonical_routes", "E5_integrity", "E8_request_attribution", "E11_coverage_tiers",
-           "G8_route_has_child", "G16c_array_path", "M1_structural_issues", "K2_windowed_counts", "K3_run_sessions", "K5_live_attempt_fold", "K7_running_coverage", "K7_live_attribution", "M3_unmet_guards", "W2_bootstrap_components", "G24_interface_atoms", "Z1_fnv_hash", "S4_test_logs"]
+CHECKED = ["flagship_page_verdicts", "X2_page_widget_kinds", "X6_parent_widgets", "X20_canonical_routes", "E5_integrity", "E8_request_attribution", "E13_failure_families", "E15_residual_families", "E16_family_catalogue", "E11_coverage_tiers",
+           "G8_route_has_child", "G16c_array_path", "M1_structural_issues", "K2_windowed_counts", "K3_run_sessions", "K5_live_attempt_fold", "K7_running_coverage", "K7_live_attribution", "M3_unmet_guards", "M6_manifest_status", "S5_manifests", "W2_bootstrap_components", "G24_interface_atoms", "Z1_fnv_hash", "S4_test_logs"]
 
 
 @pytest.fixture(scope="module")
