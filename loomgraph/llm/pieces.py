@@ -1,7 +1,9 @@
 """Super-k-mers: runs of windows that share a minimiser, cut out as one piece.
 
 Equal windows have the same minimiser at the same offset, so every repeat of a window meets in the bucket of
-its minimiser. A minimiser that occurs once cannot belong to a repeat: those pieces never travel.
+its minimiser. A minimiser that occurs once cannot belong to a repeat. The others are marked in a filter of fixed
+size that every task holds; pieces it doesn't know never travel. Where it takes a minimiser for a marked one, the
+piece travels in vain and meets nobody: results never depend on the filter, only the volume does.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.scale import cut_lineage
 from loomgraph.llm.common import let, with_package
+from loomgraph.llm.minhash import mix
 
-# Shared minimisers are sent to every task up to this many (8 bytes each); beyond it they are joined by a shuffle.
-MAX_BROADCAST_KEYS = 8_000_000
+# 64-bit blocks of the filter of shared minimisers (16 MB). Beyond some 50 million marks it lets most pieces pass.
+BLOCKS = 1 << 21
+# Crowded minimisers are sent to every task up to this many, counted first; more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 1_000_000
 # A bucket with more pieces is taken apart: equal pieces are merged and windows travel by their own content.
 SPLIT_AT = 256
 # Pieces of a crowded bucket that go to one task, about: larger groups of equal pieces are dealt to several.
@@ -83,23 +88,53 @@ def minimisers(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray
     return found.select("doc_id", F.explode(F.arrays_zip("keys", "counts")).alias("m")).select("doc_id", F.col("m.keys").alias("key"), F.col("m.counts").alias("n"))
 
 
-def shared_keys(found: DataFrame, shared: Column) -> DataFrame:
-    """(key, parts): minimisers that may belong to a repeat, marked for a broadcast while they are few.
+def marks(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block and two bits in it for every key."""
+    h = mix(keys.astype(np.uint64))
+    one = np.uint64(1)
+    bits = (one << (h >> np.uint64(40) & np.uint64(63))) | (one << (h >> np.uint64(50) & np.uint64(63)))
+    return (h % np.uint64(blocks)).astype(np.int64), bits
 
-    `parts` is 0 for a bucket that is sorted whole, else over how many tasks equal pieces of a crowded one may be dealt.
+
+def marked(keys: DataFrame) -> np.ndarray:
+    """The filter over a table of keys: filled per task, joined by block. The driver gets BLOCKS numbers at most."""
+    blocks = BLOCKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(blocks, dtype=np.uint64)
+        for batch in batches:
+            np.bitwise_or.at(field, *marks(batch.column("key").to_numpy().view(np.uint64), blocks))
+        held = np.flatnonzero(field)
+        for start in range(0, len(held), 1 << 16):
+            some = held[start:start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(field[some].view(np.int64))], ["block", "bits"])
+
+    found = with_package(keys.select("key")).mapInArrow(run, "block bigint, bits bigint").groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
+    field = np.zeros(blocks, dtype=np.uint64)
+    field[found.column("block").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return field
+
+
+def shared_keys(found: DataFrame, shared: Column) -> tuple[np.ndarray, DataFrame]:
+    """The filter of minimisers that may belong to a repeat, and the crowded ones as (key, parts).
+
+    `parts` is over how many tasks equal pieces of a crowded bucket may be dealt.
     """
-    parts = F.when(F.col("n") > SPLIT_AT, F.ceil(F.col("n") / DEALT)).otherwise(0).cast("int")
-    keys = cut_lineage(found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"))
-                       .where(shared).select("key", parts.alias("parts")))
-    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+    counted = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"))
+    keys = cut_lineage(counted.select("key", "n", shared.alias("shared")).where(F.col("shared") | (F.col("n") > SPLIT_AT)))
+    crowded = keys.where(F.col("n") > SPLIT_AT).select("key", F.ceil(F.col("n") / DEALT).cast("int").alias("parts"))
+    return marked(keys.where("shared")), F.broadcast(crowded) if crowded.count() <= MAX_BROADCAST_KEYS else crowded
 
 
 def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], width: int, piece_of: Callable[[bytes], Callable[[int, int], bytes]],
-        shared: DataFrame) -> DataFrame:
-    """(key, doc_id, tid, start, offset, piece, parts): the runs with a shared minimiser.
+        shared: tuple[np.ndarray, DataFrame]) -> DataFrame:
+    """(key, doc_id, tid, start, offset, piece, parts): the runs with a shared minimiser; `parts` is NULL where its bucket isn't crowded.
 
     `start` is the first window of the run, `offset` how far the minimiser lies behind it, `piece` what its windows cover.
     """
+    field, crowded = shared
+    known = docs.sparkSession.sparkContext.broadcast(field)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = grams()
         for batch in batches:
@@ -119,6 +154,11 @@ def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], wid
                 data = text.as_py()
                 slice_of = None
                 for first, size, key, place in runs(hashed(data), width):
+                    block, bits = marks(key, len(known.value))
+                    keep = known.value[block] & bits == bits
+                    if not keep.any():
+                        continue
+                    first, size, key, place = first[keep], size[keep], key[keep], place[keep]
                     slice_of = slice_of or piece_of(data)
                     row.append(np.full(len(first), k))
                     out[0].append(key)
@@ -133,7 +173,7 @@ def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], wid
 
     rows = with_package(docs.select("doc_id", "tid", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key bigint, doc_id {kind}, tid bigint, start bigint, offset bigint, piece binary").join(shared, "key")
+    return rows.mapInArrow(run, f"key bigint, doc_id {kind}, tid bigint, start bigint, offset bigint, piece binary").join(crowded, "key", "left")
 
 
 def settled(found: DataFrame, repeats: Callable[[pa.Table], pa.RecordBatch], rows_at_once: int) -> DataFrame:
@@ -145,9 +185,9 @@ def settled(found: DataFrame, repeats: Callable[[pa.Table], pa.RecordBatch], row
     occurrence, without its content. (s1, s2) names content and place of the minimiser in 128 bits.
     """
     kind = found.schema["doc_id"].dataType.simpleString()
-    crowded = F.col("parts") > 0
+    crowded = F.col("parts").isNotNull()
     name = {"s1": F.when(crowded, F.xxhash64("piece", "offset")), "s2": F.when(crowded, F.xxhash64("offset", F.lit(7), "piece"))}
-    deal = F.when(crowded, F.xxhash64(F.xxhash64("piece", "offset"), F.pmod(F.xxhash64("doc_id", "tid", "start"), F.greatest("parts", F.lit(1))))).otherwise(F.col("key"))
+    deal = F.when(crowded, F.xxhash64(F.xxhash64("piece", "offset"), F.pmod(F.xxhash64("doc_id", "tid", "start"), F.coalesce("parts", F.lit(1))))).otherwise(F.col("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in bucket_groups(batches, rows_at_once):

@@ -173,14 +173,28 @@ def test_sketch_fills_and_estimates():
     assert abs((a == b).mean() - 0.8) < 0.15
 
 
-@pytest.mark.parametrize("split_at", [256, 1])
-def test_substring_and_suffix_dedup(monkeypatch, docs, rows, split_at):
-    monkeypatch.setattr(pieces, "SPLIT_AT", split_at)  # 1: every bucket with two pieces is taken apart
+SWITCHES = [{}, {"SPLIT_AT": 1}, {"SPLIT_AT": 1, "DEALT": 2, "HOT_NAME": 1, "BLOCKS": 1, "MAX_BROADCAST_KEYS": 0}, {"SPLIT_AT": 1, "HOT_NAME": 1, "MAX_HOT_NAMES": 0}]
+
+
+@pytest.mark.parametrize("switches", SWITCHES)
+def test_substring_and_suffix_dedup(monkeypatch, docs, rows, switches):
+    """Also where every bucket is crowded, copies are dealt apart, the filter is full and nothing is broadcast."""
+    for name, value in switches.items():
+        monkeypatch.setattr(pieces, name, value)
     assert by_doc(substring.report(docs), ["n_words", "n_removed", "kept_sha256"]) == brute.substring(rows)
     got = sorted((tuple(r) for r in suffix.report(docs).collect()), key=str)
     assert got == brute.suffix(rows)
 
 
+def test_filter_knows_every_marked_key(spark):
+    keys = np.random.default_rng(4).integers(-2**63, 2**63, 5000)
+    field = pieces.marked(spark.createDataFrame([(int(k),) for k in keys], "key bigint").repartition(3))
+    block, bits = pieces.marks(keys.view(np.uint64), len(field))
+    assert (field[block] & bits == bits).all()
+    block, bits = pieces.marks(np.random.default_rng(5).integers(0, 2**64, 5000, dtype=np.uint64), len(field))
+    assert (field[block] & bits == bits).mean() < 0.01
+
+
 def test_dedup_with_repeated_and_missing_ids(spark):
     a = prose(1, 150)
     rows = [(1, a), (1, a), (2, f"{prose(5, 20)} {a}"), (None, a)]
