@@ -128,9 +128,10 @@ def shared_keys(found: DataFrame, shared: Column) -> tuple[np.ndarray, DataFrame
 
 def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], width: int, piece_of: Callable[[bytes], Callable[[int, int], bytes]],
         shared: tuple[np.ndarray, DataFrame]) -> DataFrame:
-    """(key, doc_id, tid, start, offset, piece, parts): the runs with a shared minimiser; `parts` is NULL where its bucket isn't crowded.
+    """(key, doc_id, tid, start, size, offset, piece, parts): the runs with a shared minimiser; `parts` is NULL where its bucket isn't crowded.
 
-    `start` is the first window of the run, `offset` how far the minimiser lies behind it, `piece` what its windows cover.
+    `start` is the first window of the run, `size` the number of windows, `offset` how far the minimiser lies behind
+    `start`, `piece` what the windows cover.
     """
     field, crowded = shared
     known = docs.sparkSession.sparkContext.broadcast(field)
@@ -138,16 +139,16 @@ def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], wid
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = grams()
         for batch in batches:
-            row, out = [], [[], [], [], []]
+            row, out = [], [[], [], [], [], []]
 
             def done() -> pa.RecordBatch:
                 at = pa.array(np.concatenate(row) if row else [], pa.int64())
-                key, start, offset, piece = out
+                key, start, count, offset, piece = out
                 made = [pa.array(np.concatenate(key).view(np.int64) if key else [], pa.int64()), batch.column("doc_id").take(at), batch.column("tid").take(at),
-                        pa.array(np.concatenate(start) if start else [], pa.int64()), pa.array(np.concatenate(offset) if offset else [], pa.int64()), pa.array(piece, pa.binary())]
+                        *[pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (start, count, offset)], pa.array(piece, pa.binary())]
                 row.clear()
-                out[:] = [[], [], [], []]
-                return pa.RecordBatch.from_arrays(made, ["key", "doc_id", "tid", "start", "offset", "piece"])
+                out[:] = [[], [], [], [], []]
+                return pa.RecordBatch.from_arrays(made, ["key", "doc_id", "tid", "start", "size", "offset", "piece"])
 
             total = 0
             for k, text in enumerate(batch.column("text").cast(pa.binary())):
@@ -163,8 +164,9 @@ def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], wid
                     row.append(np.full(len(first), k))
                     out[0].append(key)
                     out[1].append(first)
-                    out[2].append(place - first)
-                    out[3] += [slice_of(a, n) for a, n in zip(first.tolist(), size.tolist())]
+                    out[2].append(size)
+                    out[3].append(place - first)
+                    out[4] += [slice_of(a, n) for a, n in zip(first.tolist(), size.tolist())]
                 total += len(data)
                 if total >= SEGMENT:
                     yield done()
@@ -173,21 +175,21 @@ def cut(docs: DataFrame, grams: Callable[[], Callable[[bytes], np.ndarray]], wid
 
     rows = with_package(docs.select("doc_id", "tid", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key bigint, doc_id {kind}, tid bigint, start bigint, offset bigint, piece binary").join(crowded, "key", "left")
+    return rows.mapInArrow(run, f"key bigint, doc_id {kind}, tid bigint, start bigint, size bigint, offset bigint, piece binary").join(crowded, "key", "left")
 
 
-def settled(found: DataFrame, repeats: Callable[[pa.Table], pa.RecordBatch], rows_at_once: int) -> DataFrame:
+def settled(found: DataFrame, repeats: Callable[[pa.Table], pa.Table], rows_at_once: int) -> DataFrame:
     """All pieces after one exchange, as a written table of three kinds of rows.
 
-    Pieces of a bucket meet in one task, where `repeats` gives flagged runs of windows (doc_id, tid, first, last).
+    Pieces of a bucket meet in one task, where `repeats` gives flagged runs of windows (doc_id, tid, first, last, span).
     Pieces of a crowded bucket are dealt by content, large groups of equal ones over several tasks; there equal
-    ones are merged: (s1, s2, piece, low, times) per distinct piece and task, and (s1, s2, doc_id, tid, first) per
-    occurrence, without its content. (s1, s2) names content and place of the minimiser in 128 bits.
+    ones are merged: (s1, s2, size, piece, low, times) per distinct piece and task, and (s1, s2, doc_id, tid, first)
+    per occurrence, without its content. (s1, s2) names content, windows and place of the minimiser in 128 bits.
     """
     kind = found.schema["doc_id"].dataType.simpleString()
     crowded = F.col("parts").isNotNull()
-    name = {"s1": F.when(crowded, F.xxhash64("piece", "offset")), "s2": F.when(crowded, F.xxhash64("offset", F.lit(7), "piece"))}
-    deal = F.when(crowded, F.xxhash64(F.xxhash64("piece", "offset"), F.pmod(F.xxhash64("doc_id", "tid", "start"), F.coalesce("parts", F.lit(1))))).otherwise(F.col("key"))
+    name = {"s1": F.when(crowded, F.xxhash64("piece", "offset", "size")), "s2": F.when(crowded, F.xxhash64("size", "offset", F.lit(7), "piece"))}
+    deal = F.when(crowded, F.xxhash64(F.xxhash64("piece", "offset", "size"), F.pmod(F.xxhash64("doc_id", "tid", "start"), F.coalesce("parts", F.lit(1))))).otherwise(F.col("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in bucket_groups(batches, rows_at_once):
@@ -198,18 +200,18 @@ def settled(found: DataFrame, repeats: Callable[[pa.Table], pa.RecordBatch], row
             apart = table.filter(pc.invert(whole))
             if len(apart):
                 yield padded(apart.select(["s1", "s2", "doc_id", "tid"]).append_column("first", apart.column("start")), doc)
-                merged = apart.group_by(["s1", "s2", "piece"]).aggregate([("doc_id", "min"), ("doc_id", "count")])
-                yield padded(merged.select(["s1", "s2", "piece", "doc_id_min", "doc_id_count"]).rename_columns(["s1", "s2", "piece", "low", "times"]), doc)
+                merged = apart.group_by(["s1", "s2", "size", "piece"]).aggregate([("doc_id", "min"), ("doc_id", "count")])
+                yield padded(merged.select(["s1", "s2", "size", "piece", "doc_id_min", "doc_id_count"]).rename_columns(["s1", "s2", "size", "piece", "low", "times"]), doc)
 
-    rows = found.select(deal.alias("key"), "doc_id", "tid", "start", "offset", "piece", *[c.alias(k) for k, c in name.items()])
+    rows = found.select(deal.alias("key"), "doc_id", "tid", "start", "size", "offset", "piece", *[c.alias(k) for k, c in name.items()])
     dealt = with_package(rows.repartition("key").sortWithinPartitions("key"))
-    return cut_lineage(dealt.mapInArrow(run, f"doc_id {kind}, tid bigint, first bigint, last bigint, s1 bigint, s2 bigint, piece binary, low {kind}, times bigint"))
+    return cut_lineage(dealt.mapInArrow(run, f"doc_id {kind}, tid bigint, first bigint, last bigint, span bigint, s1 bigint, s2 bigint, size bigint, piece binary, low {kind}, times bigint"))
 
 
-def padded(rows: pa.Table | pa.RecordBatch, doc: pa.DataType) -> pa.RecordBatch:
+def padded(rows: pa.Table, doc: pa.DataType) -> pa.RecordBatch:
     """Rows in the columns of the settled table, NULL where they have none."""
     long = pa.int64()
-    kinds = {"doc_id": doc, "tid": long, "first": long, "last": long, "s1": long, "s2": long, "piece": pa.binary(), "low": doc, "times": long}
+    kinds = {"doc_id": doc, "tid": long, "first": long, "last": long, "span": long, "s1": long, "s2": long, "size": long, "piece": pa.binary(), "low": doc, "times": long}
     schema = pa.schema(list(kinds.items()))
     held = {c: rows.column(c) for c in rows.schema.names}
     made = pa.table([held[c].cast(t) if c in held else pa.nulls(rows.num_rows, t) for c, t in kinds.items()], schema=schema).combine_chunks().to_batches()
@@ -218,12 +220,12 @@ def padded(rows: pa.Table | pa.RecordBatch, doc: pa.DataType) -> pa.RecordBatch:
 
 def plain_hits(table: DataFrame) -> DataFrame:
     """Flagged runs of windows of the buckets that were sorted whole."""
-    return table.where("last is not null").select("doc_id", "tid", "first", "last")
+    return table.where("last is not null").select("doc_id", "tid", "first", "last", "span")
 
 
 def distinct_pieces(table: DataFrame) -> DataFrame:
-    """(s1, s2, piece, low, times) of the crowded buckets, each piece once."""
-    return table.where("times is not null").groupBy("s1", "s2", "piece").agg(F.min("low").alias("low"), F.sum("times").alias("times"))
+    """(s1, s2, size, piece, low, times) of the crowded buckets, each piece once."""
+    return table.where("times is not null").groupBy("s1", "s2", "size", "piece").agg(F.min("low").alias("low"), F.sum("times").alias("times"))
 
 
 def at_occurrences(table: DataFrame, listed: DataFrame) -> DataFrame:
@@ -252,8 +254,9 @@ def as_runs(hits: Column) -> Column:
     return let(F.sort_array(hits), of)
 
 
-def flagged_runs(table: pa.Table, flags: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows (doc_id, tid, first, last) of consecutive flagged windows; piece k of the table has the next n[k] flags."""
+def flagged_runs(table: pa.Table, flags: np.ndarray, span: int) -> pa.Table:
+    """Rows (doc_id, tid, first, last, span) of consecutive flagged windows of `span` symbols; a piece has as many flags as windows."""
+    n = table.column("size").to_numpy()
     begin = np.cumsum(n) - n
     bounds = np.zeros(len(flags) + 1, dtype=bool)
     bounds[begin] = True  # a run ends with its piece
@@ -263,13 +266,13 @@ def flagged_runs(table: pa.Table, flags: np.ndarray, n: np.ndarray) -> pa.Record
     row = np.searchsorted(begin, first, "right") - 1
     shift = table.column("start").to_numpy()[row] - begin[row]
     at = pa.array(row)
-    return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(at), table.column("tid").combine_chunks().take(at), pa.array(first + shift), pa.array(last + shift)],
-                                      ["doc_id", "tid", "first", "last"])
+    return pa.table([table.column("doc_id").take(at), table.column("tid").take(at), pa.array(first + shift), pa.array(last + shift), pa.array(np.full(len(first), span))],
+                    names=["doc_id", "tid", "first", "last", "span"])
 
 
 def per_document(hits: DataFrame) -> DataFrame:
     """(doc_id, tid, runs): all flagged runs of windows of a text."""
-    return hits.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return hits.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("first", "last", "span")).alias("runs"))
 
 
 def bucket_groups(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.Table]:

@@ -51,19 +51,19 @@ def words_cut(text: bytes):
     return lambda first, n: packed[starts[first]:ends[first + n + WINDOW - 2] - 1]
 
 
-def repeats(table: pa.Table) -> pa.RecordBatch:
-    """(doc_id, tid, first, last): windows of the pieces of a bucket that a smaller document has too."""
+def repeats(table: pa.Table) -> pa.Table:
+    """(doc_id, tid, first, last, span): windows of the pieces of a bucket that a smaller document has too."""
     code: dict[bytes, int] = {}
     split = [p.split(b" ") for p in table.column("piece").to_pylist()]
     codes = np.array([code.setdefault(w, len(code)) for words in split for w in words], dtype=np.int64)
     size = np.array([len(words) for words in split])
-    n = size - WINDOW + 1
+    n = table.column("size").to_numpy()
     first = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
     doc = np.repeat(table.column("doc_id").to_numpy(), n)
     group = same_window(codes, first)
     least = np.full(group.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, doc)
-    return pieces.flagged_runs(table, least[group] < doc, n)
+    return pieces.flagged_runs(table, least[group] < doc, WINDOW)
 
 
 def same_window(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def repeats_apart(table: DataFrame) -> DataFrame:
     least = each.groupBy("window").agg(F.min("low").alias("m"))
     listed = each.join(least, "window").groupBy("s1", "s2").agg(F.first("times").alias("times"), F.collect_list(F.struct("i", "m")).alias("least"))
     hit = F.transform(F.filter("least", lambda x: x["m"] < F.col("doc_id")), lambda x: x["i"] + F.col("start"))
-    return pieces.at_occurrences(table, listed).select("doc_id", "tid", F.inline(pieces.as_runs(hit)))
+    return pieces.at_occurrences(table, listed).select("doc_id", "tid", F.inline(pieces.as_runs(hit))).withColumn("span", F.lit(WINDOW).cast("long"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:

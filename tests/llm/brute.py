@@ -91,17 +91,22 @@ def substring(rows, window=13):
     return out
 
 
-def suffix(rows, length=400):
-    texts = [(i, (t or "").encode()) for i, t in rows]
-    count = collections.Counter(b[k:k + length] for _, b in texts for k in range(len(b) - length + 1))
-    out = []
-    for i, b in texts:
+def repeated_bytes(texts, length):
+    count = collections.Counter(b[k:k + length] for b in texts for k in range(len(b) - length + 1))
+    for b in texts:
         gone = bytearray(len(b))
         for k in range(len(b) - length + 1):
             if count[b[k:k + length]] > 1:
                 gone[k:k + length] = b"\1" * length
+        yield gone
+
+
+def suffix(rows, length=400, short=256):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    out = []
+    for (i, b), gone, shared in zip(texts, repeated_bytes([b for _, b in texts], length), repeated_bytes([b for _, b in texts], short)):
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
-        out.append((i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
+        out.append((i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g)), sum(shared)))
     return sorted(out, key=str)
 
 
