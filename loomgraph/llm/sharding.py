@@ -8,15 +8,18 @@ their prefix.
 
 Bits run out only for rows of one key whose bytes exceed the limit. They go to overflow pages: a page takes rows of
 the key in their written order up to the limit, within each written part, so no task holds more of a hot key than
-one part. A single row over the limit is a shard of its own. NULL keys are one key, ''; NULL texts have no bytes; an empty table gives no shards; columns of the
-table keep their names, and the added ones must not be among them.
+one part. A single row over the limit is a shard of its own. NULL keys are one key, ''; NULL texts have no bytes;
+an empty table gives no shards. Columns of the table keep their names; where one of the added names is among them,
+`assigned` refuses, while `write_shards` keeps rows in a struct and takes any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import uuid
 
-from loomgraph.functions.scale import cut_lineage
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+
+from loomgraph.functions.scale import cut_lineage, shared_folder
 
 LIMIT_BYTES = 16 << 20
 KEY_BITS = 60
@@ -51,6 +54,8 @@ def directory_level(sizes: DataFrame, low: int, depth: int, limit: int) -> DataF
 def assigned(df: DataFrame, key: list[str], size: Column, limit: int = LIMIT_BYTES) -> DataFrame:
     """The rows with n_bytes, shard (its bits, and a page where bits ran out), depth, shard_bytes and shard_rows."""
     own = df.columns
+    if taken := {"n_bytes", "shard", "depth", "shard_bytes", "shard_rows", "__h"} & {c.lower() for c in own}:
+        raise ValueError(f"columns {sorted(taken)} are added by sharding: put the row into a struct, as write_shards does")
     rows = df.withColumns({"n_bytes": F.coalesce(size, F.lit(0)).cast("long"), "__h": key_hash(key)})
     small = F.col("n_bytes") <= limit
     total = rows.where(small).agg(F.sum("n_bytes")).first()[0] or 0
@@ -102,11 +107,29 @@ def pages(over: DataFrame, own: list[str], limit: int) -> DataFrame:
     return named.withColumn("depth", F.lit(KEY_BITS).cast("long")).join(sizes, "shard")
 
 
-def report(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
-    rows = docs.select("doc_id", F.octet_length("text").alias("n"))
-    return assigned(rows, ["doc_id"], F.col("n"), limit).select("doc_id", "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_rows")
+def write_shards(df: DataFrame, path: str, key: list[str], size: Column, limit: int = LIMIT_BYTES) -> None:
+    """Whole rows into one folder per shard under `path`, in one shuffle.
 
+    A row stands in the struct `row`, beside n_bytes and depth, so its column names are free. A folder is named by
+    the letter s and the shard's bits, so no reader takes the bits for a number; a task writes whole shards.
+    """
+    keys = [f"__key{k}" for k in range(len(key))]
+    rows = df.select(F.struct(*df.columns).alias("row"), size.alias("__size"), *[F.col(c).alias(k) for c, k in zip(key, keys)])
+    placed = assigned(rows, keys, F.col("__size"), limit)
+    (placed.select("row", "n_bytes", F.col("depth").cast("long").alias("depth"), F.concat(F.lit("s"), "shard").alias("folder"))
+     .repartition("folder").write.partitionBy("folder").parquet(path))
 
-def write_shards(df: DataFrame, path: str, key: list[str], size: Column, limit: int = LIMIT_BYTES) -> None:
-    """One folder per shard under `path`."""
-    assigned(df, key, size, limit).repartition("shard").write.partitionBy("shard").parquet(path)
+
+def read_shards(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:
+    """What `write_shards` wrote of rows of this type: row, n_bytes, depth, shard."""
+    schema = T.StructType([T.StructField("row", row), T.StructField("n_bytes", T.LongType()), T.StructField("depth", T.LongType()), T.StructField("folder", T.StringType())])
+    return spark.read.schema(schema).parquet(path).select("row", "n_bytes", "depth", F.expr("substr(folder, 2)").alias("shard"))
+
+
+def report(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
+    """Shards of whole documents, written and read back: sizes and rows of a shard are those of what was written."""
+    path = f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, ["doc_id"], F.octet_length("text"), limit)
+    held = read_shards(docs.sparkSession, path, docs.schema).select("row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"), "shard", "depth")
+    sizes = held.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
+    return held.join(sizes, "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")

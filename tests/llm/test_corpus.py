@@ -309,6 +309,21 @@ def test_sharding(spark, docs, rows):
         assert by_doc(sharding.report(docs, limit), ["n_bytes", "shard", "depth", "shard_bytes", "shard_rows"]) == brute.shards(sizes, limit)
 
 
+def test_shards_hold_whole_rows(spark, docs, rows, tmp_path):
+    """Written and read back: every row once, each folder within the limit or one row, bits kept as text."""
+    limit = 20_000
+    sharding.write_shards(docs, str(tmp_path / "shards"), ["doc_id"], F.octet_length("text"), limit)
+    back = sharding.read_shards(spark, str(tmp_path / "shards"), docs.schema)
+    assert sorted(map(str, back.select("row.*").collect())) == sorted(map(str, docs.collect()))
+    held = {}
+    for r in back.select("row.doc_id", "row.text", "shard").collect():
+        held.setdefault(r.shard, []).append(len((r.text or "").encode()))
+    assert len(held) > 3 and all(sum(v) <= limit or len(v) == 1 for v in held.values())
+    assert set(held) == {p.name.removeprefix("folder=s") for p in (tmp_path / "shards").iterdir() if p.name.startswith("folder=")}
+    with pytest.raises(ValueError, match="n_bytes"):
+        sharding.assigned(docs.withColumn("n_bytes", F.lit(1)), ["doc_id"], F.octet_length("text"), limit)
+
+
 def test_sharding_where_bits_run_out(spark, docs, rows):
     """One key for all rows, rows over the limit, equal rows: pages hold at most the limit or one row."""
     limit = 4000
