@@ -347,6 +347,8 @@ select distinct s.subject, s.start_route, r.comp_id from v_start s join v_above
 join v_edge e on e.kind = 'ROUTE_ACTIVATES_COMPONENT' and e.subject = a.subject and e.from_id = a.above
 join v_reach r on r.subject = e.subject and r.root = e.to_id
 union select s.subject, s.start_route, h.comp_id from v_start s join v_shell h on h.subject = s.subject"""
+VIEWS["v_place"] = """
+select subject, start_route, comp_id from v_active anti join v_shell using (subject, comp_id) union all select subject, '*', comp_id from v_shell"""
 VIEWS["v_trigger"] = f"""
 select e.*, w.comp_id from v_edge e join v_widget w on w.widget_id = e.from_id where e.kind in ({strings(fixed.TRIGGER_KINDS)})"""
 VIEWS["v_effect"] = """

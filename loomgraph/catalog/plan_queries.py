@@ -34,9 +34,9 @@ def guard_names(t):
 
 
 @query("I3_start_records", "subject:s comp_id:s start_route:s full_path:s params:s", """
-select a.subject, a.comp_id, a.start_route, r.full_path, array_to_string(r.params, ',') as params from v_active a left join v_route r on r.subject = a.subject and r.route_id = a.start_route""")
+select a.subject, a.comp_id, a.start_route, case when a.start_route = '*' then '*' else coalesce(r.full_path, '(unknown)') end as full_path, array_to_string(r.params, ',') as params from v_place a left join v_route r on r.subject = a.subject and r.route_id = a.start_route""")
 def start_records(t):
-    return intents(t).start_records.select("subject", "comp_id", "start_route", "full_path", text_of("params"))
+    return intents(t).place_records.select("subject", "comp_id", "start_route", "full_path", text_of("params"))
 
 
 @query("I4_trigger_widgets", "workflow_id:s selector:s tag_name:s widget_kind:s form_around:s gates:s router_link:s css_hidden:i", """

@@ -7,6 +7,7 @@ from loomgraph.catalog.oracle_views import sub
 from loomgraph.catalog.registry import query
 from loomgraph.catalog.shared import flow, graph, intents, plans
 from loomgraph.functions.scalar import path_params
+from loomgraph.functions.scale import Pages
 from loomgraph.operators import evidence as ev
 from loomgraph.operators import reconcile as rc
 from loomgraph.operators import viewer as vw
@@ -303,7 +304,7 @@ def result_filter(t):
 
 @query("V11_result_page", "test_id:s outcome:s duration_ms:i", f"select test_id, outcome, duration_ms from {READY} order by duration_ms desc, test_id limit 25 offset 50")
 def result_page(t):
-    return vw.page_of(ready_results(t), [F.desc("duration_ms"), "test_id"], 2, 25)
+    return vw.result_page(Pages(ready_results(t), [F.desc("duration_ms"), F.asc("test_id")]), 2, 25)
 
 
 

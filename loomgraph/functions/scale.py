@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 BLOCK = 1 << 20
 
@@ -81,16 +81,43 @@ def reach(seeds: DataFrame, edges: DataFrame, key: list[str], src: str, dst: str
         seen = seen.unionByName(frontier)  # every part is already written, nothing is recomputed
 
 
+FAN, LEVELS = 4, 8
+
+
+def cover(first: Column, last: Column) -> Column:
+    """The fewest nodes of a tree over bins that make up the bins first..last, as array<struct<level, node>>.
+
+    A node of level k stands for FAN**k bins. A level needs at most 2 (FAN - 1) nodes, the highest one takes the rest.
+    """
+    low = [F.ceil(first / F.lit(FAN ** k)) for k in range(LEVELS + 1)]
+    high = [F.floor((last + 1) / F.lit(FAN ** k)) - 1 for k in range(LEVELS + 1)]
+    nodes = lambda k, a, b: F.when(a <= b, F.transform(F.sequence(a, b), lambda x: F.struct(F.lit(k).alias("level"), x.cast("long").alias("node")))).otherwise(
+        F.array().cast("array<struct<level:int,node:bigint>>"))
+    parts = []
+    for k in range(LEVELS):
+        inner_low, inner_high = low[k + 1] * FAN, (high[k + 1] + 1) * FAN - 1  # what the next level covers
+        whole = low[k + 1] <= high[k + 1]
+        parts += [F.when(whole, nodes(k, low[k], inner_low - 1)).otherwise(nodes(k, low[k], high[k])), F.when(whole, nodes(k, inner_high + 1, high[k]))]
+        parts[-2:] = [F.when(low[k] <= high[k], p) for p in parts[-2:]]
+    parts.append(nodes(LEVELS, low[LEVELS], high[LEVELS]))
+    return F.flatten(F.array_compact(F.array(*parts)))
+
+
 def span_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, stop: str, width: int) -> DataFrame:
     """Points inside spans of the same key, both ends included, by integer position.
 
-    Spans are listed under every bin of `width` they touch and points under one bin, so
-    the join stays an equi join and a key with very many rows spreads over its bins.
+    Positions are cut into bins of `width` and bins are leaves of a tree. A span is listed under the few nodes that
+    make it up, so a long span has a handful of rows and not one per bin; a point is listed under its bin and those
+    ancestors whose level any span uses (looked up first: with short spans it is the bin alone). The join stays an
+    equi join, and a key with very many rows spreads over its nodes.
     """
-    binned = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))))
-    placed = points.withColumn("__bin", F.floor(F.col(at) / width))
-    return (placed.join(binned, keys + ["__bin"])
-            .where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(stop))).drop("__bin"))
+    binned = spans.withColumn("__n", F.explode(cover(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))))
+    levels = sorted(r[0] for r in binned.select("__n.level").distinct().collect()) or [0]  # LEVELS + 1 numbers at most
+    bin_ = F.floor(F.col(at) / width)
+    above = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(bin_ / F.lit(FAN ** k)).cast("long").alias("node")) for k in levels])
+    placed = points.withColumn("__n", F.explode(above))
+    return (placed.join(binned, keys + ["__n"])
+            .where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(stop))).drop("__n"))
 
 
 def last_before(points: DataFrame, events: DataFrame, keys: list[str], at: str, when: str, cols: list[str], out: str, width: int) -> DataFrame:
@@ -112,3 +139,32 @@ def last_before(points: DataFrame, events: DataFrame, keys: list[str], at: str,
     before = bins.select(*keys, "__bin", carried.alias("__carried")).where("__carried is not null")
     return (placed.join(before, [*keys, "__bin"], "left")
             .select("__point.*", F.coalesce("__seen", F.col("__carried")["__value"]).alias(out)))
+
+
+class Pages:
+    """Rows written once in one order, dealt by range, with an index of how many rows stand before each range.
+
+    Any page costs the same: the index (one row per range) names the ranges it lies in, and only their files are read.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column]):
+        self.spark = df.sparkSession
+        self.folder = f"{shared_folder(self.spark)}/pages-{uuid.uuid4().hex}"
+        self.schema = T.StructType([*df.schema.fields, T.StructField("__at", T.LongType()), T.StructField("__range", T.LongType())])
+        at = F.monotonically_increasing_id()
+        (df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at)
+         .withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)})
+         .write.partitionBy("__range").parquet(f"{self.folder}/rows"))
+        before = F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+        self.index = cut_lineage(self.rows().groupBy("__range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0))))
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/rows")
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Rows number * size and following, with their place in `__place`."""
+        start, stop = number * size, (number + 1) * size
+        hit = self.index.where((F.col("before") < stop) & (F.col("before") + F.col("n") > start)).collect()
+        place = F.coalesce(*[F.when(F.col("__range") == r["__range"], F.lit(r.before)) for r in hit], F.lit(None).cast("long")) + F.col("__at")
+        rows = self.rows().where(F.col("__range").isin([r["__range"] for r in hit]) if hit else F.lit(False))
+        return rows.withColumn("__place", place).where((F.col("__place") >= start) & (F.col("__place") < stop)).drop("__range", "__at")

@@ -82,6 +82,9 @@ def ancestors(has_child: DataFrame, routes: DataFrame) -> DataFrame:
                  ["subject", "route_id"], "to_id", "from_id", "above")
 
 
+EVERY_ROUTE = "*"
+
+
 @dataclass
 class Flow:
     """Workflows of all applications of a graph."""
@@ -120,14 +123,25 @@ class Flow:
         """Bootstrap components with all they compose; active on every route."""
         return reach(self.bootstrap, self.composes, ["subject"], "from_id", "to_id", "comp_id")
 
+    @cached_property
+    def component_closure(self) -> DataFrame:
+        """(root, component): what a routed component composes, directly or through others. Routes share it."""
+        roots = self.activates.select("subject", F.col("to_id").alias("root")).distinct()
+        return reach(roots.withColumn("comp_id", F.col("root")), self.composes, ["subject", "root"], "from_id", "to_id", "comp_id")
+
     @cached_property
     def active(self) -> DataFrame:
-        """(active route, component): own and ancestors' components closed over composition, without the shell."""
+        """(active route, component): own and ancestors' components with their closures."""
         wanted = self.starts.select("subject", F.col("active_route").alias("route_id")).distinct()
         over = self.ancestors.join(wanted, ["subject", "route_id"], "left_semi")
-        act = self.activates.select("subject", F.col("from_id").alias("above"), F.col("to_id").alias("comp_id"))
-        seeds = over.join(act, ["subject", "above"]).select("subject", F.col("route_id").alias("active_route"), "comp_id")
-        return reach(seeds, self.composes, ["subject", "active_route"], "from_id", "to_id", "comp_id")
+        act = self.activates.select("subject", F.col("from_id").alias("above"), F.col("to_id").alias("root"))
+        rooted = over.join(act, ["subject", "above"]).select("subject", F.col("route_id").alias("active_route"), "root").distinct()
+        return rooted.join(self.component_closure, ["subject", "root"]).select("subject", "active_route", "comp_id").distinct()
+
+    @cached_property
+    def start_places(self) -> DataFrame:
+        """(component, start route); a component of the shell has one row, EVERY_ROUTE, for all routes of its application."""
+        return self.component_routes.unionByName(self.shell.select("subject", "comp_id", F.lit(EVERY_ROUTE).alias("start_route")))
 
     @cached_property
     def component_routes(self) -> DataFrame:

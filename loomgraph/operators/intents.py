@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.scalar import non_empty, path_params, template_params
 from loomgraph.functions.scale import cut_lineage
-from loomgraph.operators.flow import Flow
+from loomgraph.operators.flow import EVERY_ROUTE, Flow
 
 CSS_HIDDEN = r"(?i)\b(hide|hidden|d-none|visually-hidden|sr-only)\b"
 STRINGS = "array<string>"
@@ -81,20 +81,31 @@ class Intents:
         shell = f.shell.join(everywhere, "subject").select("subject", "comp_id", "guard")
         return own.unionByName(shell).groupBy("subject", "comp_id").agg(F.collect_set("guard").alias("start_guards"))
 
+    @cached_property
+    def route_records(self) -> DataFrame:
+        return self.f.g.t.routes.select("subject", F.col("route_id").alias("start_route"), "full_path", path_params("full_path").alias("params"), "guards", "route_type")
+
+    @cached_property
+    def place_records(self) -> DataFrame:
+        """Start routes of a component with path and sorted parameters (I3); the shell is one row per component, for every route."""
+        own = self.f.start_places.join(self.route_records, ["subject", "start_route"], "left")
+        return own.withColumn("full_path", F.coalesce("full_path", F.when(F.col("start_route") == EVERY_ROUTE, F.lit(EVERY_ROUTE)), F.lit("(unknown)")))
+
     @cached_property
     def start_records(self) -> DataFrame:
-        """Start routes of a component with path and sorted parameters (I3), one row each."""
+        """The same with the shell spelled out, for those who ask for single routes of it."""
         f = self.f
-        routes = f.g.t.routes.select("subject", F.col("route_id").alias("start_route"), "full_path", path_params("full_path").alias("params"),
-                                     "guards", "route_type")
         pairs = f.component_routes.unionByName(f.shell.join(f.starts.select("subject", "start_route"), "subject").select("subject", "comp_id", "start_route"))
-        return pairs.join(routes, ["subject", "start_route"], "left").withColumn("full_path", F.coalesce("full_path", F.lit("(unknown)")))
+        return pairs.join(self.route_records, ["subject", "start_route"], "left").withColumn("full_path", F.coalesce("full_path", F.lit("(unknown)")))
 
     @cached_property
     def component_params(self) -> DataFrame:
-        """Parameter names on any start route of a component."""
-        named = self.start_records.select("subject", "comp_id", F.explode(template_params("full_path")).alias("p")).distinct()
-        return named.groupBy("subject", "comp_id").agg(F.collect_set("p").alias("start_params"))
+        """Parameter names on any start route of a component; those of the shell are found once per application."""
+        f = self.f
+        named = self.place_records.select("subject", "comp_id", F.explode(template_params("full_path")).alias("p")).distinct()
+        anywhere = f.starts.select("subject", "start_route").join(self.route_records, ["subject", "start_route"]).select("subject", F.explode(template_params("full_path")).alias("p")).distinct()
+        both = named.unionByName(f.shell.join(anywhere, "subject").select("subject", "comp_id", "p"))
+        return both.groupBy("subject", "comp_id").agg(F.collect_set("p").alias("start_params"))
 
     @cached_property
     def component_gates(self) -> DataFrame:

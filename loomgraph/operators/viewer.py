@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomgraph.functions.scale import cut_lineage
+from loomgraph.functions.scale import Pages, cut_lineage
 
 LABEL_ORDER = ["id", "name", "formcontrolname", "aria-label", "placeholder", "title"]
 
@@ -131,7 +131,6 @@ def filter_results(tests: DataFrame, results: DataFrame, wanted: str) -> DataFra
     return j.where(F.col("state") == wanted)
 
 
-def page_of(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """One page of a sorted result (V11). Offset and limit are part of the plan, nothing is gathered."""
-    return df.orderBy(*order).offset(number * size).limit(size)
-
+def result_page(pages: Pages, number: int, size: int) -> DataFrame:
+    """One page of results that were written in reading order."""
+    return pages.page(number, size).orderBy("__place").drop("__place")

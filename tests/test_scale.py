@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import Window as W, functions as F
 
-from loomgraph.functions.scale import ordinal, reach, span_join
+from loomgraph.functions.scale import FAN, Pages, cover, ordinal, reach, span_join
 from loomgraph.operators.reconcile import greedy_match
 
 
@@ -58,3 +58,35 @@ def test_greedy_match_equals_taking_turns(spark):
     schema = "block string, {} long, handler string, tag string"
     got = greedy_match(spark.createDataFrame(entries, schema.format("entry")), spark.createDataFrame(cands, schema.format("cand")))
     assert {r["entry"]: r["cand"] for r in got.collect()} == taking_turns(entries, cands)
+
+
+def test_cover_is_exact_and_short(spark):
+    random.seed(4)
+    spans = [(a, a + random.choice([0, 1, 5, 70, 5000, 9_000_000])) for a in (random.randrange(10**6) for _ in range(200))]
+    for r in spark.createDataFrame(spans, "a long, b long").withColumn("c", cover(F.col("a"), F.col("b"))).collect():
+        bins = sorted((n.node * FAN ** n.level, (n.node + 1) * FAN ** n.level) for n in r.c)
+        assert bins[0][0] == r.a and bins[-1][1] == r.b + 1 and all(x[1] == y[0] for x, y in zip(bins, bins[1:]))
+        assert r.b - r.a > 10**6 or len(bins) < 50
+
+
+def test_span_join_with_long_and_short_spans(spark):
+    random.seed(5)
+    points = [(random.randrange(2), random.randrange(-200, 100_000), i) for i in range(300)]
+    spans = [(random.randrange(2), s, s + random.choice([0, 3, 40, 900, 60_000]), i) for i, s in enumerate(random.sample(range(-300, 90_000), 60))]
+    got = span_join(spark.createDataFrame(points, "k int, at long, p int"), spark.createDataFrame(spans, "k int, lo long, hi long, s int"), ["k"], "at", "lo", "hi", 8)
+    want = sorted((p[2], s[3]) for p in points for s in spans if p[0] == s[0] and s[1] <= p[1] <= s[2])
+    assert sorted((r["p"], r["s"]) for r in got.collect()) == want
+
+
+def test_pages_read_their_ranges_only(spark):
+    random.seed(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    rows = [(random.randrange(50), f"t{i}") for i in range(3000)]
+    pages = Pages(spark.createDataFrame(rows, "n int, t string").repartition(4), [F.desc("n"), F.asc("t")])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    for number, size in ((0, 25), (2, 25), (119, 25), (1, 1000), (0, 5000), (120, 25), (500, 25)):
+        page = pages.page(number, size)
+        assert [(r.n, r.t) for r in page.orderBy("__place").collect()] == want[number * size:(number + 1) * size]
+    assert len(pages.page(60, 25).inputFiles()) <= 2 < pages.index.count()
+    assert Pages(spark.createDataFrame([], "n int, t string"), [F.asc("n")]).page(0, 10).count() == 0
