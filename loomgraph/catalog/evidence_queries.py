@@ -229,7 +229,7 @@ from (select f.*, w.widget_id, w.tag_name, w.visible_expr, w.enabled_expr, w.ins
 
 
 def residuals(t):
-    return ev.residual_families(ev.residual_evidence(t.failures, t.steps, t.requests, t.health, t.step_targets))
+    return ev.residual_families(ev.residual_evidence(t.failures, t.steps, t.requests, t.health, t.step_targets(t.failures)))
 
 
 @query("E15_residual_families", "test_id:s family:s confidence:s", RESIDUAL)

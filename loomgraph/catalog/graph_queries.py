@@ -34,6 +34,25 @@ def nodes(t):
     return graph(t).nodes
 
 
+def facts(*pairs):
+    return "array_to_string(list_sort(list_filter([" + ", ".join(f"'{k}=' || {v}" for k, v in pairs) + "], lambda x: x is not null)), ';')"
+
+
+@query("G1_node_facts", "subject:s node_id:s file:s facts:s", f"""
+select subject, module_id as node_id, split_part(module_id, '#', 1) as file, {facts(('name', 'name'), ('isStandaloneRoot', "'false'"))} as facts from v_module
+union all select r.subject, r.route_id, split_part(r.module_id, '#', 1), {facts(('fullPath', 'full_path'), ('path', 'path'), ('isTopLevel', '(parent_id is null)'), ('isEntry', '(e.route_id is not null)'),
+  ('isWildcard', "(route_type = 'WildcardRoute')"), ('params', "array_to_string(params, ',')"), ('guards', "array_to_string(guards, ',')"), ('roles', "array_to_string(roles, ',')"), ('redirectTo', 'redirect_to'), ('routeType', 'route_type'))}
+  from v_route r left join v_entry e on e.subject = r.subject and e.route_id = r.route_id
+union all select subject, comp_id, split_part(comp_id, '#', 1), {facts(('name', 'class_name'), ('selector', 'selector'))} from v_component
+union all select subject, widget_id, split_part(comp_id, '#', 1), {facts(('widgetKind', 'kind'), ('tagName', 'tag_name'), ('componentId', 'comp_id'), ('parentId', 'parent_id'), ('text', 'text'))} from v_widget
+union all select subject, svc_id, file, {facts(('name', 'name'), ('providedIn', 'provided_in'))} from v_service
+union all select e.subject, e.to_id, arg_min(b.file, b.seq), 'url=' || arg_min(b.value, b.seq) from v_edge e join v_binding b on b.widget_id = e.from_id and b.seq = e.seq
+  where e.kind = 'WIDGET_NAVIGATES_EXTERNAL' and b.name = 'href' group by e.subject, e.to_id""")
+def node_facts(t):
+    pairs = F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return graph(t).nodes.select("subject", "node_id", F.col("refs")[0]["file"].alias("file"), F.array_join(pairs, ";").alias("facts"))
+
+
 @query("G2_external_nodes", "subject:s node_id:s url:s", "select subject, node_id, label as url from v_node where kind = 'External'")
 def externals(t):
     return graph(t).externals
@@ -201,13 +220,16 @@ def atoms(t):
 
 @query("G25_violations", "subject:s rule:s n:i", """
 select subject, 'missing_target' as rule, count(*) as n from v_binding where name = 'href' group by all
-union all select subject, 'duplicate_node', count(*) from v_component group by all""")
+union all select subject, 'duplicate_node', count(*) from v_component group by all union all select subject, 'node_without_refs', count(*) from v_service group by all
+union all select subject, 'edge_without_refs', count(*) from v_edge where kind = 'ROUTE_HAS_CHILD' group by all""")
 def violations(t):
-    """A damaged graph: outer nodes are left out and components are listed twice."""
+    """A damaged graph: outer nodes are left out, components are listed twice, services and child routes lose their evidence."""
     g = graph(t)
-    damaged = union_all([g.nodes.where("kind <> 'External'"), g.nodes.where("kind = 'Component'")])
-    return gr.violations(damaged, g.of_kind("WIDGET_NAVIGATES_EXTERNAL", "ROUTE_HAS_CHILD", "ROUTE_REDIRECTS_TO_ROUTE")).groupBy("subject", "rule").agg(
-        F.count(F.lit(1)).alias("n"))
+    some = g.nodes.withColumn("n_refs", F.when(F.col("kind") == "Service", 0).otherwise(F.col("n_refs")))
+    damaged = union_all([some.where("kind <> 'External'"), some.where("kind = 'Component'")])
+    edges = g.of_kind("WIDGET_NAVIGATES_EXTERNAL", "ROUTE_HAS_CHILD", "ROUTE_REDIRECTS_TO_ROUTE")
+    edges = edges.withColumn("refs", F.when(F.col("kind") == "ROUTE_HAS_CHILD", F.array().cast(edges.schema["refs"].dataType)).otherwise(F.col("refs")))
+    return gr.violations(damaged, edges).groupBy("subject", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("G25_sound_graph", "subject:s n_edges:i n_violations:i", "select subject, count(*) as n_edges, 0 as n_violations from v_edge group by all")

@@ -117,14 +117,18 @@ def summary(t):
 
 
 def blocks(t):
-    """Entries: events in which handlers were renamed now and then; candidates: workflows of the same component and kind."""
-    w = flow(t).workflows.where("effect_group is not null").select(
-        F.concat_ws("|", "comp_id", "trigger_kind").alias("block"), "workflow_id", F.split_part("effect_group", F.lit("::"), F.lit(-1)).alias("handler"),
-        F.split_part("widget_id", F.lit("|"), F.lit(3)).alias("tag"), F.xxhash64("workflow_id").alias("h"))
-    cands = w.select("block", (F.abs(F.col("h")) % (1 << 40)).alias("cand"), "handler", "tag")
-    entries = w.select(
-        "block", (F.abs(F.xxhash64(F.reverse("workflow_id"))) % (1 << 40)).alias("entry"), F.when(F.col("h") % 101 == 0, "other").otherwise(F.col("handler")).alias("handler"),
-        F.when(F.col("h") % 53 == 0, "Link").otherwise(F.col("tag")).alias("tag"))
+    """Entries: events of buttons, links and forms, some under a former handler or tag; candidates: workflows of the same component and kind.
+
+    Events whose handler only logs are entries without a workflow; workflows of other widgets have no entry.
+    """
+    number = lambda *c: F.abs(F.xxhash64(*c)) % (1 << 40)
+    w = flow(t).workflows.where("effect_group is not null")
+    cands = w.select(F.concat_ws("|", "comp_id", "trigger_kind").alias("block"), number("workflow_id").alias("cand"),
+                     F.split_part("effect_group", F.lit("::"), F.lit(-1)).alias("handler"), F.split_part("widget_id", F.lit("|"), F.lit(3)).alias("tag"))
+    kind = F.when((F.col("event_type") == "submit") & (F.col("kind") == "Form"), "WIDGET_SUBMITS_FORM").otherwise("WIDGET_TRIGGERS_HANDLER")
+    e = t.events.where("kind in ('Button', 'Link', 'Form')").withColumn("h", F.xxhash64("widget_id", "handler", "seq"))
+    entries = e.select(F.concat_ws("|", "comp_id", kind).alias("block"), number(F.lit("entry"), "widget_id", "handler", "seq").alias("entry"),
+                       F.when(F.col("h") % 101 == 0, "other").otherwise(F.col("handler")).alias("handler"), F.when(F.col("h") % 53 == 0, "Link").otherwise(F.col("kind")).alias("tag"))
     return entries, cands
 
 

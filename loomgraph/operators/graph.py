@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions import fixed
-from loomgraph.functions.scalar import external_id, path_params
+from loomgraph.functions.scalar import external_id, non_empty, path_params
 from loomgraph.functions.scale import cut_lineage, first_by, ordinal, reach
 from loomgraph.operators.handlers import call_contexts, diagnostic_handlers
 from loomgraph.operators.resolve import is_external, resolve_links, resolve_programmatic
@@ -56,7 +56,7 @@ def with_ids(edges: DataFrame, unique: bool) -> DataFrame:
 
 def edge_guard(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose source exists and whose target is empty or exists."""
-    ids = nodes.select("subject", "node_id").distinct()
+    ids = nodes.select("subject", "node_id")
     kept = edges.join(ids.withColumnRenamed("node_id", "from_id"), ["subject", "from_id"], "left_semi")
     with_to = kept.where("to_id is not null").join(
         ids.withColumnRenamed("node_id", "to_id"), ["subject", "to_id"], "left_semi")
@@ -69,6 +69,12 @@ def ref(file, start=None, stop=None) -> Column:
                             (zero if stop is None else stop).alias("stop")))
 
 
+def ref_of(file: Column) -> Column:
+    """Evidence that is a whole file."""
+    zero = F.lit(0).cast("bigint")
+    return F.array(F.struct(file.alias("file"), zero.alias("start"), zero.alias("end")))
+
+
 def atom(kind: str, *args: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), F.array(*[a.cast("string") for a in args]).alias("args"))
 
@@ -102,6 +108,7 @@ def first_by_name(df: DataFrame, name: Column, ident: str) -> DataFrame:
     return df.groupBy("subject", name.alias("name")).agg(F.min(ident).alias(ident))
 
 
+STANDALONE_ROOT = "__standalone_root__"
 UI_COLUMNS = ["visible_literal", "visible_expr", "enabled_literal", "enabled_expr", "required_literal", "required_expr",
               "min_length", "max_length", "min_value", "max_value", "pattern"]
 
@@ -146,17 +153,51 @@ class Graph:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        """Union of the six node kinds (G1)."""
-        def node(df, kind, ident, label):
-            return df.select("subject", F.col(ident).alias("node_id"), F.lit(kind).alias("kind"),
-                             F.col(label).alias("label"), F.lit(1).alias("n_refs"))
+        """Union of the six node kinds with their evidence and what is known of them (G1).
+
+        `meta` maps names to text; lists are joined by commas. A node without a known file has no evidence.
+        """
+        def node(df, kind, ident, label, file=None, **meta):
+            where = F.split_part(F.col(ident), F.lit("#"), F.lit(1)) if file is None else F.col(file)
+            pairs = [x for k, v in meta.items() for x in (F.lit(k), (F.col(v) if isinstance(v, str) else v).cast("string"))]
+            known = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+            return df.select("subject", F.col(ident).alias("node_id"), F.lit(kind).alias("kind"), F.col(label).alias("label"), known.alias("meta"),
+                             F.filter(ref_of(where), lambda r: non_empty(r["file"])).alias("refs"))
         t = self.t
-        widgets = t.widgets.withColumn("label", F.concat(F.col("kind"), F.lit("("), F.col("tag_name"), F.lit(")")))
-        return union_all([
-            node(t.modules, "Module", "module_id", "name"), node(t.routes, "Route", "route_id", "full_path"),
-            node(t.components, "Component", "comp_id", "class_name"), node(widgets, "Widget", "widget_id", "label"),
-            node(first_by(t.services, ["subject", "svc_id"], [F.col("j")], ["name"]), "Service", "svc_id", "name"),
-            node(self.externals, "External", "node_id", "url")])
+        widgets = t.widgets.withColumns({"label": F.concat(F.col("kind"), F.lit("("), F.col("tag_name"), F.lit(")")), "file": F.split_part("comp_id", F.lit("#"), F.lit(1))})
+        entry = self.entry_routes.select("subject", "route_id").distinct().withColumn("entry", F.lit(True))
+        routes = t.routes.join(entry, ["subject", "route_id"], "left").withColumn("file", F.split_part("module_id", F.lit("#"), F.lit(1)))
+        text = lambda c: F.array_join(c, ",")
+        outer = self.externals.join(self._first_links, ["subject", "node_id"])
+        rows = union_all([
+            node(t.modules, "Module", "module_id", "name", name="name", isStandaloneRoot=F.lit(False)),
+            node(routes, "Route", "route_id", "full_path", "file", fullPath="full_path", path="path", isTopLevel=F.col("parent_id").isNull(), isEntry=F.coalesce("entry", F.lit(False)),
+                 isWildcard=F.col("route_type") == "WildcardRoute", params=text(path_params("full_path")), guards=text("guards"), roles=text("roles"), redirectTo="redirect_to", routeType="route_type"),
+            node(t.components, "Component", "comp_id", "class_name", name="class_name", selector="selector"),
+            node(widgets, "Widget", "widget_id", "label", "file", widgetKind="kind", tagName="tag_name", componentId="comp_id", parentId="parent_id", text="text"),
+            node(first_by(t.services, ["subject", "svc_id"], [F.col("j")], ["name", "provided_in", "file"]), "Service", "svc_id", "name", "file", name="name", providedIn="provided_in"),
+            node(self.standalone_roots.withColumn("file", F.lit("main.ts")), "Module", "module_id", "module_id", "file", name="module_id", isStandaloneRoot=F.lit(True)),
+            node(outer, "External", "node_id", "url", "file", url="url")])
+        return rows.withColumn("n_refs", F.size("refs"))
+
+    @cached_property
+    def node_ids(self) -> DataFrame:
+        """(subject, node_id) of all nodes, without what is known of them."""
+        t = self.t
+        parts = [(t.modules, "module_id"), (t.routes, "route_id"), (t.components, "comp_id"), (t.widgets, "widget_id"), (t.services, "svc_id"), (self.standalone_roots, "module_id"), (self.externals, "node_id")]
+        return cut_lineage(union_all([df.select("subject", F.col(c).alias("node_id")) for df, c in parts]).distinct())
+
+    @cached_property
+    def _first_links(self) -> DataFrame:
+        """File of the first link to an outer url."""
+        urls = self.t.bindings.where((F.lower("name") == "href") & is_external("value"))
+        return first_by(urls.withColumn("node_id", external_id("value")), ["subject", "node_id"], [F.col("seq")], ["file"])
+
+    @cached_property
+    def standalone_roots(self) -> DataFrame:
+        """A made-up module for every application that has services for the root but no module at all."""
+        return (self.t.services.where("provided_in = 'root'").select("subject").distinct()
+                .join(self.t.modules.select("subject").distinct(), "subject", "left_anti").withColumn("module_id", F.lit(STANDALONE_ROOT)))
 
     # ---- structural edges --------------------------------------------------------
 
@@ -217,9 +258,10 @@ class Graph:
 
     @cached_property
     def root_module(self) -> DataFrame:
-        """The module services of the whole application hang on: the only AppModule."""
-        return (self.t.modules.where("name = 'AppModule'").groupBy("subject")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("module_id").alias("module_id")).where("c = 1").drop("c"))
+        """The module services of the whole application hang on: the only AppModule, or the made-up root."""
+        own = (self.t.modules.where("name = 'AppModule'").groupBy("subject")
+               .agg(F.count(F.lit(1)).alias("c"), F.min("module_id").alias("module_id")).where("c = 1").drop("c"))
+        return own.unionByName(self.standalone_roots)
 
     @cached_property
     def _provides(self) -> DataFrame:
@@ -345,17 +387,23 @@ class Graph:
         return with_ids(union_all([self._calls_service, self._component_navigates]), False)
 
     def of_kind(self, *kinds: str) -> DataFrame:
-        return self.edges.where(F.col("kind").isin(*kinds))
+        """Edges of some kinds; the others aren't made."""
+        return edge_guard(self._made.where(F.col("kind").isin(*kinds)), self.node_ids)
 
     @cached_property
-    def edges(self) -> DataFrame:
-        """All edges. Every branch has its kind as a literal, so a filter on kind drops the other branches."""
+    def _made(self) -> DataFrame:
+        """Edges as they are made. Every branch has its kind as a literal, so a filter on kind drops the other branches."""
         several = with_ids(union_all([
             self._declares_component, self._composes, self._provides, self._navigates_route, self._navigates_external,
             self._triggers, self._calls_service, self._component_navigates]), False)
         return union_all([self.declares_route, self.has_child, self.activates, self.contains_widget,
                           self.widget_contains, self.module_links, self.redirect_edges, several])
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        """All edges between nodes that exist (G4), written once: many consumers read them in part."""
+        return cut_lineage(edge_guard(self._made, self.node_ids))
+
     @cached_property
     def gates(self) -> DataFrame:
         """Conditions inherited along composition: (component, gate) pairs."""
@@ -383,19 +431,34 @@ def kind_histogram(rows: DataFrame) -> DataFrame:
     return rows.groupBy("subject", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every broken rule of a graph, one row each."""
+def violations(nodes: DataFrame, edges: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Every broken rule of a graph, one row each.
+
+    Where nodes or edges have `pos`, the place they were stored at, their order is checked; `stats` are the counts
+    a graph claims (n_nodes, n_edges, n_structural, n_executable per subject).
+    """
     ids = nodes.select("subject", "node_id").distinct()
     twice = nodes.groupBy("subject", "node_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     def rows(df, rule, ident):
         return df.select("subject", F.lit(rule).alias("rule"), F.col(ident).alias("item"))
     no_from = edges.join(ids.withColumnRenamed("node_id", "from_id"), ["subject", "from_id"], "left_anti")
     no_to = edges.where("to_id is not null").join(ids.withColumnRenamed("node_id", "to_id"), ["subject", "to_id"], "left_anti")
-    return union_all([
+    found = [
         rows(twice, "duplicate_node", "node_id"), rows(no_from, "missing_source", "edge_id"), rows(no_to, "missing_target", "edge_id"),
         rows(nodes.where("n_refs = 0"), "node_without_refs", "node_id"), rows(edges.where("size(refs) = 0"), "edge_without_refs", "edge_id"),
         rows(edges.where("has_target and target_route_id is null and to_id is not null"), "target_missing_but_to_set", "edge_id"),
-        rows(edges.where("has_target and target_route_id is not null and to_id is null"), "target_set_but_to_missing", "edge_id")])
+        rows(edges.where("has_target and target_route_id is not null and to_id is null"), "target_set_but_to_missing", "edge_id")]
+    if "pos" in nodes.columns:
+        found.append(rows(out_of_order(nodes, F.struct("node_id"), "node_id"), "node_out_of_order", "node_id"))
+    if "pos" in edges.columns:
+        found.append(rows(out_of_order(edges), "edge_out_of_order", "edge_id"))
+    if stats is not None:
+        counted = ["n_nodes", "n_edges", "n_structural", "n_executable"]
+        claimed = stats.select("subject", *[F.col(c).alias(f"x_{c}") for c in counted])
+        j = claimed.join(graph_stats(nodes, edges), "subject", "full_outer")
+        wrong = F.array_compact(F.array(*[F.when(~F.col(f"x_{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in counted]))
+        found.append(rows(j.select("subject", F.explode(wrong).alias("figure")), "wrong_figure", "figure"))
+    return union_all(found)
 
 
 def effect_violations(edges: DataFrame) -> DataFrame:
@@ -413,12 +476,12 @@ def canonical_order(edges: DataFrame) -> DataFrame:
     return edges.orderBy("subject", "from_id", "kind", F.coalesce("to_id", F.lit("")), "edge_id")
 
 
-def out_of_order(edges: DataFrame) -> DataFrame:
-    """Edges of a stored order that stand behind a greater one.
+def out_of_order(rows: DataFrame, key: Column | None = None, ident: str = "edge_id") -> DataFrame:
+    """Rows of a stored order that stand behind a greater one; edges go by source, kind, target and id.
 
     `pos` is the stored place. The compare needs the previous row only: an equi join on pos + 1.
     """
-    key = F.struct("from_id", "kind", F.coalesce("to_id", F.lit("")), "edge_id")
-    a = edges.select("subject", "pos", key.alias("k"), "edge_id")
-    b = edges.select("subject", (F.col("pos") + 1).alias("pos"), key.alias("prev"))
-    return a.join(b, ["subject", "pos"]).where("prev > k").select("subject", "edge_id")
+    key = F.struct("from_id", "kind", F.coalesce("to_id", F.lit("")), "edge_id") if key is None else key
+    a = rows.select("subject", "pos", key.alias("k"), ident)
+    b = rows.select("subject", (F.col("pos") + 1).alias("pos"), key.alias("prev"))
+    return a.join(b, ["subject", "pos"]).where("prev > k").select("subject", ident)

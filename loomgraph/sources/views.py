@@ -307,13 +307,14 @@ class Tables:
             "'c' || (user_id % 7) as subject", "cast(ts as timestamp) as ts",
             "case when event_type = 'error' then case when value < 10 then 'port' else 'identity' end end as problem")
 
-    @cached_property
-    def step_targets(self) -> DataFrame:
-        """What the registries say of the widget a step acts on: turn n of conversation c acts on line n of order c."""
-        line = self.lines.selectExpr("cast(l_orderkey as string) as test_id", "cast(l_linenumber as bigint) as pos", "subject as app", "comp_id", "widget_id", "handler", "l_returnflag", "l_linestatus", "p", "k")
-        line = first_by(line, ["test_id", "pos"], ["p", "k", "l_returnflag", "l_linestatus"], ["app", "comp_id", "widget_id", "handler", "l_returnflag", "l_linestatus"])
-        calls = self.calls.groupBy("comp_id", "handler").agg(F.bool_or(F.col("expr") == "this.router.navigate").alias("goes"), F.bool_or(F.col("expr") == "this.dialog.open").alias("opens"))
-        ui = self.widgets.selectExpr("widget_id", "selector", "tag_name", "visible_expr", "enabled_expr", "inside_ng_for", "attributes['class'] as class")
+    def step_targets(self, steps: DataFrame) -> DataFrame:
+        """What the registries say of the widgets some steps (test_id, pos) act on: turn n of conversation c acts on line n of order c."""
+        tests = steps.select("test_id").distinct()
+        lines = self.lines.withColumn("test_id", F.col("l_orderkey").cast("string")).join(tests, "test_id", "left_semi")
+        every = lines.selectExpr("test_id", "cast(l_linenumber as bigint) as pos", "subject as app", "comp_id", "widget_id", "handler", "l_returnflag", "l_linestatus", "p", "k")
+        line = first_by(every.join(steps.select("test_id", "pos").distinct(), ["test_id", "pos"], "left_semi"), ["test_id", "pos"], ["p", "k", "l_returnflag", "l_linestatus"], ["app", "comp_id", "widget_id", "handler", "l_returnflag", "l_linestatus"])
+        calls = self.calls.join(line.select("comp_id", "handler").distinct(), ["comp_id", "handler"], "left_semi").groupBy("comp_id", "handler").agg(F.bool_or(F.col("expr") == "this.router.navigate").alias("goes"), F.bool_or(F.col("expr") == "this.dialog.open").alias("opens"))
+        ui = self.widgets.join(line.select("widget_id").distinct(), "widget_id", "left_semi").selectExpr("widget_id", "selector", "tag_name", "visible_expr", "enabled_expr", "inside_ng_for", "attributes['class'] as class")
         bound = self.param_values.selectExpr("subject", "template", "param")
         asked = self.routes.where("comp_id <> '__unknown__'").selectExpr("subject", "full_path", "comp_id", "explode_outer(filter(split(full_path, '/'), x -> x like ':%')) as part").selectExpr("subject", "full_path", "comp_id", "substr(part, 2) as param")
         given = asked.join(bound.where("template is null").select("subject", "param").distinct().withColumn("g", F.lit(True)), ["subject", "param"], "left").join(
@@ -324,7 +325,7 @@ class Tables:
                  .join(composed.withColumnRenamed("subject", "app"), ["app", "selector"], "left"))
         href = "(l_returnflag = 'N' and l_linestatus = 'F')"
         logged_in = self.logins.select(F.col("subject").alias("app")).distinct().withColumn("has_login", F.lit(True))
-        apps = line.groupBy("test_id").agg(F.min_by("app", "pos").alias("app")).join(logged_in, "app", "left").select("test_id", F.lit(0).cast("bigint").alias("pos"), "has_login")
+        apps = every.groupBy("test_id").agg(F.min_by("app", F.struct("pos", "p", "k")).alias("app")).join(logged_in, "app", "left").select("test_id", F.lit(0).cast("bigint").alias("pos"), "has_login")
         return facts.selectExpr(
             "test_id", "pos", "cast(null as boolean) as has_login", "param_unbound", f"{href} as external", f"l_returnflag = 'R' or {href} or coalesce(goes, false) as navigates", "has_param",
             "opens or selector like '%-dialog' as dialog", "visible_expr like '%:%' as async_gate", "inside_ng_for is not null as repeater",

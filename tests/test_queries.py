@@ -1,7 +1,5 @@
 """A part of the named queries next to their check SQL on the smallest tables."""
 
-from types import SimpleNamespace
-
 import duckdb
 import pytest
 
@@ -47,9 +45,16 @@ def test_unmet_guards_ask_all_accounts(spark):
     assert sorted(map(tuple, checks.unmet_guards(w, accounts).collect())) == [("a", "RoleGuard")]
 
 
-def test_every_workflow_with_an_effect_is_an_entry(spark, monkeypatch):
-    rows = [("c1", "WTH", f"w{k}", "g::save", f"a|b|Button|{k}") for k in range(60)]
-    made = spark.createDataFrame(rows, "comp_id string, trigger_kind string, workflow_id string, effect_group string, widget_id string")
-    monkeypatch.setattr(reconcile_queries, "flow", lambda t: SimpleNamespace(workflows=made))
-    entries, cands = reconcile_queries.blocks(None)
-    assert entries.select("entry").distinct().count() == cands.select("cand").distinct().count() == len(rows)
+def test_missing_and_spurious_both_occur(spark):
+    """Entries come from the events, so what only logs is missing and what no reader lists is spurious."""
+    t = Tables(spark, FOLDER)
+    entries, cands = (df.cache() for df in reconcile_queries.blocks(t))
+    got = {}
+    for r in entry.queries()["T6_missing_and_spurious"](spark, FOLDER).collect():
+        got.setdefault(r.what, set()).add((r.block, r["item"]))
+    assert len(got["missing"]) > 10 and len(got["spurious"]) > 10
+    matched = entries.count() - len(got["missing"])
+    assert matched == cands.count() - len(got["spurious"]) > 0
+    per_block = {r.block: (r.n, r.m) for r in entries.groupBy("block").count().withColumnRenamed("count", "n").join(cands.groupBy("block").count().withColumnRenamed("count", "m"), "block", "full").na.fill(0).collect()}
+    for block, (n, m) in per_block.items():  # a block is matched as far as its smaller side goes
+        assert sum(b == block for b, _ in got["missing"]) == max(n - m, 0) and sum(b == block for b, _ in got["spurious"]) == max(m - n, 0)
