@@ -628,3 +628,24 @@ select subject, from_id, to_id from v_edge where kind in ('COMPONENT_COMPOSES_CO
 where kind in ('COMPONENT_COMPOSES_COMPONENT', 'ROUTE_ACTIVATES_COMPONENT', 'MODULE_DECLARES_COMPONENT')"""
 VIEWS["v_near"] = """
 select subject, comp_id as node_id, 0 as hop from v_component where r = 7 union select n.subject, e.to_id, n.hop + 1 from v_near n join v_near_edge e on e.subject = n.subject and e.from_id = n.node_id where n.hop < 2"""
+
+# ---- matching by turns ---------------------------------------------------------------------------
+
+NUMBER = "('0x' || md5({})[1:10])::bigint"
+VIEWS["v_rcand"] = f"""
+select comp_id || '|' || trigger_kind as block, {NUMBER.format('workflow_id')} as cand, split_part(effect_group, '::', -1) as handler, split_part(widget_id, '|', 3) as tag
+from v_workflow where effect_group is not null"""
+VIEWS["v_rentry"] = f"""
+select block, entry, case when h % 101 = 0 then 'other' else handler end as handler, case when h % 53 = 0 then 'Link' else kind end as tag, row_number() over (partition by block order by entry) as n from (
+  select *, comp_id || '|' || case when event_type = 'submit' and kind = 'Form' then 'WIDGET_SUBMITS_FORM' else 'WIDGET_TRIGGERS_HANDLER' end as block,
+    {NUMBER.format("widget_id || '~' || handler || '~' || seq")} as h, {NUMBER.format("'entry~' || widget_id || '~' || handler || '~' || seq")} as entry
+  from v_event where kind in ('Button', 'Link', 'Form'))"""
+# one turn of every block per step; the row carries the candidates that are still free
+VIEWS["v_turn"] = """
+select block, 0::bigint as n, null::bigint as entry, null::bigint as cand, free from (select distinct block from v_rentry)
+  left join (select block, list({'cand': cand, 'handler': handler, 'tag': tag}) as free from v_rcand group by block) using (block)
+union all
+select block, n, entry, best % 2199023255552, list_filter(free, lambda x: best is null or x.cand <> best % 2199023255552) from (
+  select t.block, e.n, e.entry, t.free, list_min(list_transform(t.free, lambda x: x.cand
+    + case when x.handler = e.handler and x.tag = e.tag then 0 when x.handler = e.handler then 1 when x.tag = e.tag then 2 else 3 end * 2199023255552)) as best
+  from v_turn t join v_rentry e on e.block = t.block and e.n = t.n + 1)"""

@@ -121,23 +121,25 @@ def blocks(t):
 
     Events whose handler only logs are entries without a workflow; workflows of other widgets have no entry.
     """
-    number = lambda *c: F.abs(F.xxhash64(*c)) % (1 << 40)
+    number = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("~", *c)), 1, 10), 16, 10).cast("long")
     w = flow(t).workflows.where("effect_group is not null")
     cands = w.select(F.concat_ws("|", "comp_id", "trigger_kind").alias("block"), number("workflow_id").alias("cand"),
                      F.split_part("effect_group", F.lit("::"), F.lit(-1)).alias("handler"), F.split_part("widget_id", F.lit("|"), F.lit(3)).alias("tag"))
     kind = F.when((F.col("event_type") == "submit") & (F.col("kind") == "Form"), "WIDGET_SUBMITS_FORM").otherwise("WIDGET_TRIGGERS_HANDLER")
-    e = t.events.where("kind in ('Button', 'Link', 'Form')").withColumn("h", F.xxhash64("widget_id", "handler", "seq"))
+    e = t.events.where("kind in ('Button', 'Link', 'Form')").withColumn("h", number("widget_id", "handler", "seq"))
     entries = e.select(F.concat_ws("|", "comp_id", kind).alias("block"), number(F.lit("entry"), "widget_id", "handler", "seq").alias("entry"),
                        F.when(F.col("h") % 101 == 0, "other").otherwise(F.col("handler")).alias("handler"), F.when(F.col("h") % 53 == 0, "Link").otherwise(F.col("kind")).alias("tag"))
     return entries, cands
 
 
-@query("T5_greedy_match", "block:s entry:i cand:i")
+@query("T5_greedy_match", "block:s entry:i cand:i", "select block, entry, cand from v_turn where cand is not null")
 def greedy(t):
     return rc.greedy_match(*blocks(t))
 
 
-@query("T6_missing_and_spurious", "block:s what:s item:i")
+@query("T6_missing_and_spurious", "block:s what:s item:i", """
+select block, 'missing' as what, entry as item from v_rentry e where not exists (select 1 from v_turn t where t.block = e.block and t.entry = e.entry and t.cand is not null)
+union all select block, 'spurious', cand from v_rcand c where not exists (select 1 from v_turn t where t.block = c.block and t.cand = c.cand)""")
 def missing(t):
     e, c = blocks(t)
     return rc.missing_and_spurious(e, c, rc.greedy_match(e, c))

@@ -30,7 +30,7 @@ SQL_CAST = {
 }
 
 
-READ_OFTEN = ("v_edge", "v_atom")
+READ_OFTEN = ("v_edge", "v_atom", "v_rentry", "v_rcand")
 
 
 def needed_views(sql: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomgraph.functions.scalar import any_contains, percent1, ratio
-from loomgraph.functions.scale import last_before, span_join
+from loomgraph.functions.scale import cut_lineage, last_before, span_join
 from loomgraph.sources.views import union_all
 
 
@@ -223,11 +223,11 @@ def residual_evidence(failures: DataFrame, steps: DataFrame, requests: DataFrame
       the graph knows no widget for the step.
     A flag without a source is false.
     """
-    timed = failures.join(steps.select("test_id", "pos", F.unix_micros("ts_start").alias("__from"), F.unix_micros("ts_end").alias("__to")), ["test_id", "pos"])
+    timed = cut_lineage(failures.join(steps.select("test_id", "pos", F.unix_micros("ts_start").alias("__from"), F.unix_micros("ts_end").alias("__to")), ["test_id", "pos"]))
     asked = requests.select("test_id", "req", "status", F.unix_micros("ts").alias("__ts"))
     checks = health.select("subject", "problem", F.unix_micros("ts").alias("__ts"))
-    e = last_before(timed, asked, ["test_id"], "__to", "__ts", ["req", "status"], "__response", hour)
-    e = last_before(e, checks, ["subject"], "__from", "__ts", ["problem"], "__check", hour)
+    e = cut_lineage(last_before(timed, asked, ["test_id"], "__to", "__ts", ["req", "status"], "__response", hour))
+    e = cut_lineage(last_before(e, checks, ["subject"], "__from", "__ts", ["problem"], "__check", hour))
     own = attribute_requests(requests, steps).where("inside").select("test_id", "pos").distinct().withColumn("has_requests", F.lit(True))
     refused = asked.where("status >= 400").groupBy("test_id").agg(F.min("__ts").alias("__refused"))
     known = targets.withColumn("__known", F.lit(True))

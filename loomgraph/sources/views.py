@@ -7,7 +7,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loomgraph.functions import fixed
-from loomgraph.functions.scale import first_by
+from loomgraph.functions.scale import cut_lineage, first_by
 from loomgraph.sources import fixture as fx
 
 
@@ -311,10 +311,11 @@ class Tables:
         """What the registries say of the widgets some steps (test_id, pos) act on: turn n of conversation c acts on line n of order c."""
         tests = steps.select("test_id").distinct()
         lines = self.lines.withColumn("test_id", F.col("l_orderkey").cast("string")).join(tests, "test_id", "left_semi")
-        every = lines.selectExpr("test_id", "cast(l_linenumber as bigint) as pos", "subject as app", "comp_id", "widget_id", "handler", "l_returnflag", "l_linestatus", "p", "k")
+        every = cut_lineage(lines.selectExpr("test_id", "cast(l_linenumber as bigint) as pos", "subject as app", "comp_id", "widget_id", "handler", "l_returnflag", "l_linestatus", "p", "k"))
         line = first_by(every.join(steps.select("test_id", "pos").distinct(), ["test_id", "pos"], "left_semi"), ["test_id", "pos"], ["p", "k", "l_returnflag", "l_linestatus"], ["app", "comp_id", "widget_id", "handler", "l_returnflag", "l_linestatus"])
         calls = self.calls.join(line.select("comp_id", "handler").distinct(), ["comp_id", "handler"], "left_semi").groupBy("comp_id", "handler").agg(F.bool_or(F.col("expr") == "this.router.navigate").alias("goes"), F.bool_or(F.col("expr") == "this.dialog.open").alias("opens"))
         ui = self.widgets.join(line.select("widget_id").distinct(), "widget_id", "left_semi").selectExpr("widget_id", "selector", "tag_name", "visible_expr", "enabled_expr", "inside_ng_for", "attributes['class'] as class")
+        ui = cut_lineage(ui)
         bound = self.param_values.selectExpr("subject", "template", "param")
         asked = self.routes.where("comp_id <> '__unknown__'").selectExpr("subject", "full_path", "comp_id", "explode_outer(filter(split(full_path, '/'), x -> x like ':%')) as part").selectExpr("subject", "full_path", "comp_id", "substr(part, 2) as param")
         given = asked.join(bound.where("template is null").select("subject", "param").distinct().withColumn("g", F.lit(True)), ["subject", "param"], "left").join(
