@@ -637,9 +637,10 @@ select comp_id || '|' || trigger_kind as block, {NUMBER.format('workflow_id')} a
 from v_workflow where effect_group is not null"""
 VIEWS["v_rentry"] = f"""
 select block, entry, case when h % 101 = 0 then 'other' else handler end as handler, case when h % 53 = 0 then 'Link' else kind end as tag, row_number() over (partition by block order by entry) as n from (
-  select *, comp_id || '|' || case when event_type = 'submit' and kind = 'Form' then 'WIDGET_SUBMITS_FORM' else 'WIDGET_TRIGGERS_HANDLER' end as block,
+  select *, comp_id || '|' || case when event_type = 'link' then 'WIDGET_NAVIGATES_ROUTE' when event_type = 'submit' and kind = 'Form' then 'WIDGET_SUBMITS_FORM' else 'WIDGET_TRIGGERS_HANDLER' end as block,
     {NUMBER.format("widget_id || '~' || handler || '~' || seq")} as h, {NUMBER.format("'entry~' || widget_id || '~' || handler || '~' || seq")} as entry
-  from v_event where kind in ('Button', 'Link', 'Form'))"""
+  from (select comp_id, widget_id, handler, seq, kind, event_type from v_event where kind in ('Button', 'Link', 'Form')
+    union all select comp_id, widget_id, 'routerLink', seq, 'Link', 'link' from v_binding where name = 'routerLink' and split_part(widget_id, '|', 3) = 'Link'))"""
 # one turn of every block per step; the row carries the candidates that are still free
 VIEWS["v_turn"] = """
 select block, 0::bigint as n, null::bigint as entry, null::bigint as cand, free from (select distinct block from v_rentry)

@@ -117,16 +117,19 @@ def summary(t):
 
 
 def blocks(t):
-    """Entries: events of buttons, links and forms, some under a former handler or tag; candidates: workflows of the same component and kind.
+    """Entries: events of buttons, links and forms, some under a former handler or tag, and inner links; candidates: workflows with effects of the same component and kind.
 
-    Events whose handler only logs are entries without a workflow; workflows of other widgets have no entry.
+    Inner links are entries without such a workflow; workflows of other widgets have no entry.
     """
     number = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("~", *c)), 1, 10), 16, 10).cast("long")
     w = flow(t).workflows.where("effect_group is not null")
     cands = w.select(F.concat_ws("|", "comp_id", "trigger_kind").alias("block"), number("workflow_id").alias("cand"),
                      F.split_part("effect_group", F.lit("::"), F.lit(-1)).alias("handler"), F.split_part("widget_id", F.lit("|"), F.lit(3)).alias("tag"))
-    kind = F.when((F.col("event_type") == "submit") & (F.col("kind") == "Form"), "WIDGET_SUBMITS_FORM").otherwise("WIDGET_TRIGGERS_HANDLER")
-    e = t.events.where("kind in ('Button', 'Link', 'Form')").withColumn("h", number("widget_id", "handler", "seq"))
+    kind = (F.when(F.col("event_type") == "link", "WIDGET_NAVIGATES_ROUTE").when((F.col("event_type") == "submit") & (F.col("kind") == "Form"), "WIDGET_SUBMITS_FORM")
+            .otherwise("WIDGET_TRIGGERS_HANDLER"))
+    links = t.bindings.where("name = 'routerLink'").selectExpr("comp_id", "widget_id", "'routerLink' as handler", "seq", "split_part(widget_id, '|', 3) as kind", "'link' as event_type").where("kind = 'Link'")
+    listed = t.events.where("kind in ('Button', 'Link', 'Form')").select(*links.columns)
+    e = listed.unionByName(links).withColumn("h", number("widget_id", "handler", "seq"))
     entries = e.select(F.concat_ws("|", "comp_id", kind).alias("block"), number(F.lit("entry"), "widget_id", "handler", "seq").alias("entry"),
                        F.when(F.col("h") % 101 == 0, "other").otherwise(F.col("handler")).alias("handler"), F.when(F.col("h") % 53 == 0, "Link").otherwise(F.col("kind")).alias("tag"))
     return entries, cands
