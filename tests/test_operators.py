@@ -120,3 +120,12 @@ def test_artifacts_of_several_applications(spark, tmp_path):
 def test_error_rules_in_order(spark):
     df = spark.createDataFrame([("NoSuchElementError at auth-setup", "FAIL_ELEMENT_NOT_FOUND"), ("auth-setup timed out", "FAIL_TIMEOUT"), ("auth-setup", "FAIL_AUTH"), ("x", "FAIL_UNKNOWN")], "e string, want string")
     assert df.where(ev.outcome_of_error(F.col("e"), F.lit("")) != F.col("want")).isEmpty()
+
+
+def test_tags_are_read_once(spark):
+    """A condition on the kind must not read a tag's attributes anew for every name in it."""
+    pages = spark.createDataFrame([(1, '<input type="checkbox" id="a" id="b"><ScRipt>x < y</ScRipt><script-x></script-x><a href="/x">t</a>')], "page_id long, html string")
+    widgets = ex.widgets(pages).select("page_id", "pos", "kind", "attributes")
+    plan = widgets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 4
+    assert [(r.kind, r.attributes.get("id")) for r in widgets.orderBy("pos").collect()] == [("Checkbox", "b"), ("Link", None)]
