@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import Window as W, functions as F
 
-from loomgraph.functions.scale import FAN, Pages, cover, ordinal, reach, span_join
+from loomgraph.functions.scale import FAN, Pages, cover, may_crowd, ordinal, reach, span_join
 from loomgraph.operators.reconcile import greedy_match
 
 
@@ -92,3 +92,8 @@ def test_pages_read_their_ranges_only(spark):
     plan = pages.page(60, 25)._jdf.queryExecution().executedPlan().toString()
     assert pages.index.count() > 2 and re.search(r"PartitionFilters: \[[^\]]*__range", plan)
     assert Pages(spark.createDataFrame([], "n int, t string"), [F.asc("n")]).page(0, 10).count() == 0
+
+
+def test_crowded_keys_are_seen(spark):
+    df = spark.createDataFrame([("hot",)] * 50 + [(f"k{i}",) for i in range(50)], "k string")
+    assert may_crowd(df, ["k"], limit=49) and not may_crowd(df, ["k"], limit=60) and not may_crowd(df.where("false"), ["k"])
