@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import Window as W, functions as F
 
-from loomgraph.functions.scale import FAN, Pages, cover, may_crowd, ordinal, reach, span_join
+from loomgraph.functions.scale import FAN, Pages, cover, cut_together, may_crowd, ordinal, reach, session_conf, span_join
 from loomgraph.operators.reconcile import greedy_match
 
 
@@ -97,3 +97,22 @@ def test_pages_read_their_ranges_only(spark):
 def test_crowded_keys_are_seen(spark):
     df = spark.createDataFrame([("hot",)] * 50 + [(f"k{i}",) for i in range(50)], "k string")
     assert may_crowd(df, ["k"], limit=49) and not may_crowd(df, ["k"], limit=60) and not may_crowd(df.where("false"), ["k"])
+
+
+def test_cut_together_moves_rows_once(spark):
+    """Sides dealt by one key meet on that and more keys without another exchange, and the setting comes back."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(200).selectExpr("id % 7 as a", "id as b", "id * 2 as x").repartition("a")
+        right = spark.range(100).selectExpr("id % 7 as a", "id as b", "id * 3 as y").repartition("a")
+        joined = left.join(right, ["a", "b"], "left")
+        with session_conf(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+            plan = joined.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2
+        got = {(r.a, r.b, r.x, r.y) for r in cut_together(joined).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(i % 7, i, 2 * i, 3 * i if i < 100 else None) for i in range(200)}
+    assert spark.conf.get(name) == before
