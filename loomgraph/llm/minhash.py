@@ -29,10 +29,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from loomgraph.functions.scale import cut_lineage
+from loomgraph.functions.scale import cut_lineage, session_conf
 from loomgraph.llm.common import texts, with_package
 from loomgraph.llm.components import components
 
@@ -41,7 +42,9 @@ BINS = ROWS * BANDS
 STAR_ROUNDS = 3
 BLOCK = 500
 PORTION = 2 << 20
-MAX_REMEMBERED = 500_000
+MAX_REMEMBERED = 150_000
+# Rows a Python worker and its executor hold at once. Texts are a few KB each, so the default of 10 000 is tens of MB, several times over.
+BATCH_ROWS = 1_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MULTIPLY, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,9 +125,9 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows = batch.column("text").cast(pa.binary()).to_pylist()
-            for start, stop in portions([len(t) for t in rows]):
-                sets = [shingle_set(t, size, hashes) for t in rows[start:stop]]
+            rows = batch.column("text").cast(pa.binary())
+            for start, stop in portions(pc.binary_length(rows).to_pylist()):
+                sets = [shingle_set(t.as_py(), size, hashes) for t in rows[start:stop]]
                 full = [s for s in sets if len(s)]
                 bands = iter(band_hashes(sketch(full))) if full else iter(())
                 yield pa.RecordBatch.from_arrays([
@@ -157,6 +160,12 @@ def confirmed(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> Dat
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; a link is a similarity of at least `percent` of 100."""
+    # every step that runs Python is written in here, in batches of BATCH_ROWS
+    with session_conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
+        return linked(docs, shingle_words, percent)
+
+
+def linked(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     rows = cut_lineage(sketched(docs, shingle_words))
     named = rows.where("doc_id is not null and digest is not null")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("c"))
