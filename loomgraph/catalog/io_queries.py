@@ -8,7 +8,7 @@ from loomgraph.catalog.oracle_views import GENERIC, MANIFESTS, fnv
 from loomgraph.catalog.registry import query
 from loomgraph.catalog.shared import flow, graph
 from loomgraph.functions import scalar as sc
-from loomgraph.functions.scale import shared_folder
+from loomgraph.functions.scale import session_conf, shared_folder
 from loomgraph.operators import evidence as ev
 from loomgraph.operators.graph import canonical_order
 from loomgraph.sources import bundles as bu
@@ -25,7 +25,8 @@ def folder(t, name):
 
 def put_lines(t, df, name):
     path = folder(t, name)
-    df.write.json(path)
+    with session_conf(t.spark, spark__sql__requireAllClusterKeysForCoPartition="false"):  # rows of a phase that isn't written stay where they are
+        df.write.option("compression", "gzip").json(path)
     return path
 
 
@@ -50,7 +51,7 @@ def graph_bundles(t):
 @query("S2_workflow_sets", "subject:s verdict:s n:i n_steps:i n_params:i", """
 select subject, verdict, count(*) as n, sum(n_steps) as n_steps, sum(len(params)) as n_params from v_workflow group by all""")
 def workflow_sets(t):
-    docs = flow(t).workflows.select("subject", F.array(F.struct(
+    docs = flow(t).workflow_rows.select("subject", F.array(F.struct(
         F.col("workflow_id").alias("id"), F.transform("steps", lambda s: F.struct(s["edge_id"].alias("edgeId"), s["kind"].alias("kind"))).alias("steps"),
         F.col("terminal_id").alias("terminalNodeId"), F.struct(F.col("params").alias("requiredParams"), "guards", "roles").alias("cw"), "verdict")).alias("workflows"))
     w = bu.read_workflows(t.spark, put_lines(t, docs, "workflows"), lines=True)
