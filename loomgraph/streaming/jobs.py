@@ -9,16 +9,16 @@ a batch that was cut off overwrites itself.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from loomgraph.functions.scalar import ratio
-from loomgraph.functions.scale import shared_folder
+from loomgraph.functions.scale import cut_lineage, shared_folder
 
 LATENESS = "10 minutes"
+LATENESS_MS = 10 * 60 * 1000
 # A test is one user on one day: what repeats its keys, or belongs to its fold, comes within that time.
 TEST_SPAN = "1 day"
 TEST_SPAN_MS = 24 * 3600 * 1000
@@ -60,7 +60,21 @@ def replayed(rows: DataFrame, at: str, slices: int) -> DataFrame:
     return json_event_stream(spark, folder, rows.schema)
 
 
-def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, base: str | None = None,
+@dataclass(frozen=True)
+class Fold:
+    """A stream, and what a batch of it changes beside a state table: `change(rows, number, base)` gives the changed rows."""
+
+    stream: DataFrame
+    columns: list[str]
+    schema: T.StructType
+    change: Callable[[DataFrame, int, str], DataFrame]
+
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.stream.sparkSession
+
+
+def run(df: DataFrame | Fold, mode: str = "append", keys: list[str] | None = None, base: str | None = None,
         shrink: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
     """Process what is there, write it to a table in the shared folder and read it back.
 
@@ -69,7 +83,8 @@ def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, base
     """
     spark = df.sparkSession
     base = base or new_folder(spark)
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    folds = isinstance(df, Fold)
+    writer = (df.stream if folds else df).writeStream.outputMode("append" if folds else mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, ROCKS)
@@ -79,7 +94,7 @@ def run(df: DataFrame, mode: str = "append", keys: list[str] | None = None, base
         else:
             def keep(batch: DataFrame, number: int) -> None:
                 # the batch number in the path makes a repeated batch overwrite itself
-                shrink(batch).write.mode("overwrite").parquet(f"{base}/table/batch={number}")
+                shrink(df.change(batch, number, base) if folds else batch).write.mode("overwrite").parquet(f"{base}/table/batch={number}")
             query = writer.foreachBatch(keep).start()
         query.awaitTermination()
     finally:
@@ -110,38 +125,61 @@ def completed_once(attempts: DataFrame, horizon: str = TEST_SPAN) -> DataFrame:
     return attempts.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["test_id", "run_id"])
 
 
-FOLD = "test_id string, attempts bigint, duration_ms bigint, outcome string, was string"
-SLOTS = "at array<bigint>, event_id array<bigint>, outcome array<string>, duration_ms array<bigint>, shown string, shown_attempts bigint, shown_ms bigint"
+SLOT = ["at", "event_id", "outcome", "duration_ms"]
+SLOTS = T.ArrayType(T.StructType().add("at", "long").add("event_id", "long").add("outcome", "string").add("duration_ms", "long"))
+RESULT = T.StructType().add("test_id", "string").add("attempts", "long").add("duration_ms", "long").add("outcome", "string").add("was", "string")
+STATE = T.StructType().add("test_id", "string").add("slots", SLOTS).add("until", "long").add("attempts", "long").add("duration_ms", "long").add("outcome", "string")
+CLOCK = T.StructType().add("latest", "long")
 
 
-def fold_slots(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first ATTEMPTS attempts of a test stay in its state, whatever arrives; its fold is shown when it changes.
+def fold_batch(rows: DataFrame, number: int, base: str, spark: SparkSession) -> DataFrame:
+    """Results that a batch of attempts changes, from and to a state of one row per test.
 
-    The state leaves TEST_SPAN after the last attempt kept, on the clock of the stream.
+    A row holds the first ATTEMPTS attempts, whatever arrives, and the result shown last. It leaves TEST_SPAN after the last
+    attempt kept, on the clock of the stream: the latest time of the batches before, less LATENESS. Batches write in two
+    folders by turns, so one that is repeated finds the state before it.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    *columns, shown, shown_attempts, shown_ms = state.get if state.exists else ([], [], [], [], None, None, None)
-    slots = list(zip(*columns))
-    for f in frames:
-        slots = sorted({*slots, *zip(f["at"].tolist(), f["event_id"].tolist(), f["outcome"].tolist(), f["duration_ms"].tolist())})[:ATTEMPTS]
-    used = slots[:next((k + 1 for k, x in enumerate(slots) if x[2] in ENDS), len(slots))]
-    now = (used[-1][2], len(used), sum(x[3] for x in used))
-    state.update((*[list(c) for c in zip(*slots)], *now))
-    state.setTimeoutTimestamp(max(slots[-1][0] // 1000, state.getCurrentWatermarkMs()) + TEST_SPAN_MS)
-    if now != (shown, shown_attempts, shown_ms):
-        yield pd.DataFrame({"test_id": [key[0]], "attempts": [now[1]], "duration_ms": [now[2]], "outcome": [now[0]], "was": [shown]})
-
-
-def live_results(attempts: DataFrame) -> DataFrame:
+    def written(df: DataFrame, what: str) -> DataFrame:
+        path = f"{base}/{what}/{number % 2}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def before(what: str, schema: T.StructType) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{base}/{what}/{(number - 1) % 2}") if number else spark.createDataFrame([], schema)
+
+    came = written(rows.select("test_id", "ts", *SLOT), "came")
+    clock = before("clock", CLOCK)
+    watermark = clock.select(F.max("latest")).first()[0]
+    watermark = 0 if watermark is None else watermark - LATENESS_MS
+    written(came.select(F.unix_millis("ts").alias("latest")).unionByName(clock).agg(F.max("latest").alias("latest")), "clock")
+    place = F.row_number().over(W.partitionBy("test_id").orderBy(*SLOT))
+    new = (came.select("test_id", *SLOT).withColumn("place", place).where(F.col("place") <= ATTEMPTS)
+           .groupBy("test_id").agg(F.collect_list(F.struct(*SLOT)).alias("new")))
+    old = before("state", STATE).select("test_id", F.col("slots").alias("old"), "until", F.struct("outcome", "attempts", "duration_ms").alias("shown"))
+    nothing = F.array().cast(SLOTS)
+    slots = F.slice(F.array_sort(F.array_distinct(F.concat(F.coalesce("old", nothing), F.coalesce("new", nothing)))), 1, ATTEMPTS)
+    end = F.array_position(F.transform("slots", lambda x: x["outcome"].isin(*ENDS)), F.lit(True))
+    used = F.slice("slots", 1, F.when(end > 0, end).otherwise(F.size("slots")).cast("int"))
+    kept = (old.join(new, "test_id", "full_outer").where(F.col("new").isNotNull() | (F.col("until") >= watermark))
+            .withColumn("slots", slots).withColumn("used", used)
+            .select("test_id", "slots", "new", "until", "shown", F.element_at("used", -1)["outcome"].alias("outcome"), F.size("used").cast("bigint").alias("attempts"),
+                    F.aggregate("used", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["duration_ms"]).alias("duration_ms")))
+    leaves = F.greatest(F.floor(F.element_at("slots", -1)["at"] / 1000).cast("bigint"), F.lit(watermark)) + TEST_SPAN_MS
+    changed = F.col("new").isNotNull() & ~F.struct("outcome", "attempts", "duration_ms").eqNullSafe(F.col("shown"))
+    kept = kept.select("test_id", "slots", F.when(F.col("new").isNotNull(), leaves).otherwise(F.col("until")).alias("until"), changed.alias("changed"),
+                       "attempts", "duration_ms", "outcome", F.col("shown.outcome").alias("was"))
+    return written(kept, "state").where("changed").select(*RESULT.fieldNames())
+
+
+def live_results(attempts: DataFrame) -> Fold:
     """Running result per test, and the one before (K5). Rows of a test: ts, at, event_id, outcome, duration_ms.
 
-    State per test has a fixed size: three slots and what was shown last. Attempts behind the
-    watermark are dropped; a repeated delivery (same event_id) doesn't count again.
+    The stream drops attempts behind the watermark and repeated deliveries, which takes a state of LATENESS only. A batch then
+    folds all its tests at once, by joins with a state of fixed size per test.
     """
-    return (attempts.withWatermark("ts", LATENESS).groupBy("test_id")
-            .applyInPandasWithState(fold_slots, FOLD, SLOTS, "update", GroupStateTimeout.EventTimeTimeout))
+    fresh = attempts.select("test_id", "ts", *SLOT).withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["test_id", *SLOT])
+    spark = attempts.sparkSession
+    return Fold(fresh, RESULT.fieldNames(), RESULT, lambda rows, number, base: fold_batch(rows, number, base, spark))
 
 
 def split_stale(evidence: DataFrame, run_start: str, slack: str = "5 seconds") -> DataFrame:
@@ -163,7 +201,7 @@ def route_stale(evidence: DataFrame, run_start: str) -> tuple[DataFrame, DataFra
 
 
 def coverage_changes(results: DataFrame, workflows: DataFrame) -> DataFrame:
-    """What changed results do to the figures of an application (K7): a stream of changes with a table of workflows.
+    """What changed results do to the figures of an application (K7): changes with a table of workflows.
 
     Rows of `workflows`: test_id, subject, verdict, skipped. A result that replaces another takes its share back.
     """
@@ -190,17 +228,17 @@ class RunningCoverage:
     def __init__(self, attempts: DataFrame, workflows: DataFrame):
         self.base = new_folder(attempts.sparkSession)
         self.spark = attempts.sparkSession
-        self.workflows = workflows
-        self.changes = coverage_changes(live_results(attempts), workflows)
+        self.workflows = cut_lineage(workflows.select("test_id", "subject", "verdict", "skipped", "has_plan", "has_code"))
+        self.results = live_results(attempts)
         self.steps = 0
 
     def step(self) -> None:
-        figures = [c for c in self.changes.columns if c != "subject"]
-
         def summed(rows: DataFrame) -> DataFrame:
+            figures = [c for c in rows.columns if c != "subject" and c != "batch"]
             return rows.groupBy("subject").agg(*[F.sum(c).alias(c) for c in figures])
 
-        run(self.changes, mode="update", base=self.base, shrink=summed)  # a batch leaves one row per application
+        # a batch leaves one row per application
+        run(self.results, mode="update", base=self.base, shrink=lambda changed: summed(coverage_changes(changed, self.workflows)))
         summed(self.spark.read.parquet(f"{self.base}/table")).write.mode("overwrite").parquet(f"{self.base}/after/step={self.steps}")
         self.steps += 1
 

@@ -95,6 +95,18 @@ def test_state_does_not_grow_with_attempts_and_expires(spark):
     assert set(state_rows(spark, feed)) == {"new"}
 
 
+def test_fold_keeps_one_row_per_test_and_needs_no_python_worker(spark):
+    feed = Feed(spark)
+    feed.add(*[attempt(k, "hot", k / 100, "FAIL_AUTH") for k in range(500)], attempt(9000, "cold", 1, "FAIL_AUTH"))
+    assert "Python" not in (plan := str(kj.live_results(feed.stream).stream._jdf.queryExecution().logical())) and "Pandas" not in plan
+    fold(feed)
+    feed.add(attempt(9001, "hot", 1, "PASS"), attempt(9002, "new", 3 * 24 * 60, "PASS"))  # hot is late by less than the watermark
+    assert fold(feed)["hot"] == (3, 30, "FAIL_AUTH")
+    states = [[r for r in spark.read.schema(kj.STATE).parquet(f"{feed.base}/state/{k}").collect()] for k in (0, 1)]
+    held = min(states, key=len)  # the last batch of the second run moved the clock by three days
+    assert [r.test_id for r in held] == ["new"] and all(len(r.slots) <= kj.ATTEMPTS for rows in states for r in rows)
+
+
 def test_completions_are_not_repeated_across_batches(spark):
     feed = Feed(spark)
     done = lambda: kj.run(kj.completed_once(feed.stream), base=feed.base).groupBy("test_id").count().collect()
